@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmotif.llm.common import col, cut, small, small_batches
@@ -128,21 +129,47 @@ def _group_links(index: list[tuple], probes: list[tuple], i: int, tau: int) -> l
     return out
 
 
-def _keys(line: Column, length: Column, tau: int) -> Column:
-    """Array of (key, segment, role) of one line: bit 0 of role for the index, bit 1 for probes."""
-    found = []
+def probes(tau: int = TAU) -> list[tuple[int, int, int, int]]:
+    """Rows (delta, segment, shift, role): what a line sends out, role bit 0 for the index and bit 1 for probes.
+
+    A line probes for shorter or equal lines of each length down to ``tau`` less; shifts are those of ``window``.
+    """
+    return [
+        (delta, i, k, 3 if delta == k == 0 else 2)
+        for delta in range(tau + 1)
+        for i in range(tau + 1)
+        for k in range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1)
+    ]
+
+
+def line_keys(line: str, tau: int = TAU) -> list[int]:
+    """The unsigned keys of one line, in the order of ``probes``: hashes of a substring with its segment and length."""
+    raw = line.encode("utf-8", "surrogatepass")
+    plain, n, digest, out = len(raw) == len(line), len(line), xxhash.xxh64_intdigest, []
     for delta in range(tau + 1):
-        n = F.floor((length - delta) / (tau + 1)).cast("int")
-        longer = (length - delta) - n * (tau + 1)
-        for i in range(tau + 1):
-            start = n * i + F.greatest(F.lit(0), longer - (tau + 1 - i)).cast("int")
-            size = n + (F.lit(i) >= F.lit(tau + 1) - longer).cast("int")
-            for k in range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1):
-                key = F.xxhash64((length - delta).cast("int"), F.lit(i), F.substring(line, start + (k + 1), size))
-                fits = (start + k >= 0) & (start + k + size <= length)
-                role = 3 if delta == k == 0 else 2
-                found.append(F.when(fits, F.struct(key.alias("key"), F.lit(i).alias("segment"), F.lit(role).alias("role"))))
-    return F.array(*found)
+        for i, (start, size) in enumerate(segments(n - delta, tau)):
+            seed = (n - delta) * (tau + 1) + i
+            for at in range(start + max(-i, delta - (tau - i)), start + min(i, delta + tau - i) + 1):
+                own = raw[at : at + size] if plain else line[at : at + size].encode("utf-8", "surrogatepass")
+                out.append(digest(own, seed))
+    return out
+
+
+def _keyed(long: DataFrame, tau: int) -> DataFrame:
+    """Rows (id, key, segment, role) of ``long(id, line)``."""
+    pattern = probes(tau)
+    segment, role = np.array([p[1] for p in pattern], np.int8), np.array([p[3] for p in pattern], np.int8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2000):
+            n, keys = batch.num_rows, []
+            for line in batch.column(1).to_pylist():
+                keys += line_keys(line, tau)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(pattern))
+            arrays = [ids, np.array(keys, np.uint64).view(np.int64), np.tile(segment, n), np.tile(role, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "key", "segment", "role"])
+
+    return long.select("id", "line").mapInArrow(run, "id long, key long, segment byte, role byte")
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -160,8 +187,10 @@ def edit_links(docs: DataFrame, firsts: DataFrame, tau: int = TAU, min_chars: in
     lines is split: its index lines go to blocks of BLOCK, its probes to each block, and a group sends on
     sums only.  A pair counts in the group of the first segment that it shares, so in one group alone.
     """
+    if min_chars < 3 * (tau + 1):
+        raise ValueError(f"lines of {min_chars} characters are too short for {tau + 1} segments and shifts")
     long = _places(docs).where(F.col("length") >= min_chars)
-    keyed = long.select("id", F.explode(_keys(F.col("line"), F.col("length"), tau)).alias("k")).where("k IS NOT NULL").select("id", "k.*")
+    keyed = _keyed(long, tau)
     met = keyed.groupBy("key").agg(F.max(F.col("role") == 3).alias("indexed"), F.min("id").alias("a"), F.max("id").alias("b"))
     met = small(met.where("indexed AND a <> b").select("key"))
     hits = cut(keyed.join(met, "key").groupBy("key", "id").agg(F.max("role").alias("role"), F.min("segment").alias("segment")))
