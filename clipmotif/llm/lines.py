@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,19 +143,27 @@ def probes(tau: int = TAU) -> list[tuple[int, int, int, int]]:
     ]
 
 
-def line_keys(line: str, tau: int = TAU) -> list[int]:
-    """The unsigned keys of one line, in the order of ``probes``: hashes of a substring with its segment and length."""
-    raw = line.encode("utf-8", "surrogatepass")
-    plain, n, digest, out = len(raw) == len(line), len(line), xxhash.xxh64_intdigest, []
+@lru_cache(maxsize=4096)
+def _cuts(length: int, tau: int) -> list[tuple[int, int, int]]:
+    """Start, end and hash seed of what a line of this length sends out, in the order of ``probes``."""
+    out = []
     for delta in range(tau + 1):
-        for i, (start, size) in enumerate(segments(n - delta, tau)):
-            seed = (n - delta) * (tau + 1) + i
-            for at in range(start + max(-i, delta - (tau - i)), start + min(i, delta + tau - i) + 1):
-                own = raw[at : at + size] if plain else line[at : at + size].encode("utf-8", "surrogatepass")
-                out.append(digest(own, seed))
+        parts = segments(length - delta, tau)
+        for d, i, k, _ in probes(tau):
+            if d == delta:
+                start, size = parts[i]
+                out.append((start + k, start + k + size, (length - delta) * (tau + 1) + i))
     return out
 
 
+def line_keys(line: str, tau: int = TAU) -> list[int]:
+    """The unsigned keys of one line, in the order of ``probes``: hashes of a substring with its segment and length."""
+    raw, digest = line.encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest
+    if len(raw) == len(line):
+        return [digest(raw[a:b], seed) for a, b, seed in _cuts(len(line), tau)]
+    return [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in _cuts(len(line), tau)]
+
+
 def _keyed(long: DataFrame, tau: int) -> DataFrame:
     """Rows (id, key, segment, role) of ``long(id, line)``."""
     pattern = probes(tau)
