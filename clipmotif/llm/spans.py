@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, small_batches, texts_of
+from clipmotif.llm.common import col, small, small_batches, texts_of
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -100,7 +100,9 @@ def repeated_runs(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words
 
     found = _marked(docs).mapInArrow(run, "doc_id long, mark long, run long, first int, last int")
     place = F.struct("doc_id", "mark", "first")
-    least = found.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").select("run", "least")
+    least = found.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n"))
+    # written first, so that a join by shuffling can split the partitions of runs that very many documents hold
+    least = small(least.where("n > 1").select("run", "least"))
     return found.join(least, "run").where(place > F.col("least")).select("doc_id", "mark", "first", "last")
 
 
