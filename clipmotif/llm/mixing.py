@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, cut
+from clipmotif.llm.common import col, cut, small
 
 PATH = ("domain", "lang", "source")
 BUCKETS = 4096  # ranges of the seeded order; only the range in which a leaf's prefix ends is sorted
@@ -16,8 +16,10 @@ MAX_BROADCAST_LEAVES = 50_000
 
 def tokens(text: Column) -> Column:
     """Number of words of a text: runs of characters that are not ASCII white space."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x09-\\x0D\\x20]+", " ")
-    return (F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1 - F.startswith(spaced, F.lit(" ")).cast("int") - F.endswith(spaced, F.lit(" ")).cast("int")).cast("long")
+    spaced = F.coalesce(text, F.lit(""))
+    for white in "\t\n\v\f\r":
+        spaced = F.replace(spaced, F.lit(white), F.lit(" "))
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
 
 
 def _weight(name: Column, weights: Mapping[str, int]) -> Column:
@@ -79,11 +81,12 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]
     The budget of ``ratio`` times the corpus's words is split down the tree domain, lang, source by
     ``budgets``.  A leaf takes its documents once for each whole epoch that its budget holds; of the next
     epoch it takes the longest prefix, in the order of md5(seed, epoch, doc_id), that the rest holds.
-    ``copies`` counts both.  Documents are not shuffled: per leaf and range of that order words are summed,
-    and only documents in the range in which the prefix ends are sorted.
+    ``copies`` counts both.  Documents are not shuffled: a narrow table of their lengths is summed per leaf and
+    range of that order, and only the lengths in the range in which a prefix ends are sorted.
 
     Null lang, source and domain read as "", null text as empty; texts without words are never taken;
-    ties go by doc_id and length, a null doc_id first; each repeated row counts; an empty table gives no row.
+    ties go by doc_id and length, a null doc_id first; rows equal in both are
+    taken if all of them fit; an empty table gives no row.
     Columns of ``docs`` named as the new ones are replaced, all others are passed on.
     """
     named = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
@@ -92,8 +95,9 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]
         F.coalesce(col("source").cast("string"), F.lit("")).alias("source"), tokens(col("text")).alias("tokens"), F.coalesce(col("doc_id").cast("string"), F.lit("")).alias("id"),
     )
     leaf = [F.col(f"__p.{c}").alias(c) for c in PATH]
-    known = docs.select(*[col(c) for c in named], part.alias("__p")).where("__p.tokens > 0")
-    narrow = cut(known.select("__p.*"))
+    # not filtered here: the filter would be pushed to the scan and count the words once more
+    known = docs.select(*[col(c) for c in named], part.alias("__p"))
+    narrow = cut(known.select("__p.*", col("doc_id").alias("doc_id"))).where("tokens > 0")
     plan = budgets(narrow.groupBy(*PATH).agg(F.sum("tokens").alias("tokens")), weights, F.floor(F.sum("tokens") * F.lit(ratio)), epochs)
     plan = cut(plan.where("budget > 0").withColumn("whole", F.expr("cast(budget div tokens AS int)")).withColumn("rest", F.expr("budget % tokens")).drop("tokens", "budget"))
     few = plan.count() <= MAX_BROADCAST_LEAVES
@@ -104,13 +108,17 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]
     sums = sums.groupBy(*PATH, "rest", "range").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*PATH).orderBy("range")
     ends = sums.withColumn("upto", F.sum("n").over(upto)).where("upto > rest").groupBy(*PATH).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
-    plan = cut(plan.join(ends, list(PATH), "left").select(*[F.col(c).alias(f"__{c}") for c in PATH], F.struct("whole", "rest", F.coalesce("end.range", F.lit(BUCKETS)).alias("range"), "end.before").alias("__b")))
+    plan = plan.join(ends, list(PATH), "left").select(*PATH, "whole", "rest", F.coalesce("end.range", F.lit(BUCKETS)).alias("end"), F.col("end.before").alias("before"))
+    plan = cut(plan)
+    run = Window.partitionBy(*PATH).orderBy("o", "doc_id", "tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = narrow.join(ease(plan), list(PATH)).withColumn("o", order).where(bucket(F.col("o")) == F.col("end"))
+    last = last.withColumn("fits", F.sum("tokens").over(run) + F.col("before") <= F.col("rest")).where("fits")
+    last = small(last.select(*[F.col(c).alias(f"__{c}") for c in PATH], F.col("id").alias("__id"), F.col("tokens").alias("__tokens")).distinct())
+    plan = ease(plan.select(*[F.col(c).alias(f"__{c}") for c in PATH], F.struct("whole", "end").alias("__b")))
     same = [F.col(f"__p.{c}") == F.col(f"__{c}") for c in PATH]
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("__b.whole").cast("string"), F.col("__p.id")).cast("binary"))
-    marked = known.join(ease(plan), same).withColumn("__o", order).withColumn("__r", bucket(F.col("__o")))
-    clear = marked.where("__r <> __b.range").withColumn("__c", F.expr("__b.whole + if(__r < __b.range, 1, 0)"))
-    run = Window.partitionBy(*[f"__{c}" for c in PATH]).orderBy("__o", col("doc_id"), "__p.tokens").rowsBetween(Window.unboundedPreceding, 0)
-    last = marked.where("__r = __b.range").withColumn("__s", F.sum("__p.tokens").over(run) + F.col("__b.before"))
-    last = last.withColumn("__c", F.expr("__b.whole + if(__s <= __b.rest, 1, 0)")).drop("__s")
-    taken = clear.unionByName(last).where("__c > 0")
+    marked = known.join(plan, same).drop(*[f"__{c}" for c in PATH]).withColumn("__r", bucket(order))
+    marked = marked.join(last, [*same, F.col("__p.id") == F.col("__id"), F.col("__p.tokens") == F.col("__tokens")], "left")
+    more = (F.col("__r") < F.col("__b.end")) | ((F.col("__r") == F.col("__b.end")) & F.col("__tokens").isNotNull())
+    taken = marked.withColumn("__c", F.when(F.col("__p.tokens") > 0, F.col("__b.whole") + more.cast("int"))).where("__c > 0")
     return taken.select(*[col(c) for c in named], leaf[0], F.col("__p.tokens").alias("n_tokens"), F.col("__c").alias("copies"))

@@ -156,7 +156,7 @@ root AS (SELECT 1 AS one, least(floor(sum(tokens)::BIGINT * {MIX_RATIO}::DOUBLE)
 plan AS (SELECT l.domain, l.lang, l.source, b.budget // l.tokens AS whole, b.budget % l.tokens AS rest
   FROM leaf l JOIN lv3 b USING (domain, lang, source) WHERE b.budget > 0),
 ordered AS (SELECT base.*, p.whole, p.rest, sum(k_tokens) OVER (PARTITION BY k_domain, k_lang, k_source
-    ORDER BY md5('{MIX_SEED}:' || p.whole::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, k_tokens ROWS UNBOUNDED PRECEDING) AS upto
+    ORDER BY md5('{MIX_SEED}:' || p.whole::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, k_tokens RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM base JOIN plan p ON k_domain = p.domain AND k_lang = p.lang AND k_source = p.source WHERE k_tokens > 0),
 taken AS (SELECT * EXCLUDE (k_domain, k_lang, k_source, k_tokens, whole, rest, upto), k_domain AS domain, k_tokens AS n_tokens,
   (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM ordered)
