@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, small_batches, texts_of
+from clipmotif.llm.common import col, keep_rows, small_batches, texts_of
 
 FEATURES = (
     "log_words", "word_length", "symbols", "upper_words", "exclamations", "pipes", "repeats_next", "distinct", "digits",
@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOL
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, run)
 
 
 def held_out(doc_id: str = "doc_id") -> str:

@@ -53,3 +53,9 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """
     df = cut(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keep_rows(docs: DataFrame, run) -> DataFrame:
+    """Rows of ``docs`` that an Arrow function of its batches keeps; it finds columns by place, so any names will do."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

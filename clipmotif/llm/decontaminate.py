@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, small_batches
+from clipmotif.llm.common import col, keep_rows, small_batches
 
 Q = 12
 ERROR_RATE = 0.06  # edits allowed, as a share of an item's characters
@@ -249,5 +249,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 hits = index.search([t or "" for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = keep_rows(docs, run)
     return docs

@@ -1,0 +1,195 @@
+"""The operators on small tables: brute force, nulls, empty and very long texts, ties, repeated rows, clashing names."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from clipmotif.llm import classifier, components, decontaminate, html, lines, mixing, queries, rules, secrets, simhash, spans, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = "gone string, id string, key string, kept string, tokens string, copies string, domain string, score string, mark string, `a.b` string"
+
+
+def make(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def words(r, n):
+    return " ".join("".join(r.choices("abcdefghijklm", k=r.randint(2, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, blank and long texts, repeated rows, columns with clashing names."""
+    r = random.Random(1)
+    long = "\n".join(words(r, 30) + ". " + words(r, 25) + "." for _ in range(400))
+    rows = [(1, None, None, None, None), (None, "only a text here", "en", "src1", 4), (2, "", "en", "src1", 0), (3, " \n\t ", "en", None, 4), (4, long, "de", "src0", len(long))]
+    rows += [(5, "same text twice in this table", "en", "src1", 3)] * 2 + [(6, long, "de", "src0", 7), (7, "x", None, "src2", 1)]
+    df = make(spark, rows)
+    for name in ("gone", "id", "key", "kept", "tokens", "copies", "domain", "score", "mark", "a.b"):
+        df = df.withColumn(name, F.lit("mine"))
+    return df
+
+
+def test_odd_rows_and_empty_tables(spark, odd):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "same text twice in this table"), (3, "unrelated words stand here for nothing")], "item_id long, text string")
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (5, 0, 0), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    empty = odd.limit(0)
+    n = odd.count()
+    for docs, size in ((odd, n), (empty, 0)):
+        model = classifier.train(docs, labels)
+        assert spans.drop_repeats(docs).count() == size
+        assert secrets.scan_secrets(docs).count() == size
+        assert rules.quality_rules(docs).count() == size
+        assert simhash.near_duplicates(docs).count() == size
+        assert classifier.score_quality(docs, model).where("score BETWEEN 0 AND 1").count() == size
+        assert {r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()} == ({5} if size else set())
+        for kept in (classifier.keep_good(docs, model), simhash.keep_one(docs), decontaminate.drop_leaks(docs, bench), lines.drop_lines(docs)):
+            assert kept.columns == docs.columns
+            assert kept.count() <= size
+        assert mixing.mix(docs, queries.domain(), queries.WEIGHTS, 1.0).count() <= size
+        assert lines.line_decisions(docs).count() == (len({(1, ""), (None, "t"), (2, ""), (3, " "), (4, "l"), (5, "s"), (6, "l"), (7, "x")}) if size else 0)
+    assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
+    assert decontaminate.drop_leaks(odd, bench.limit(0)).count() == n
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {x: x for e in edges for x in e if x is not None}
+    for _ in range(60):
+        for a, b in edges:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
+    assert got == {x: root[x] for x in linked}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_simhash_groups(spark):
+    r = random.Random(3)
+    base = [words(r, 120) for _ in range(12)]
+    rows = [(k * 100 + i, t if i < 3 else t + " " + words(r, i), "en", "s", 1) for k, t in enumerate(base) for i in range(6)]
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(make(spark, rows)).collect()}
+    fps = {d: simhash.fingerprint(t) for d, t, *_ in rows}
+    root = {d: d for d in fps}
+    for _ in range(8):
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == {d: (f"{fps[d]:016x}", root[d]) for d in fps}
+    assert {x.doc_id for x in simhash.keep_one(make(spark, rows)).collect()} == set(root.values())
+
+
+def test_line_decisions_match_brute_force(spark):
+    r = random.Random(4)
+    base = [words(r, 8) for _ in range(10)]
+
+    def vary(t):
+        t = list(t)
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            t[r.randrange(len(t))] = r.choice("xyz")
+        return "".join(t)
+
+    texts = ["\n".join([vary(r.choice(base)) for _ in range(4)] + ["short", "short"]) for _ in range(40)]
+    got = {x.doc_id: (x.n_links, x.removed) for x in lines.line_decisions(make(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    first: dict = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(t.split("\n")):
+            if len(x) >= lines.MIN_CHARS:
+                first.setdefault(x, (i, k))
+    near = {x: [y for y in first if y != x and lines.near(x, y)] for x in first}
+    for i, t in enumerate(texts):
+        own = [(k, x) for k, x in enumerate(t.split("\n")) if x in first]
+        gone = [k for k, x in own if first[x] != (i, k) or any(first[y] < first[x] for y in near[x])]
+        assert got[i] == (sum(len(near[x]) for _, x in own), gone)
+
+
+def test_spans_keep_the_first_copy(spark):
+    r = random.Random(5)
+    passage = ". ".join(words(r, 14).capitalize() for _ in range(4)) + "."
+    lone = words(r, 60).capitalize() + "."
+    rows = [(i, f"{words(r, 20).capitalize()}.\n{passage}\n{words(r, 20).capitalize()}. {lone}", "en", "s", 1) for i in range(5)] + [(9, words(r, 50) + ".", "en", "s", 1)]
+    got = {x.doc_id: x for x in spans.drop_repeats(make(spark, rows)).collect()}
+    assert got[0].n_removed == 0 and got[9].n_removed == 0 and got[0].text == rows[0][1]
+    for i in range(1, 5):
+        assert passage not in got[i].text and lone not in got[i].text and got[i].n_removed == 5 and rows[i][1].split("\n")[0] in got[i].text
+
+
+def test_quality_rules_follow_their_group(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(words(r, 1) + ("#" if lang == "xx" and r.random() < 0.5 else "") for _ in range(60)), lang, "s", 1) for lang, at in (("en", 0), ("xx", 1000)) for i in range(at, at + 80)]
+    rows += [(5000, " ".join(w + "#" for w in words(r, 60).split()), "en", "s", 1), (5001, "too short", "en", "s", 1)]
+    got = {x.doc_id: x for x in rules.quality_rules(make(spark, rows), least=50).collect()}
+    assert not got[5000].kept and got[5000].failed == "symbol_share" and not got[5000].base_failed
+    assert got[5001].base_failed and not got[5001].kept
+    assert all(x.kept for d, x in got.items() if d < 5000)
+
+
+def test_sketch_quantiles_are_close(spark):
+    values = [((i * 7919) % 10_000) / 100 for i in range(10_000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(rules.bucket(F.col("x")).alias("bucket"), F.lit("g").alias("g"))
+    row = rules.quantiles(df.groupBy("g", "bucket").agg(F.count("*").alias("n")), ["g"], {"q10": 0.1, "q50": 0.5, "q99": 0.99}).first()
+    for q in (10, 50, 99):
+        assert abs(row[f"q{q}"] / q - 1) < 0.02
+
+
+def test_mixing_redistributes_among_siblings_first(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 100), ("d0", "en", "b", 10), ("d0", "de", "c", 1000), ("d1", "en", "d", 1000), ("d2", "en", "e", 50)], "domain string, lang string, source string, tokens long")
+    weights = {"domain": {"d2": 0, "*": 1}, "lang": {}, "source": {}}
+    got = {x.source: x.budget for x in mixing.budgets(leaves, weights, F.lit(400), 1).collect()}
+    assert got == {"a": 90, "b": 10, "c": 100, "d": 200, "e": 0}  # b's shortage goes to a alone
+    got = {x.source: x.budget for x in mixing.budgets(leaves, weights, F.lit(10_000), 1).collect()}
+    assert got == {"a": 100, "b": 10, "c": 1000, "d": 1000, "e": 0}
+    got = {x.source: x.budget for x in mixing.budgets(leaves, weights, F.lit(600), 1).collect()}
+    assert got == {"a": 100, "b": 10, "c": 190, "d": 300, "e": 0}  # what their parent cannot use goes to its sibling
+
+
+def test_mixing_takes_prefixes(spark):
+    r = random.Random(7)
+    rows = [(i, words(r, r.randint(1, 40)), "en", f"src{i % 3}", 1) for i in range(300)]
+    docs = make(spark, rows)
+    got = mixing.mix(docs, queries.domain(), {}, 0.5, 2).collect()
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    assert 0.4 * total < sum(x.n_tokens * x.copies for x in got) <= total * 0.5
+    assert all(len(x.text.split()) == x.n_tokens for x in got)
+    more = mixing.mix(docs.where("source = 'src0'"), queries.domain(), {}, 1.5, 2).collect()
+    assert {x.copies for x in more} == {1, 2}
+
+
+def test_revisits(spark):
+    head = lambda **kv: "\n".join(f"{k.replace('_', '-')}: {v}" for k, v in kv.items())
+    rows = [
+        (1, "http://www.A.com:80/x/?utm_source=q&b=2&a=1#f", 10, "response", 200, head(ETag='"e1"', Content_Type="t", Date="d1"), "p1", 5),
+        (2, "https://a.com/x?a=1&b=2", 20, "response", 200, head(ETag='"e2"', Date="d2"), "p2", 6),
+        (3, "https://a.com/x?a=1&b=2", 20, "revisit", 304, head(ETag='W/"e1"', Date="d3", Server="s"), None, None),
+        (4, "https://a.com/x?b=2&a=1", 999_999, "revisit", 304, head(ETag='"e1"'), None, None),
+        (5, "https://a.com/x?b=2&a=1", 10, "revisit", 304, head(ETag='"e1"'), None, None),
+        (6, "https://a.com/x?b=2&a=1", 30, "revisit", 304, None, None, None),
+        (7, None, 30, "revisit", 304, head(ETag='"e1"'), None, None),
+        (8, "https://a.com/x?b=2&a=1", None, "revisit", 304, head(ETag='"e1"'), None, None),
+        (None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, type string, http_status int, headers string, payload_digest string, payload_length long")
+    got = {x.record_id: x for x in warc.resolve_revisits(df.withColumn("canonical", F.lit("mine")).withColumn("span", F.lit(1)), 100).collect()}
+    assert {k: v.status for k, v in got.items()} == {3: "resolved", 4: "mismatch", 5: "no_response", 6: "no_validator", 7: "no_response", 8: "no_response"}
+    assert (got[3].response_id, got[3].payload_digest, got[3].headers) == (1, "p1", 'content-type: t\ndate: d3\netag: W/"e1"')
+    assert got[4].response_id is None and got[3].canonical == "https://a.com/x?a=1&b=2"
+    assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_pages(spark):
+    rows = [(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (1, "u", "<article><p>a</p></article>")]
+    got = sorted((x.page_id or 0, x.text, x.n_chars) for x in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
+
+
+def test_classifier_holds_out_a_fifth(spark):
+    docs = spark.createDataFrame([(i,) for i in range(2000)], "doc_id long")
+    n = docs.where(classifier.held_out()).count()
+    assert 300 < n < 500
