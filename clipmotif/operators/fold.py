@@ -108,9 +108,9 @@ def pair_probabilities(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     def weight(d: int, u1: int, u2: int, e: int, width: int):
         t, t2 = kind[d], kind[e][:, u1 + 1 : u1 + 1 + width]
         if u1 == u2 == 0:
-            return STACK_W[t, t2]
+            return STACK_W[t, BACK[t2]]
         if u1 == 0 or u2 == 0:
-            return bulge[1] * STACK_W[t, t2] if u1 + u2 == 1 else bulge[u1 + u2] * np.minimum(AU[t], AU[t2])
+            return bulge[1] * STACK_W[t, BACK[t2]] if u1 + u2 == 1 else bulge[u1 + u2] * np.minimum(AU[t], AU[t2])
         if (u1, u2) in SMALL:
             base, each = SMALL[u1, u2]
             return float(_w(base)) * _w(each) ** ((t > 2).astype(int) + (t2 > 2))
