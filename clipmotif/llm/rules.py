@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,12 @@ SPREADS = 3.0  # interquartile ranges beyond the quartiles that are still ordina
 METRICS = {
     "word_length": (2.0, True),
     "symbol_share": (0.1, False),
-    "dup_line_share": (0.2, False),
-    "repeat_share": (0.1, False),
+    "dup_line_share": (0.5, False),
+    "repeat_share": (0.2, False),
     "upper_share": (0.3, False),
+    "stutter_share": (0.15, False),
 }
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_stutter long"
 
 
 def text_stats(text: str) -> tuple[int, ...]:
@@ -51,7 +53,7 @@ def text_stats(text: str) -> tuple[int, ...]:
             np.add.at(edge, again, 1)
             np.add.at(edge, again + 5, -1)
             repeats = int(np.count_nonzero(np.cumsum(edge)[:n] > 0))
-    return n, chars, symbols, dup_lines, repeats, len(lines), sum(map(bytes.isupper, raw))
+    return n, chars, symbols, dup_lines, repeats, len(lines), sum(map(bytes.isupper, raw)), sum(map(eq, raw, raw[1:]))
 
 
 def stats(docs: DataFrame) -> DataFrame:
@@ -79,6 +81,7 @@ def metrics() -> dict[str, Column]:
         "dup_line_share": per("n_dup_lines", "n_lines"),
         "repeat_share": per("n_repeat_words", "n_words"),
         "upper_share": per("n_upper", "n_words"),
+        "stutter_share": per("n_stutter", "n_words"),
     }
 
 

@@ -160,9 +160,9 @@ def test_sentence_runs_cover_every_repeated_passage():
 
 
 def test_text_stats():
-    assert rules.text_stats("") == (0, 0, 0, 0, 0, 0, 0)
-    n, chars, symbols, dups, repeats, n_lines, upper = rules.text_stats("a b c d e f\nx # $1\n \nx # $1\na b c d e g AB")
-    assert (n, chars, symbols, dups, n_lines, upper) == (19, 22, 4, 1, 4, 1)
+    assert rules.text_stats("") == (0, 0, 0, 0, 0, 0, 0, 0)
+    n, chars, symbols, dups, repeats, n_lines, upper, stutter = rules.text_stats("a b c d e f\nx # $1\n \nx # $1\na b c d e g AB")
+    assert (n, chars, symbols, dups, n_lines, upper, stutter) == (19, 22, 4, 1, 4, 1, 0)
     assert repeats == 10
     r = random.Random(8)
     for _ in range(200):
