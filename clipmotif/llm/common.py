@@ -46,13 +46,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterat
             yield batch.slice(start, rows)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, rows: int = 1_000_000, weight: str | None = None) -> DataFrame:
     """``df``, written to the checkpoint folder, marked for broadcast only if it has at most ``rows`` rows.
 
     For narrow tables that grow with the input: beyond the bound they are joined by shuffling both sides.
+    Rows that hold arrays count by the expression ``weight``, their number of values.
     """
     df = cut(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n = df.agg(F.sum(F.expr(weight)).alias("n")).first()["n"] or 0 if weight else df.limit(rows + 1).count()
+    return F.broadcast(df) if n <= rows else df
 
 
 def keep_rows(docs: DataFrame, run) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, cut, small_batches, texts_of
+from clipmotif.llm.common import col, cut, small, small_batches, texts_of
 from clipmotif.llm.components import components
 
 SEED = 42
@@ -164,5 +164,5 @@ def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
     """
     groups = near_duplicates(docs, radius, words).where("doc_id IS NOT NULL")
     gone = groups.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
-    gone = gone.select(F.col("doc_id").alias("__gone"))
+    gone = small(gone.select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, col("doc_id") == F.col("__gone"), "left_anti")

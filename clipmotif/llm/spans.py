@@ -119,7 +119,7 @@ def drop_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     """
     gone = repeated_runs(docs, min_sentences, min_words, long_sentence)
     gone = gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
+    gone = small(gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone"), weight="1 + size(gone)")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
     joined = _marked(docs).join(gone, same, "left").select("doc_id", "text", "gone")
 
