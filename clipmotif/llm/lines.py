@@ -283,7 +283,7 @@ def drop_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> D
     Documents that lose nothing, null texts among them, are not touched; a document that loses every line keeps an empty text.
     """
     gone = line_decisions(docs, tau, min_chars).where("n_removed > 0")
-    gone = small(gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed")), weight="1 + size(__removed)")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
     same = col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(col("text"), F.lit(""))) == F.col("__mark"))
     joined = docs.join(gone, same, "left")
     left = F.filter(F.split(col("text"), "\n"), lambda _, k: ~F.array_contains(F.col("__removed"), k))

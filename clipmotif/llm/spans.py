@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, small, small_batches, texts_of
+from clipmotif.llm.common import col, cut, small_batches, texts_of
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -102,7 +102,7 @@ def repeated_runs(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words
     place = F.struct("doc_id", "mark", "first")
     least = found.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n"))
     # written first, so that a join by shuffling can split the partitions of runs that very many documents hold
-    least = small(least.where("n > 1").select("run", "least"))
+    least = cut(least.where("n > 1").select("run", "least"))
     return found.join(least, "run").where(place > F.col("least")).select("doc_id", "mark", "first", "last")
 
 
@@ -119,7 +119,7 @@ def drop_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     """
     gone = repeated_runs(docs, min_sentences, min_words, long_sentence)
     gone = gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    gone = small(gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone"), weight="1 + size(gone)")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
     joined = _marked(docs).join(gone, same, "left").select("doc_id", "text", "gone")
 
