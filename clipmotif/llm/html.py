@@ -31,20 +31,20 @@ SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, characters inside links, region number, and whether in an article."""
+    """Collects the lines of a page: text, tags, characters inside links, and region number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int, bool]] = []  # tag, dropped, a link, region, in article
-        self.dropped, self.links, self.region, self.regions, self.article = 0, 0, 0, 0, False
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, dropped, a link, region
+        self.dropped, self.links, self.region, self.regions = 0, 0, 0, 0
         self.text: list[str] = []
         self.tags = self.linked = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
 
     def flush(self) -> None:
         line = SPACE.sub(" ", "".join(self.text)).strip()
         if line:
-            self.lines.append((line, self.tags, self.linked, self.region, self.article))
+            self.lines.append((line, self.tags, self.linked, self.region))
             self.tags = self.linked = 0
         self.text = []
 
@@ -57,7 +57,7 @@ class _Lines(HTMLParser):
             self.tags += 1
             return
         if self.dropped:
-            self.open.append((tag, False, False, self.region, self.article))
+            self.open.append((tag, False, False, self.region))
             return
         if tag not in INLINE:
             self.flush()
@@ -74,17 +74,16 @@ class _Lines(HTMLParser):
         )
         if tag in ("html", "body", "main", "article"):
             out = False
-        self.open.append((tag, out, tag == "a", self.region, self.article))
+        self.open.append((tag, out, tag == "a", self.region))
         self.dropped += out
         self.links += tag == "a"
         if tag in REGION:
             self.regions += 1
             self.region = self.regions
-        self.article = self.article or tag in ("article", "main")
 
     def unwind(self, k: int) -> None:
         while len(self.open) > k:
-            _, out, link, self.region, self.article = self.open.pop()
+            _, out, link, self.region = self.open.pop()
             self.dropped -= out
             self.links -= link
 
@@ -109,7 +108,7 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, int, bool]]:
+def page_lines(html: str) -> list[tuple[str, int, int, int]]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -131,24 +130,22 @@ def main_text(html: str, sigma: float = 2.0) -> str:
     Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments, as their elements,
     roles, classes or ids say, are never content.  For the others the ratio of unlinked text to tags is
     smoothed along the page; lines at or above half the mean form clusters; a region (the lines of one
-    container) is content if a cluster touches it, so short lines between long ones stay.  If the page
-    has an article or main element, regions inside it are content as long as most of their text is unlinked.
+    container) is content if a cluster touches it and most of its text is unlinked, so short lines between
+    long ones stay.  Article and main elements are regions like others: the ratio decides on every page.
     """
     lines = page_lines(html)
     if not lines:
         return ""
-    ratios = np.array([(len(t) - min(linked, len(t))) / (1 + tags) for t, tags, linked, _, _ in lines])
+    ratios = np.array([(len(t) - min(linked, len(t))) / (1 + tags) for t, tags, linked, _ in lines])
     dense = smooth(ratios, sigma) >= 0.5 * ratios.mean()
     total, linked_in, touched = {}, {}, set()
-    for (t, _, linked, region, _), d in zip(lines, dense, strict=True):
+    for (t, _, linked, region), d in zip(lines, dense, strict=True):
         total[region] = total.get(region, 0) + len(t)
         linked_in[region] = linked_in.get(region, 0) + min(linked, len(t))
         if d:
             touched.add(region)
     plain = {r for r in total if linked_in[r] <= 0.5 * total[r]}
-    if any(a for *_, a in lines):
-        return "\n".join(t for t, _, _, r, a in lines if a and r in plain)
-    return "\n".join(t for t, _, _, r, _ in lines if r in plain and r in touched)
+    return "\n".join(t for t, _, _, r in lines if r in plain and r in touched)
 
 
 def extract_text(pages: DataFrame, sigma: float = 2.0) -> DataFrame:

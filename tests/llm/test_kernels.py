@@ -208,3 +208,15 @@ def test_main_text():
     plain = f'<body><div><a href=1>one</a> <a href=2>two</a></div><div><p>{words}</p><p>Yes.</p><p>{words}</p></div><div class="sidebar"><p>{words}</p></div>'
     assert html.main_text(plain) == "\n".join([words.strip(), "Yes.", words.strip()])
     assert [html.main_text(x) for x in ("", "<nav>x</nav>", "<p>")] == ["", "", ""]
+
+
+def test_main_text_is_chosen_by_the_ratio_where_there_is_an_article():
+    words = "Some long running text that goes on and on for the whole of the line. " * 4
+    lines = [words.strip()] * 6
+    story = "".join(f"<p>{x}</p>" for x in lines)
+    teaser = "<article><h2><i>Read</i> <i>more</i></h2></article>"
+    gap = "".join(f"<div><i>x</i> <b>{k}</b></div>" for k in range(12))
+    assert html.main_text(f"<body><div>{story}</div>{gap}{teaser}</body>").startswith("\n".join(lines))
+    assert "Read more" not in html.main_text(f"<body><div>{story}</div>{gap}{teaser}</body>")
+    assert html.main_text(f"<body><article><div>{story}</div>{gap}<div><i>Tags</i> <i>a</i></div></article></body>").startswith("\n".join(lines))
+    assert "Tags" not in html.main_text(f"<body><article><div>{story}</div>{gap}<div><i>Tags</i> <i>a</i></div></article></body>")
