@@ -16,16 +16,17 @@ from clipmotif.llm.common import col, cut, small_batches, texts_of
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02  # a sketch bucket spans this factor: quantiles are right within 1 %
-LEAST = 200  # a group with fewer documents uses its language's sketch, then that of all
-SPREADS = 3.0  # interquartile ranges beyond the quartiles that are still ordinary
-#: metric: the least distance from the quartiles at which a document can fail, and whether low values fail too
+LEAST = 200  # documents that the parent's fences count for where a group's are blended with them
+SPREADS = 3.0  # distances from the median to the tail beyond which, and standard errors of a document within which, values are still ordinary
+TAIL = 0.1  # share of a group's documents in each tail
+#: metric: the column that its count is divided by, and whether low values fail too
 METRICS = {
-    "word_length": (2.0, True),
-    "symbol_share": (0.1, False),
-    "dup_line_share": (0.5, False),
-    "repeat_share": (0.2, False),
-    "upper_share": (0.3, False),
-    "stutter_share": (0.15, False),
+    "word_length": ("n_words", True),
+    "symbol_share": ("n_words", False),
+    "dup_line_share": ("n_lines", False),
+    "repeat_share": ("n_words", False),
+    "upper_share": ("n_words", False),
+    "stutter_share": ("n_words", False),
 }
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_stutter long"
 
@@ -114,26 +115,33 @@ def quantiles(sketch: DataFrame, group: list[str], qs: dict[str, float]) -> Data
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Rows (level, lang, source, n, and low and high of every metric)."""
-    q = quantiles(sketches(measured), ["level", "lang", "source", "metric"], {"q25": 0.25, "q75": 0.75})
-    wide = F.col("q75") - F.col("q25")
-    fence = lambda m: F.greatest(F.lit(METRICS[m][0]), SPREADS * wide)
+    """Rows (level, lang, source, n, and low and high of every metric): the outer edge of the tail quantile's bucket,
+    moved out by SPREADS times what lies between the median and that quantile."""
+    q = quantiles(sketches(measured), ["level", "lang", "source", "metric"], {"low": TAIL, "mid": 0.5, "high": 1 - TAIL})
     of = lambda m, x, name: F.max(F.when(F.col("metric") == m, x)).alias(name)
     found = []
     for m, (_, low) in METRICS.items():
-        found.append(of(m, F.col("q75") + fence(m), f"{m}_high"))
+        found.append(of(m, F.col("high") * (GAMMA + 1) / 2 + SPREADS * (F.col("high") - F.col("mid")), f"{m}_high"))
         if low:
-            found.append(of(m, F.col("q25") - fence(m), f"{m}_low"))
+            found.append(of(m, F.col("low") * (GAMMA + 1) / (2 * GAMMA) - SPREADS * (F.col("mid") - F.col("low")), f"{m}_low"))
     return q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *found)
 
 
+def ordinary(fence: Column, n: Column, side: int) -> Column:
+    """The greatest (side 1) or least (-1) share that a Poisson count at the fence's rate over ``n`` reaches within SPREADS
+    standard errors, by Anscombe's square root: of x the root of x + 3/8 has the standard error 1/2."""
+    rate, n = F.greatest(fence, F.lit(0.0)), F.greatest(n, F.lit(1))
+    return rate + SPREADS**2 / (4 * n) + side * SPREADS * F.sqrt(rate / n + 0.375 / (n * n))
+
+
 def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed), one per row.
 
     A document fails by the base rules, or where a metric lies outside the fences of its (lang, source):
-    the quartiles of that group's sketch, widened by SPREADS interquartile ranges or the metric's least
-    distance.  Groups of fewer than ``least`` documents take the fences of their language, then those of
-    all documents.  ``failed`` lists the metrics outside.
+    the tail quantiles of that group's sketch, moved out by SPREADS times their distance from the median.
+    Fences are blended with those of the language, and these with those of all documents: the parent's
+    count for ``least`` documents beside the group's own.  What a document of so few words or lines can show
+    by chance, as a Poisson count at the fence, passes.  ``failed`` lists the metrics outside.
 
     A null text is empty and fails the base rules; null lang and source form their own group, named by
     the empty string; ties at a fence pass; repeated rows count each; other columns are not read; an
@@ -142,17 +150,20 @@ def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     measured = cut(stats(docs))
     fences = cut(thresholds(measured))
     bounds = [c for c in fences.columns if c.endswith(("_high", "_low"))]
-    pack = lambda name: F.struct(*[F.col(c) for c in bounds]).alias(name)
-    own = fences.where(f"level = 2 AND n >= {int(least)}").select("lang", "source", pack("own"))
-    lang = fences.where(f"level = 1 AND n >= {int(least)}").select("lang", pack("of_lang"))
+    pack = lambda name: F.struct("n", *bounds).alias(name)
+    own = fences.where("level = 2").select("lang", "source", pack("own"))
+    lang = fences.where("level = 1").select("lang", pack("of_lang"))
     whole = fences.where("level = 0").select(pack("of_all"))
-    groups = fences.where("level = 2").select("lang", "source").join(lang, "lang", "left").join(own, ["lang", "source"], "left")
-    groups = cut(groups.join(F.broadcast(whole)).select("lang", "source", F.coalesce("own", "of_lang", "of_all").alias("fence")))
+    blend = lambda n, x, parent: (n * x + int(least) * parent) / (n + int(least))
+    upper = lambda c: blend(F.col("of_lang.n"), F.col(f"of_lang.{c}"), F.col(f"of_all.{c}"))
+    fence = F.struct(*[blend(F.col("own.n"), F.col(f"own.{c}"), upper(c)).alias(c) for c in bounds]).alias("fence")
+    groups = cut(own.join(lang, "lang").join(F.broadcast(whole)).select("lang", "source", fence))
     fails = []
     for m, x in metrics().items():
-        out = x > F.col(f"fence.{m}_high")
-        if METRICS[m][1]:
-            out = out | (x < F.col(f"fence.{m}_low"))
+        n, low = METRICS[m]
+        out = x > ordinary(F.col(f"fence.{m}_high"), F.col(n), 1)
+        if low:
+            out = out | (x < ordinary(F.col(f"fence.{m}_low"), F.col(n), -1))
         fails.append(F.when(out, F.lit(m)))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = measured.join(groups, ["lang", "source"], "left").withColumn("failed", F.array_compact(F.array(*fails)))

@@ -131,6 +131,18 @@ def test_quality_rules_follow_their_group(spark):
     assert all(x.kept for d, x in got.items() if d < 5000)
 
 
+def test_quality_fences_come_from_the_data(spark):
+    r = random.Random(8)
+    text = lambda share: " ".join(w + "#" * (r.random() < share) for w in words(r, 400).split())
+    rows = [(i, text(0.0), "en", "s", 1) for i in range(300)] + [(1000 + i, text(0.3), "en", "t", 1) for i in range(300)]
+    rows += [(5000, text(0.06), "en", "s", 1), (5001, text(0.06), "en", "t", 1)]
+    got = {x.doc_id: x for x in rules.quality_rules(make(spark, rows), least=1).collect()}
+    assert got[5000].failed == "symbol_share" and got[5001].failed == ""  # far outside the first source, though under one in ten words
+    assert all(x.kept for d, x in got.items() if d < 5000)
+    same = [(i, "alpha gamma delta kappa sigma omega theta north south west1 east1 brown", "en", "s", 1) for i in range(30)]
+    assert all(x.failed in ("", "repeat_share") for x in rules.quality_rules(make(spark, same)).collect())
+
+
 def test_sketch_quantiles_are_close(spark):
     values = [((i * 7919) % 10_000) / 100 for i in range(10_000)]
     df = spark.createDataFrame([(x,) for x in values], "x double").select(rules.bucket(F.col("x")).alias("bucket"), F.lit("g").alias("g"))
