@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from clipmotif.llm.common import col, cut, small, small_batches
 
 TAU = 2  # edits
-MIN_CHARS = 24  # shorter lines are never removed
+MIN_CHARS = 1  # shorter lines are never removed
+JOIN_CHARS = 3  # characters a segment: lines with fewer for each of their tau + 1 segments are compared whole only
 BLOCK = 256  # index lines of one key that meet the probes in one group
 
 
@@ -196,9 +197,7 @@ def edit_links(docs: DataFrame, firsts: DataFrame, tau: int = TAU, min_chars: in
     lines is split: its index lines go to blocks of BLOCK, its probes to each block, and a group sends on
     sums only.  A pair counts in the group of the first segment that it shares, so in one group alone.
     """
-    if min_chars < 3 * (tau + 1):
-        raise ValueError(f"lines of {min_chars} characters are too short for {tau + 1} segments and shifts")
-    long = _places(docs).where(F.col("length") >= min_chars)
+    long = _places(docs).where(F.col("length") >= max(min_chars, JOIN_CHARS * (tau + 1)))
     keyed = _keyed(long, tau)
     met = keyed.groupBy("key").agg(F.max(F.col("role") == 3).alias("indexed"), F.min("id").alias("a"), F.max("id").alias("b"))
     met = small(met.where("indexed AND a <> b").select("key"))
@@ -256,7 +255,8 @@ def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     """Rows (doc_id, mark, n_lines, n_links, n_removed, removed), one per different (doc_id, text) of ``docs``.
 
     A line, trimmed, of ``min_chars`` characters or more is removed if the same line stands earlier in the corpus,
-    or its text is within ``tau`` edits of one whose first place is earlier; shorter lines stay.  Earlier means
+    or its text is within ``tau`` edits of one whose first place is earlier; shorter lines stay.  The edits are for
+    lines of JOIN_CHARS * (tau + 1) characters or more, as they would make most shorter ones alike.  Earlier means
     a smaller doc_id, then mark (the text's hash), then line number.  n_links sums, over the lines of the
     document, the different other texts within ``tau`` edits; ``removed`` has the line numbers, from 0.
 

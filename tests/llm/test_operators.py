@@ -110,6 +110,12 @@ def test_line_decisions_match_brute_force(spark):
         assert got[i] == (sum(len(near[x]) for _, x in own), gone)
 
 
+def test_short_lines_are_removed_too(spark):
+    texts = ["All rights reserved.\nRead more\nNo\n\n", "All rights reserved!\nRead more\nNo\n\nOn", "x\nRead mare\nNo."]
+    got = {x.doc_id: (x.n_lines, x.n_links, x.removed) for x in lines.line_decisions(make(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: (5, 2, []), 1: (5, 2, [0, 1, 2]), 2: (3, 1, [1])}
+
+
 def test_spans_keep_the_first_copy(spark):
     r = random.Random(5)
     passage = ". ".join(words(r, 14).capitalize() for _ in range(4)) + "."
