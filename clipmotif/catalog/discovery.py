@@ -80,10 +80,10 @@ def mstep_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def em_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model after two rounds of the fit."""
+    """The model after the whole fit."""
     own = _seqs(spark, sf_dir)
     counted = em.base_counts(own)
-    (new,) = em.fit(em.site_facts(own, WIDTH), counted, [MODEL], rounds=2)
+    (new,) = em.fit(em.site_facts(own, WIDTH), counted, [MODEL])
     return _parameters(spark, new, new.ll / em.totals(counted)["n"])
 
 
@@ -127,8 +127,8 @@ def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discover_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two motifs of the texts' nucleotides, each the best of two starts after four rounds."""
-    found = programs.discover_motifs(_seqs(spark, sf_dir), WIDTH, motifs=2, starts=2, rounds=4)
+    """The motifs of the texts' nucleotides, by the program's own numbers of motifs, starts and rounds."""
+    found = programs.discover_motifs(_seqs(spark, sf_dir), WIDTH)
     rows = [(r, m.number, m.model.kmer, k + 1, *map(float, p), float(m.model.gamma)) for r, m in enumerate(found) for k, p in enumerate(m.model.matrix)]
     return rounded(spark.createDataFrame(rows, "motif_rank int, motif int, kmer string, k int, a double, c double, g double, t double, gamma double"), "a", "c", "g", "t", "gamma")
 
