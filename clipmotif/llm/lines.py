@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, cut, small, small_batches
+from clipmotif.llm.common import col, cut, small_batches
 
 TAU = 2  # edits
 MIN_CHARS = 1  # shorter lines are never removed
 JOIN_CHARS = 3  # characters a segment: lines with fewer for each of their tau + 1 segments are compared whole only
-BLOCK = 256  # index lines of one key that meet the probes in one group
+BLOCK = 256  # index lines that meet the probes of their key in one group; a key with more is refined, then split
 
 
 def segments(length: int, tau: int = TAU) -> list[tuple[int, int]]:
@@ -91,6 +91,7 @@ def near(a: str, b: str, tau: int = TAU) -> bool:
     return score <= tau
 
 
+STEP = 64  # a refined row's number in ``probes`` among what is left counts this much in ``how``
 PAIRS = 64  # pairs of one group that are compared without a look at their histograms
 
 
@@ -100,37 +101,6 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount((c[:-1] * np.uint32(31) + c[1:]) & np.uint32(63), minlength=64).astype(np.int16)
 
 
-def _first_key(short: str, long: str, i: int, tau: int) -> bool:
-    """Whether no segment before the i-th of the shorter line stands at an allowed place of the longer one."""
-    for j, (start, size) in enumerate(segments(len(short), tau)[:i]):
-        low, high = window(start, size, j, len(short), len(long), tau)
-        own = short[start : start + size]
-        if any(long.startswith(own, at) for at in range(low, high + 1)):
-            return False
-    return True
-
-
-def _group_links(index: list[tuple], probes: list[tuple], i: int, tau: int) -> list[tuple[int, int]]:
-    """Linked pairs (index row, probe row) of one group; rows are (id, place, text), each pair once over all keys."""
-    out = []
-    if len(index) * len(probes) <= PAIRS:
-        pairs = [(x, y) for x in range(len(index)) for y in range(len(probes))]
-    else:
-        pairs = []
-        left = np.stack([histogram(t) for _, _, t in index])
-        for at in range(0, len(probes), BLOCK):
-            right = np.stack([histogram(t) for _, _, t in probes[at : at + BLOCK]])
-            close = np.abs(left[:, None] - right[None]).sum(axis=2, dtype=np.int32) <= 4 * tau
-            pairs += [(int(x), at + int(y)) for x, y in zip(*np.nonzero(close), strict=True)]
-    for x, y in pairs:
-        (s_id, _, s), (r_id, _, r) = index[x], probes[y]
-        if s_id == r_id or (len(s) == len(r) and s_id > r_id):
-            continue
-        if near(s, r, tau) and _first_key(s, r, i, tau):
-            out.append((x, y))
-    return out
-
-
 def probes(tau: int = TAU) -> list[tuple[int, int, int, int]]:
     """Rows (delta, segment, shift, role): what a line sends out, role bit 0 for the index and bit 1 for probes.
 
@@ -165,81 +135,225 @@ def line_keys(line: str, tau: int = TAU) -> list[int]:
     return [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in _cuts(len(line), tau)]
 
 
-def _keyed(long: DataFrame, tau: int) -> DataFrame:
-    """Rows (id, key, segment, role) of ``long(id, line)``."""
+def _rest(line: str, e: int, tau: int) -> tuple[str, int]:
+    """What is left of a line without the segment that it sends out as row ``e`` of ``probes``, and that row's delta."""
+    delta, i, k, _ = probes(tau)[e]
+    start, size = segments(len(line) - delta, tau)[i]
+    return line[: start + k] + line[start + k + size :], delta
+
+
+def _matches(s: str, r: str, tau: int) -> Iterator[int]:
+    """Rows of ``probes`` by which the longer line r finds a segment of s, in their order."""
+    parts = segments(len(s), tau)
+    for e, (delta, i, k, _) in enumerate(probes(tau)):
+        start, size = parts[i]
+        if delta == len(r) - len(s) and s[start : start + size] == r[start + k : start + k + size]:
+            yield e
+
+
+def meeting(s: str, r: str, refined: bool, tau: int = TAU) -> tuple[int, int]:
+    """Where the linked lines s and r, not longer first, count: the first shared segment without which they are within
+    ``tau`` edits still, and in a refined key the first segment that is shared by what is left; -1 for none.
+
+    Of tau edits at least one of tau + 1 segments is free, with as many edits before it as its shift allows, so there
+    is such a segment; it names one group for every pair, whatever keys are refined.
+    """
+    place = {i: e for e, (delta, i, k, _) in enumerate(probes(tau)) if delta == k == 0}
+    for e in _matches(s, r, tau):
+        a, b = _rest(s, place[probes(tau)[e][1]], tau)[0], _rest(r, e, tau)[0]
+        if near(a, b, tau):
+            return e, next(_matches(a, b, tau), -1) if refined else -1
+    return -1, -1
+
+
+def _group_links(index: list[tuple], probing: list[tuple], tau: int) -> list[tuple[int, int]]:
+    """Linked pairs (index row, probing row) of one group that count here; rows are (id, how, length, text, ...)."""
+    out = []
+    if len(index) * len(probing) <= PAIRS:
+        pairs = [(x, y) for x in range(len(index)) for y in range(len(probing))]
+    else:
+        pairs = []
+        left = np.stack([histogram(row[3]) for row in index])
+        for at in range(0, len(probing), BLOCK):
+            right = np.stack([histogram(row[3]) for row in probing[at : at + BLOCK]])
+            for low in range(0, len(left), BLOCK):
+                close = np.abs(left[low : low + BLOCK, None] - right[None]).sum(axis=2, dtype=np.int32) <= 4 * tau
+                pairs += [(low + int(x), at + int(y)) for x, y in zip(*np.nonzero(close), strict=True)]
+    for x, y in pairs:
+        (s_id, _, _, s), (r_id, how, _, r) = index[x][:4], probing[y][:4]
+        if s_id == r_id or (len(s) == len(r) and s_id > r_id):
+            continue
+        if near(s, r, tau):
+            e, f = meeting(s, r, how >= STEP, tau)
+            if how == e + STEP * (f + 1):
+                out.append((x, y))
+    return out
+
+
+def _keyed(own: DataFrame, tau: int) -> DataFrame:
+    """Rows (key, id, role, how) of lines (id, first): role 0 for the index, 1 for probes; how is the row of ``probes``."""
     pattern = probes(tau)
-    segment, role = np.array([p[1] for p in pattern], np.int8), np.array([p[3] for p in pattern], np.int8)
+    role = np.array([p[3] != 3 for p in pattern], np.int8)
+    how = np.arange(len(pattern), dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2000):
-            n, keys = batch.num_rows, []
-            for line in batch.column(1).to_pylist():
-                keys += line_keys(line, tau)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(pattern))
-            arrays = [ids, np.array(keys, np.uint64).view(np.int64), np.tile(segment, n), np.tile(role, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "key", "segment", "role"])
+            ids, keys = [], []
+            for own, line in zip(batch.column(0).to_pylist(), batch.column(1).field("line").to_pylist(), strict=True):
+                if len(line) >= JOIN_CHARS * (tau + 1):
+                    ids.append(own)
+                    keys += line_keys(line, tau)
+            n = len(ids)
+            arrays = [np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(ids, np.int64), len(pattern)), np.tile(role, n), np.tile(how, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "role", "how"])
+
+    return own.select("id", "first").mapInArrow(run, "key long, id long, role byte, how int")
+
+
+def _met(block: int, split: bool):
+    """An Arrow function on rows (key, id, role, how, ...) sorted by key, role and id: keeps the groups of one key that
+    have an index row and two lines.
+
+    Without ``split`` it adds ``hot``, whether the group has more than ``block`` index rows.  With it, index rows are dealt
+    to blocks, every row is sent to each block that it has to probe, and ``block`` and ``probe`` are added: an index
+    row probes the blocks before its own, as its own has the lines that precede it.  At most 2 * block rows of a group
+    are held; of a larger one the rest passes as it comes.
+    """
 
-    return long.select("id", "line").mapInArrow(run, "id long, key long, segment byte, role byte")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        at, seen = None, 0  # the group that is passing, and its index rows so far
+
+        def judged(batch: pa.RecordBatch, going: bool) -> pa.RecordBatch:
+            nonlocal at, seen
+            key, ids, role = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            index = np.add.reduceat((role == 0).astype(np.int64), starts)
+            before = np.zeros(len(starts), np.int64)
+            fine = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+            if at is not None and key[0] == at:
+                before[0], fine[0] = seen, True
+            index += before
+            if going:
+                at, seen, fine[-1] = key[-1], int(index[-1]), True
+            fine &= index > 0
+            rows = np.flatnonzero(np.repeat(fine, sizes))
+            index, before = np.repeat(index, sizes)[rows], np.repeat(before - np.r_[0, np.cumsum(index - before)[:-1]], sizes)
+            if not split:
+                return pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(index > block)], names=[*batch.schema.names, "hot"])
+            number = (np.cumsum(role == 0) - 1 + before)[rows]  # of index rows, within their group
+            own = role[rows] == 0
+            last = np.where(own, number, index - 1) // block
+            rows = np.repeat(rows, last + 1)
+            to = np.arange(len(rows)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
+            probe = ~np.repeat(own, last + 1) | (to < np.repeat(last, last + 1))
+            return pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(to.astype(np.int32)), pa.array(probe)], names=[*batch.schema.names, "block", "probe"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key = batch.column(0).to_numpy()
+            first = int(np.searchsorted(key, key[-1]))
+            if len(key) - first > 2 * block or (at is not None and key[-1] == at):
+                held = None
+                yield judged(batch, True)
+            else:
+                held = batch.slice(first)
+                if first:
+                    yield judged(batch.slice(0, first), False)
+        if held is not None:
+            yield judged(held, False)
+
+    return run
+
+
+def _refined(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id, role, how, hot, first) the hot ones again, under keys of segments of what is left of their lines."""
+    own = [e for e, p in enumerate(probes(tau)) if p[3] == 3]
+    for batch in small_batches(batches, 2000):
+        keys, roles, hows, rows = [], [], [], []
+        for n, (key, role, how, hot, first) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True)):
+            rest, delta = _rest(first["line"], how, tau) if hot else ("", 0)
+            if len(rest) - delta <= tau:
+                keys.append(key)
+                roles.append(role)
+                hows.append(how)
+                rows.append(n)
+                continue
+            for f, (start, end, seed) in enumerate(_cuts(len(rest), tau)):
+                if probes(tau)[f][0] == delta:
+                    sub = xxhash.xxh64_intdigest(rest[start:end].encode("utf-8", "surrogatepass"), seed)
+                    keys.append(xxhash.xxh64_intdigest(f"{key}:{sub}") - (1 << 63))
+                    roles.append(0 if role == 0 and f in own else 1)
+                    hows.append(how + STEP * (f + 1))
+                    rows.append(n)
+        taken = batch.take(pa.array(rows, pa.int64()))
+        arrays = [pa.array(keys, pa.int64()), taken.column(1), pa.array(roles, pa.int8()), pa.array(hows, pa.int32()), taken.column(5)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "id", "role", "how", "first"])
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, mark, line_no, id, chk, line, length); mark tells rows apart that share a doc_id."""
+    """Rows (doc_id, mark, line_no, id, chk, line); mark tells rows apart that share a doc_id."""
     text = F.coalesce(col("text").cast("string"), F.lit(""))
     own = docs.select(col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
     own = own.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
-    return own.select("doc_id", "mark", "line_no", F.shiftrightunsigned(F.xxhash64("line"), 1).alias("id"), F.hash("line").alias("chk"), "line", F.length("line").alias("length"))
+    return own.select("doc_id", "mark", "line_no", F.shiftrightunsigned(F.xxhash64("line"), 1).alias("id"), F.hash("line").alias("chk"), "line")
 
 
-def edit_links(docs: DataFrame, firsts: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows (id, n_links, earlier): of every line linked to another text, with how many, and whether one comes earlier.
+def edit_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
+    """Rows (id, chk, n_links, earlier): of every line linked to another text, with how many, and whether one comes earlier.
 
-    ``firsts`` has (id, place) with the first place of every text.  A key that a hot segment gives to many
-    lines is split: its index lines go to blocks of BLOCK, its probes to each block, and a group sends on
-    sums only.  A pair counts in the group of the first segment that it shares, so in one group alone.
+    Different lines, with their first places, send their keys to one shuffle; sorted by key, the groups without two
+    lines go, which are nearly all, and only the lines left are joined to their texts.  A key with more than ``block``
+    index lines, as a hot segment has, is refined: its lines are dealt again by segments of what is left of them; a
+    group that is still larger is split into blocks.  Pairs are not sent on: a pair counts in one group alone (see
+    ``meeting``), and groups send sums.
     """
-    long = _places(docs).where(F.col("length") >= max(min_chars, JOIN_CHARS * (tau + 1)))
-    keyed = _keyed(long, tau)
-    met = keyed.groupBy("key").agg(F.max(F.col("role") == 3).alias("indexed"), F.min("id").alias("a"), F.max("id").alias("b"))
-    met = small(met.where("indexed AND a <> b").select("key"))
-    hits = cut(keyed.join(met, "key").groupBy("key", "id").agg(F.max("role").alias("role"), F.min("segment").alias("segment")))
-    ids = small(hits.select("id").distinct())
-    texts = long.select("id", "line").join(ids, "id").groupBy("id").agg(F.min("line").alias("line"))
-    texts = cut(texts.join(firsts, "id"))
-    blocks = hits.where("role = 3").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    spread = hits.join(small(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    index = spread.where("role = 3").select("key", own.alias("block"), F.lit(0).alias("probe"), "segment", "id")
-    probe = spread.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"), "segment", "id")
-    rows = index.unionByName(probe).join(texts, "id").select("key", "block", "probe", "segment", "id", "place", "line")
+    own = _places(docs).where(F.length("line") >= min_chars)
+    own = own.groupBy("id").agg(F.min(F.struct("chk", "doc_id", "mark", "line_no", "line")).alias("first"))
+    hits = _keyed(own, tau).repartition("key").sortWithinPartitions("key", "role", "id")
+    hits = hits.mapInArrow(_met(block, False), "key long, id long, role byte, how int, hot boolean")
+    kind = own.schema["first"].dataType.simpleString()
+    rows = hits.join(own, "id").select("key", "id", "role", "how", "hot", "first")
+    rows = rows.mapInArrow(lambda batches: _refined(batches, tau), f"key long, id long, role byte, how int, first {kind}")
+    rows = rows.repartition("key").sortWithinPartitions("key", "role", "id")
+    rows = rows.mapInArrow(_met(block, True), f"key long, id long, role byte, how int, first {kind}, block int, probe boolean")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index, probes, segment = None, [], [], 0
-        links: dict[int, list[int]] = {}
+        at, index, probing = None, [], []
+        links: dict[tuple[int, int], list[int]] = {}
 
         def meet() -> None:
-            for x, y in _group_links(index, probes, segment, tau):
-                (s, p, _), (r, q, _) = index[x], probes[y]
+            for x, y in _group_links(index, probing, tau):
+                (s, p), (r, q) = index[x][4:], probing[y][4:]
                 for own, late in ((s, q < p), (r, p < q)):
                     n = links.setdefault(own, [0, 0])
                     n[0] += 1
                     n[1] |= late
-            probes.clear()
+            probing.clear()
 
         def send() -> pa.RecordBatch:
-            arrays = [pa.array(list(links), pa.int64()), pa.array([v[0] for v in links.values()], pa.int64()), pa.array([bool(v[1]) for v in links.values()], pa.bool_())]
+            rows = [(*own, n, bool(late)) for own, (n, late) in links.items()]
             links.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "n_links", "earlier"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "chk", "n_links", "earlier"])
 
         for batch in small_batches(batches, 2000):
-            keys, blocks, sides, segs, ids, places, lines = (batch.column(k).to_pylist() for k in range(7))
-            for key, block, side, seg, own, place, line in zip(keys, blocks, sides, segs, ids, places, lines, strict=True):
-                if (key, block) != at:
+            keys, ids, _, hows, firsts, blocks, probes_ = (batch.column(k).to_pylist() for k in range(7))
+            for key, own, how, first, to, probe in zip(keys, ids, hows, firsts, blocks, probes_, strict=True):
+                if (key, to) != at:
                     meet()
-                    at, index, segment = (key, block), [], seg
-                row = (own, (place["doc_id"] is not None, place["doc_id"] or 0, place["mark"], place["line_no"]), line)
-                (probes if side else index).append(row)
-                if len(probes) >= 8 * BLOCK:
+                    at, index = (key, to), []
+                place = (first["doc_id"] is not None, first["doc_id"] or 0, first["mark"], first["line_no"])
+                row = (own, how, len(first["line"]), first["line"], (own, first["chk"]), place)
+                probing.append(row)
+                if not probe:
+                    index.append(row)
+                elif len(probing) >= 8 * BLOCK:
                     meet()
             if links:
                 yield send()
@@ -247,11 +361,11 @@ def edit_links(docs: DataFrame, firsts: DataFrame, tau: int = TAU, min_chars: in
         if links:
             yield send()
 
-    found = rows.mapInArrow(run, "id long, n_links long, earlier boolean")
-    return found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
+    found = rows.mapInArrow(run, "id long, chk int, n_links long, earlier boolean")
+    return found.groupBy("id", "chk").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
 
 
-def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, mark, n_lines, n_links, n_removed, removed), one per different (doc_id, text) of ``docs``.
 
     A line, trimmed, of ``min_chars`` characters or more is removed if the same line stands earlier in the corpus,
@@ -260,21 +374,26 @@ def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     a smaller doc_id, then mark (the text's hash), then line number.  n_links sums, over the lines of the
     document, the different other texts within ``tau`` edits; ``removed`` has the line numbers, from 0.
 
+    A text stays at its first place alone, so a document needs only the numbers of the lines that stay: a line that
+    very many documents share sends one row.  The plan is the same at every size.
+
     A null text is one empty line; equal rows have one answer, which holds for all of them; a null doc_id
     counts as the smallest; lines of any length are compared whole; other columns are not read; an empty
     table gives no row.
     """
-    places = cut(_places(docs).select("doc_id", "mark", "line_no", "id", "chk", (F.col("length") >= min_chars).alias("long")).distinct())
-    place = F.struct("doc_id", "mark", "line_no")
-    firsts = cut(places.where("long").groupBy("id", "chk").agg(F.min(place).alias("place")))
-    flags = cut(edit_links(docs, firsts.groupBy("id").agg(F.min("place").alias("place")), tau, min_chars))
-    known = cut(firsts.join(flags, "id", "left"))
-    lines = places.where("long").join(known, ["id", "chk"]).select("doc_id", "mark", "line_no", (F.coalesce("earlier", F.lit(False)) | (place != F.col("place"))).alias("gone"), "n_links")
-    lines = lines.unionByName(places.where("NOT long").select("doc_id", "mark", "line_no", F.lit(False).alias("gone"), F.lit(None).cast("long").alias("n_links")))
-    removed = F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no"))))
-    return lines.groupBy("doc_id", "mark").agg(
-        F.count("*").alias("n_lines"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"), F.count_if("gone").alias("n_removed"), removed.alias("removed")
-    )
+    flags = cut(edit_links(docs, tau, min_chars, block))
+    places = _places(docs).where(F.length("line") >= min_chars)
+    firsts = places.groupBy("id", "chk").agg(F.min(F.struct("doc_id", "mark", "line_no")).alias("first"))
+    stay = firsts.join(flags, ["id", "chk"], "left").where("NOT coalesce(earlier, false)").select("first.doc_id", "first.mark", "first.line_no")
+    linked = places.select("doc_id", "mark", "id", "chk").join(flags.select("id", "chk", "n_links"), ["id", "chk"]).groupBy("doc_id", "mark").agg(F.sum("n_links").alias("n_links"))
+    text = F.coalesce(col("text").cast("string"), F.lit(""))
+    own = docs.select(col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.split(text, "\n").alias("lines"))
+    long = F.filter(F.transform("lines", lambda x, k: F.when(F.length(F.trim(x)) >= min_chars, k)), lambda k: k.isNotNull())
+    own = own.select("doc_id", "mark", F.size("lines").cast("long").alias("n_lines"), long.alias("long"))
+    rows = own.unionByName(stay, allowMissingColumns=True).unionByName(linked, allowMissingColumns=True)
+    found = rows.groupBy("doc_id", "mark").agg(F.max("n_lines").alias("n_lines"), F.max("n_links").alias("n_links"), F.count("n_lines").alias("copies"), F.max("long").alias("long"), F.collect_list("line_no").alias("stay"))
+    removed = F.array_except("long", "stay")
+    return found.select("doc_id", "mark", "n_lines", F.coalesce(F.expr("n_links div copies"), F.lit(0)).alias("n_links"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def drop_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -56,24 +56,31 @@ def test_near_lines_share_a_key():
 def test_group_links_count_each_pair_in_one_group_only():
     r = random.Random(3)
     base = "".join(r.choices("abcdefgh", k=40))
-    texts = sorted({edited(r, base, r.randint(0, 3), "xyz") for _ in range(150)})
-    rows = [(i, None, t) for i, t in enumerate(texts)]
+    texts = sorted({edited(r, base, r.randint(0, 3), "xyz") for _ in range(150)} | {"ab" * 9 + x for x in ("", "a", "b", "ba")})
     groups: dict = {}
-    for row in rows:
-        roles: dict = {}
-        for key, (_, segment, _, role) in zip(lines.line_keys(row[2]), lines.probes(), strict=True):
-            old = roles.get(key, (0, segment))
-            roles[key] = (max(old[0], role), segment)
-        for key, (role, segment) in roles.items():
-            groups.setdefault((key, segment), []).append((row, role))
+    for i, t in enumerate(texts):
+        for e, (key, p) in enumerate(zip(lines.line_keys(t), lines.probes(), strict=True)):
+            groups.setdefault(key, []).append(((i, e, len(t), t), p[3]))
     found = []
-    for (_, segment), own in groups.items():
-        index, probes = [x for x, role in own if role == 3], [x for x, _ in own]
-        found += [tuple(sorted((index[x][0], probes[y][0]))) for x, y in lines._group_links(index, probes, segment, lines.TAU)]
+    for own in groups.values():
+        index, probing = [x for x, role in own if role == 3], [x for x, _ in own]
+        found += [tuple(sorted((index[x][0], probing[y][0]))) for x, y in lines._group_links(index, probing, lines.TAU)]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if edit_rows(texts[i], texts[j])[-1] <= lines.TAU}
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_every_near_pair_has_a_meeting():
+    r = random.Random(13)
+    for _ in range(4_000):
+        tau = r.choice([1, 2, 3])
+        a = "".join(r.choices("ab", k=r.randint(14, 26)))
+        s, t = sorted((a, edited(r, a, r.randint(0, tau), "ab")), key=len)
+        if len(t) - len(s) > tau:
+            continue
+        e, f = lines.meeting(s, t, True, tau)
+        assert e >= 0 and f >= 0, (s, t, tau)
+
+
 def brute_fingerprint(text: str) -> int:
     words = [w for w in text.encode().lower().replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w]
     if not words:

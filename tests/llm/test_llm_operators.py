@@ -86,9 +86,11 @@ def test_simhash_groups(spark):
     assert {x.doc_id for x in simhash.keep_one(make(spark, rows)).collect()} == set(root.values())
 
 
-def test_line_decisions_match_brute_force(spark):
+@pytest.mark.parametrize("block", [lines.BLOCK, 3])
+def test_line_decisions_match_brute_force(spark, block):
+    """Small blocks refine nearly every key and split what is left."""
     r = random.Random(4)
-    base = [words(r, 8) for _ in range(10)]
+    base = [words(r, 8) for _ in range(8)] + ["Copyright 2024 by all of the authors of this page no. 0001", "ab" * 15]
 
     def vary(t):
         t = list(t)
@@ -97,7 +99,7 @@ def test_line_decisions_match_brute_force(spark):
         return "".join(t)
 
     texts = ["\n".join([vary(r.choice(base)) for _ in range(4)] + ["short", "short"]) for _ in range(40)]
-    got = {x.doc_id: (x.n_links, x.removed) for x in lines.line_decisions(make(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    got = {x.doc_id: (x.n_links, x.removed) for x in lines.line_decisions(make(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1)]), block=block).collect()}
     first: dict = {}
     for i, t in enumerate(texts):
         for k, x in enumerate(t.split("\n")):
