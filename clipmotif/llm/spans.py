@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, cut, small_batches, texts_of
+from clipmotif.llm.common import col, small_batches, texts_of
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -79,31 +79,64 @@ def _marked(docs: DataFrame) -> DataFrame:
     return own.withColumn("mark", F.xxhash64("text"))
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (run, doc_id, mark, first, last, again) sorted by run and place those that are not at their run's first place."""
+    run, head = None, None  # the last run that was seen, and its first place
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = batch.column(0).to_numpy()
+        doc = batch.column(1)
+        place = np.stack([doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()], 1)
+        lead = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(own)), 0))
+        least = place[lead]
+        if own[0] == run:
+            least[lead == 0] = head
+        run, head = own[-1], least[-1]
+        gone = (place != least).any(axis=1) | batch.column(5).to_numpy(zero_copy_only=False)
+        if gone.any():
+            kept = batch.filter(pa.array(gone))
+            yield pa.RecordBatch.from_arrays(kept.columns[1:5], names=["doc_id", "mark", "first", "last"])
+
+
 def repeated_runs(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
     """Rows (doc_id, mark, first, last): the runs of ``docs(doc_id, text)`` that an earlier run repeats.
 
-    Earlier means a smaller doc_id, then a smaller mark (the text's hash), then an earlier sentence.
+    Earlier means a smaller doc_id, then a smaller mark (the text's hash), then an earlier sentence.  Runs are hashed
+    and shuffled once.  Of the equal runs of one batch only the first is sent to meet those of other batches: the
+    others are known to be repeated and are dealt out by their own place, so that a run which very many documents
+    hold sends one row a batch to its task, which holds one row at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            ids, marks, hashes, firsts, lasts = [], [], [], [], []
-            for doc, text, mark in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
+            docs_, marks, hashes, firsts, lasts = [], [], [], [], []
+            for n, (text, mark) in enumerate(zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)):
                 own = runs(text, sentences(text), min_sentences, min_words, long_sentence)
-                ids += [doc] * len(own)
+                docs_ += [n] * len(own)
                 marks += [mark] * len(own)
                 hashes += [h for h, _, _ in own]
                 firsts += [i for _, i, _ in own]
                 lasts += [j for _, _, j in own]
-            arrays = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "run", "first", "last"])
-
-    found = _marked(docs).mapInArrow(run, "doc_id long, mark long, run long, first int, last int")
-    place = F.struct("doc_id", "mark", "first")
-    least = found.groupBy("run").agg(F.min(place).alias("least"), F.count("*").alias("n"))
-    # written first, so that a join by shuffling can split the partitions of runs that very many documents hold
-    least = cut(least.where("n > 1").select("run", "least"))
-    return found.join(least, "run").where(place > F.col("least")).select("doc_id", "mark", "first", "last")
+            ids = batch.column(0).take(pa.array(docs_, pa.int64()))
+            hashed, mark, first, last = np.array(hashes, np.uint64).view(np.int64), np.array(marks, np.int64), np.array(firsts, np.int32), np.array(lasts, np.int32)
+            known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            order = np.lexsort((first, mark, number, known, hashed))
+            place = np.stack([known, number, mark, first], 1)[order]
+            same = np.r_[False, hashed[order][1:] == hashed[order][:-1]][: len(order)]
+            lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+            elsewhere = (place != place[lead]).any(axis=1)
+            keep = ~same | elsewhere  # rows of the same place and run come from equal rows
+            again = elsewhere[keep]
+            rows = order[keep]
+            key = hashed[rows]
+            key[again] = np.cumsum(again)[again] * np.int64(0x9E3779B97F4A7C1) ^ mark[rows][again] ^ number[rows][again]
+            arrays = [pa.array(key), ids.take(pa.array(rows)), pa.array(mark[rows]), pa.array(first[rows]), pa.array(last[rows]), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["run", "doc_id", "mark", "first", "last", "again"])
+
+    found = _marked(docs).mapInArrow(run, "run long, doc_id long, mark long, first int, last int, again boolean")
+    found = found.repartition("run").sortWithinPartitions("run", "doc_id", "mark", "first")
+    return found.mapInArrow(_later, "doc_id long, mark long, first int, last int")
 
 
 def drop_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:

@@ -70,11 +70,12 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_simhash_groups(spark):
+@pytest.mark.parametrize("tile_rows", [simhash.TILE_ROWS, 2])
+def test_simhash_groups(spark, tile_rows):
     r = random.Random(3)
     base = [words(r, 120) for _ in range(12)]
     rows = [(k * 100 + i, t if i < 3 else t + " " + words(r, i), "en", "s", 1) for k, t in enumerate(base) for i in range(6)]
-    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(make(spark, rows)).collect()}
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(make(spark, rows), tile_rows=tile_rows).collect()}
     fps = {d: simhash.fingerprint(t) for d, t, *_ in rows}
     root = {d: d for d in fps}
     for _ in range(8):
@@ -129,6 +130,41 @@ def test_spans_keep_the_first_copy(spark):
         assert passage not in got[i].text and lone not in got[i].text and got[i].n_removed == 5 and rows[i][1].split("\n")[0] in got[i].text
 
 
+def test_repeats_match_brute_force(spark):
+    """Every run of every length, by text, against those at earlier places."""
+    r = random.Random(15)
+    pool = [words(r, r.choice([3, 9, 14, 45])).capitalize() + "." for _ in range(14)]
+    rows = [(r.choice([i, i, i // 2]), " ".join(r.choice(pool) if r.random() < 0.8 else words(r, 12).capitalize() + "." for _ in range(r.randint(0, 9))), "en", "s", 1) for i in range(60)]
+    rows += [(3, rows[3][1], "en", "s", 1)] * 2 + [(None, rows[5][1], "en", "s", 1)] + rows[:2]
+    df = make(spark, rows).repartition(5)
+    marks = {x.text: x.mark for x in df.select("text", F.xxhash64("text").alias("mark")).collect()}
+    seen: dict = {}
+    every = {}
+    for doc, text, *_ in rows:
+        said = [text[a:b].lower().split() for a, b in spans.sentences(text)]
+        own = []
+        for i in range(len(said)):
+            for j in range(i, len(said)):
+                n = sum(map(len, said[i : j + 1]))
+                if (j > i and n >= spans.MIN_WORDS) or (j == i and n >= spans.LONG_SENTENCE):
+                    own.append((repr(said[i : j + 1]), i, j))
+        every[doc, text] = own
+        for run, i, _ in own:
+            place = (doc is not None, doc or 0, marks[text], i)
+            seen[run] = min(seen.get(run, place), place)
+    want = {k: {x for run, i, j in own if seen[run] != (k[0] is not None, k[0] or 0, marks[k[1]], i) for x in range(i, j + 1)} for k, own in every.items()}
+    got = spans.repeated_runs(df).collect()
+    covered: dict = {}
+    for x in got:
+        covered.setdefault((x.doc_id, x.mark), set()).update(range(x["first"], x["last"] + 1))
+    assert {(k[0], marks[k[1]]): v for k, v in want.items() if v} == covered
+    texts = sorted((x.doc_id is not None, x.doc_id or 0, x.n_removed, x.text) for x in spans.drop_repeats(df).collect())
+    left = lambda k: spans.remove(k[1], [spans.sentences(k[1])[x] for x in sorted(want[k])])
+    assert len(texts) == len(rows)
+    assert [x[:3] for x in texts] == sorted((d is not None, d or 0, len(want[d, t])) for d, t, *_ in rows)
+    assert sorted(x[3].split() for x in texts) == sorted(left((d, t)).split() for d, t, *_ in rows)
+
+
 def test_quality_rules_follow_their_group(spark):
     r = random.Random(6)
     rows = [(i, " ".join(words(r, 1) + ("#" if lang == "xx" and r.random() < 0.5 else "") for _ in range(60)), lang, "s", 1) for lang, at in (("en", 0), ("xx", 1000)) for i in range(at, at + 80)]
