@@ -82,19 +82,21 @@ def tile_links(home: np.ndarray, visitors: np.ndarray, radius: int, high: int =
     return x[x != y], y[x != y]
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct fingerprints connected by distances up to ``radius``.
 
     A tile is a set of fingerprints whose four lanes have the same population counts; two tiles whose
     counts differ by more than ``radius`` in total cannot hold a pair and never meet.  Classes larger
-    than TILE_ROWS are cut into several tiles; a task holds one tile and streams its visitors.  The
-    class table has at most 17 ** 4 rows, whatever the input, and is broadcast.
+    than ``tile_rows`` are cut into several tiles; a task holds one tile and streams its visitors.  The
+    class table has at most 17 ** 4 rows, whatever the input, and is broadcast.  Fingerprints are dealt out
+    before each is sent to the up to 65 classes that it visits.
     """
     lane = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
-    known = fps.select("fp", *[lane(k).alias(f"p{k}") for k in range(LANES)])
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = fps.repartition(tasks, "fp").select("fp", *[lane(k).alias(f"p{k}") for k in range(LANES)])
     number = lambda *p: p[0] * 4913 + p[1] * 289 + p[2] * 17 + p[3]
     known = known.withColumn("class", number(*[F.col(f"p{k}") for k in range(LANES)]))
-    sizes = cut(known.groupBy("class").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles")))
+    sizes = cut(known.groupBy("class").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")))
     sizes = F.broadcast(sizes)
     known = known.join(sizes, "class").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int")).drop("tiles")
     home = known.select("class", "tile", F.lit(0).alias("visits"), "fp")
@@ -137,7 +139,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per row of ``docs(doc_id, text)``.
 
     Fingerprints within ``radius`` differing bits link; component_id is the least doc_id reachable.
@@ -148,7 +150,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     """
     all_fps = cut(fingerprints(docs, words))
     distinct = cut(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = cut(components(links(distinct.select("fp"), radius)).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id"))
+    linked = cut(components(links(distinct.select("fp"), radius, tile_rows)).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id"))
     roots = cut(linked.groupBy("root").agg(F.min("first_id").alias("least_id")))
     least = linked.join(roots, "root").select("fp", "least_id")
     classes = cut(distinct.join(least, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
