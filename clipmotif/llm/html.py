@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,30 +14,51 @@ from pyspark.sql import DataFrame
 from clipmotif.llm.common import col, small_batches
 
 #: elements that never hold article text
-DROPPED = frozenset("head nav header footer aside form script style noscript template button select option textarea iframe object svg canvas menu dialog label input audio video map".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template button select option textarea iframe object svg canvas menu dialog label input audio video map".split())
 #: elements that have no end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements that stay within their line
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-#: elements that begin a region of their own
-REGION = frozenset("body main article section div td table ul ol dl blockquote".split())
+#: elements that begin a region of their own; cells do if they hold blocks
+REGION = frozenset("body main article section div table ul ol dl blockquote".split())
+CELLS = frozenset("td th".split())
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|side-?bars?|comments?|disqus|replies|responses|"
+    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|side-?bars?|comments?|comment-?list|disqus|replies|respond|responses|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|pop-up|modals?|overlays?|newsletters?|subscribe|signup|social|share|sharing|related|recommend(?:ed|ations?)?|"
-    r"breadcrumbs?|menus?|nav|navbar|navigation|footers?|headers?|masthead|topbar|toolbar|widgets?|pagination|pager|login|search|skip|legal|copyright)(?:$|[\s_-]|\d)",
+    r"breadcrumbs?|menus?|nav|navbar|navigation|footers?|masthead|topbar|toolbar|widgets?|pagination|pager|login|search|skip|legal|copyright)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: page headers; those within an article, or named after one, hold its title
+HEADED = re.compile(r"(?:^|\s)(?:(?!(?:entry|post|article|story|content|title|section)[_-])[^\W_]+[_-])*headers?(?:$|[\s_-]|\d)", re.I)
+#: what an article element is if a class or the id begins so
+UNREAD = frozenset("comment comments reply replies response responses ad ads advert advertisement sponsored promo promotion teaser related".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACE = re.compile(r"\s+")
 
 
+def _unread(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether an element, by its tag, class, id, role or attributes, never holds article text."""
+    if tag in ("html", "body", "main"):
+        return False
+    named = " ".join(v for k, v in attrs if k in ("class", "id") and v)
+    if any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "role" and v in ROLES) for k, v in attrs):
+        return True
+    if tag == "article":
+        return any(re.split("[_-]", x, maxsplit=1)[0] in UNREAD for x in named.lower().split())
+    if not in_article and (tag == "header" or HEADED.search(named)):
+        return True
+    return tag in DROPPED or bool(NAMED.search(named))
+
+
 class _Lines(HTMLParser):
     """Collects the lines of a page: text, tags, characters inside links, and region number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, dropped, a link, region
-        self.dropped, self.links, self.region, self.regions = 0, 0, 0, 0
+        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, region before it
+        self.count: Counter[str] = Counter()  # of open tags by name
+        self.dropped, self.region = 0, 0
+        self.parents = [0]  # of each region
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -48,6 +70,10 @@ class _Lines(HTMLParser):
             self.tags = self.linked = 0
         self.text = []
 
+    def begin(self) -> None:
+        self.parents.append(self.region)
+        self.region = len(self.parents) - 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             if tag == "br":
@@ -56,36 +82,32 @@ class _Lines(HTMLParser):
                 self.flush()
             self.tags += 1
             return
-        if self.dropped:
-            self.open.append((tag, False, False, self.region))
-            return
-        if tag not in INLINE:
-            self.flush()
-            if tag in ("p", "li", "td", "tr", "dd", "dt", "option"):  # their end tags may be missing
-                for k in range(len(self.open) - 1, max(-1, len(self.open) - 4), -1):
-                    if self.open[k][0] == tag:
-                        self.unwind(k)
-                        break
-                    if self.open[k][0] not in INLINE:
-                        break
-        self.tags += 1
-        out = tag in DROPPED or any(
-            (k in ("class", "id") and v and NAMED.search(v)) or (k == "role" and v in ROLES) or k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs
-        )
-        if tag in ("html", "body", "main", "article"):
-            out = False
-        self.open.append((tag, out, tag == "a", self.region))
+        out = False
+        if not self.dropped:
+            if tag not in INLINE:
+                self.flush()
+                if tag in ("p", "li", "td", "th", "tr", "dd", "dt"):  # their end tags may be missing
+                    for k in range(len(self.open) - 1, max(-1, len(self.open) - 4), -1):
+                        if self.open[k][0] == tag:
+                            self.unwind(k)
+                            break
+                        if self.open[k][0] not in INLINE:
+                            break
+                if self.open and self.open[-1][0] in CELLS and self.open[-1][2] == self.region:
+                    self.begin()
+            self.tags += 1
+            out = _unread(tag, attrs, self.count["article"] > 0)
+        self.open.append((tag, out, self.region))
+        self.count[tag] += 1
         self.dropped += out
-        self.links += tag == "a"
-        if tag in REGION:
-            self.regions += 1
-            self.region = self.regions
+        if tag in REGION and not self.dropped:
+            self.begin()
 
     def unwind(self, k: int) -> None:
         while len(self.open) > k:
-            _, out, link, self.region = self.open.pop()
+            tag, out, self.region = self.open.pop()
             self.dropped -= out
-            self.links -= link
+            self.count[tag] -= 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -93,27 +115,29 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if not self.dropped and tag not in INLINE:
-                    self.flush()
-                self.unwind(k)
-                break
+        if self.count[tag]:  # what is searched is closed, so that a page takes linear time
+            if not self.dropped and tag not in INLINE:
+                self.flush()
+            k = len(self.open) - 1
+            while self.open[k][0] != tag:
+                k -= 1
+            self.unwind(k)
         self.tags += 1
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.text.append(data)
-            if self.links:
+            if self.count["a"]:
                 self.linked += len(data)
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, int]]:
+def page_lines(html: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """The lines (text, tags, linked characters, region) of a page, and the parent of each region."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.lines, parser.parents
 
 
 def smooth(ratios: np.ndarray, sigma: float = 2.0) -> np.ndarray:
@@ -127,33 +151,40 @@ def smooth(ratios: np.ndarray, sigma: float = 2.0) -> np.ndarray:
 def main_text(html: str, sigma: float = 2.0) -> str:
     """The article of one page, a line per block.
 
-    Lines in menus, headers, footers, sidebars, notices, adverts, forms and comments, as their elements,
-    roles, classes or ids say, are never content.  For the others the ratio of unlinked text to tags is
-    smoothed along the page; lines at or above half the mean form clusters; a region (the lines of one
-    container) is content if a cluster touches it and most of its text is unlinked, so short lines between
-    long ones stay.  Article and main elements are regions like others: the ratio decides on every page.
+    Lines in menus, footers, sidebars, notices, adverts, forms and comments, and in page headers outside of articles,
+    as their elements, roles, classes or ids say, are never content.  For the others the ratio of unlinked text to
+    tags is smoothed along the page, and lines at or above half the mean form clusters.  A region (the own lines of
+    one container) is content if a cluster touches it and some line of it is not mostly linked; then all its lines are.
+    A region of links alone, or without a cluster, is content only if it stands within an article's text: if lines of
+    a region around it that is content come before and after it.  Article and main elements are regions like others.
     """
-    lines = page_lines(html)
+    lines, parents = page_lines(html)
     if not lines:
         return ""
     ratios = np.array([(len(t) - min(linked, len(t))) / (1 + tags) for t, tags, linked, _ in lines])
     dense = smooth(ratios, sigma) >= 0.5 * ratios.mean()
-    total, linked_in, touched = {}, {}, set()
-    for (t, _, linked, region), d in zip(lines, dense, strict=True):
-        total[region] = total.get(region, 0) + len(t)
-        linked_in[region] = linked_in.get(region, 0) + min(linked, len(t))
-        if d:
-            touched.add(region)
-    plain = {r for r in total if linked_in[r] <= 0.5 * total[r]}
-    return "\n".join(t for t, _, _, r in lines if r in plain and r in touched)
+    plain = {r for t, _, linked, r in lines if 2 * min(linked, len(t)) <= len(t)}
+    content = {r for (_, _, _, r), d in zip(lines, dense, strict=True) if d and r in plain}
+    first, last = {}, {}
+    for n, (_, _, _, r) in enumerate(lines):
+        first.setdefault(r, n)
+        last[r] = n
+    whole = {r: (first[r], last[r]) for r in content}
+    for r in sorted(first):
+        at = parents[r]
+        while at and r not in content:
+            if at in whole and whole[at][0] < first[r] and last[r] < whole[at][1]:
+                content.add(r)
+            at = parents[at]
+    return "\n".join(t for t, _, _, r in lines if r in content)
 
 
 def extract_text(pages: DataFrame, sigma: float = 2.0) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one per row of ``pages(page_id, url, html)``.
 
     A null or empty html, and a page without article text, has the empty text; malformed pages are read
-    as far as tags close; null ids and urls stay null; repeated rows are extracted each; other columns
-    are not read; an empty table gives no row.
+    as far as tags close, in time linear in their length; null ids and urls stay null; of lines with equal ratios
+    all are treated alike; repeated rows are extracted each; other columns are not read; an empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -227,3 +228,33 @@ def test_main_text_is_chosen_by_the_ratio_where_there_is_an_article():
     assert "Read more" not in html.main_text(f"<body><div>{story}</div>{gap}{teaser}</body>")
     assert html.main_text(f"<body><article><div>{story}</div>{gap}<div><i>Tags</i> <i>a</i></div></article></body>").startswith("\n".join(lines))
     assert "Tags" not in html.main_text(f"<body><article><div>{story}</div>{gap}<div><i>Tags</i> <i>a</i></div></article></body>")
+
+
+def test_main_text_keeps_all_of_an_article():
+    """Titles in its header, linked paragraphs, tables and lists; reader comments and page headers go."""
+    page = "<main><article><header><h1>Title</h1></header><p>Body text one two three.</p><ul><li><a>one</a></li><li><a>two</a></li></ul><p><a>All linked paragraph of text</a></p></article></main>"
+    assert html.main_text(page) == "Title\nBody text one two three.\none\ntwo\nAll linked paragraph of text"
+    words = "Some long running text that goes on and on for the whole of the line. " * 4
+    cells = "".join(f"<tr><td>{k}</td><td>{k * k}</td></tr>" for k in range(40))
+    story = f'<div class="entry-header"><h1>Name</h1></div><p>{words}</p><table>{cells}</table><p>{words}</p>'
+    rest = f'<header><p>{words}</p></header><div class="site-header">{words}</div><article class="comment"><p>{words}</p></article><ol class="commentlist"><li>{words}</li></ol>'
+    got = html.main_text(f"<body>{rest}<article>{story}</article></body>").split("\n")
+    assert got == ["Name", words.strip(), *(str(x) for k in range(40) for x in (k, k * k)), words.strip()]
+    assert html.main_text(f"<body><div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div>{story}</div><div><a>next</a></div></body>").split("\n") == got
+
+
+def test_main_text_takes_linear_time():
+    start = time.process_time()
+    assert html.main_text("<div>" * 20_000 + "</p>" * 20_000 + "text" + "</div>" * 20_000) == "text"
+    assert html.main_text(('<p class="' + "a_" * 20_000 + '">text</p>') * 50) == "\n".join(["text"] * 50)
+    assert time.process_time() - start < 10
+
+
+def test_page_lines_count_text_tags_and_links():
+    found, parents = html.page_lines("<body><p>One <b>two</b></p><div><a href=x>link</a> more</div>tail</body>")
+    assert found == [("One two", 4, 0, 1), ("link more", 4, 4, 2), ("tail", 1, 0, 1)] and parents == [0, 0, 1]
+    flat = html.smooth(np.ones(9))
+    assert np.allclose(flat, 1)
+    spike = html.smooth(np.eye(1, 21, 10)[0])
+    want = np.exp(-((np.arange(21) - 10.0) ** 2) / 8) * (abs(np.arange(21) - 10) <= 6)
+    assert np.allclose(spike / spike[10], want / want[10], atol=0.02)

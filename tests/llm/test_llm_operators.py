@@ -240,9 +240,16 @@ def test_revisits(spark):
 
 
 def test_pages(spark):
-    rows = [(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (1, "u", "<article><p>a</p></article>")]
-    got = sorted((x.page_id or 0, x.text, x.n_chars) for x in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    assert got == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
+    long = "".join(f"<p>Sentence number {k} of a very long page.</p>" for k in range(20_000))
+    rows = [(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (1, "u", "<article><p>a</p></article>"), (3, "v", f"<nav>x</nav><div>{long}</div>"), (4, "w", "<p>a\x00b &amp; c"), (5, "w", "<<<>>><")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("text", "n_chars", "line", "a.b"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = sorted((x.page_id or 0, x.url or "", x.n_chars) for x in html.extract_text(df).collect())
+    n = sum(len(f"Sentence number {k} of a very long page.") for k in range(20_000)) + 19_999
+    assert [x for x in got if x[0] < 4] == [(0, "", 0), (1, "u", 1), (1, "u", 1), (2, "u", 0), (3, "v", n)]
+    assert all(x.n_chars == len(x.text) for x in html.extract_text(df).collect())
+    assert html.extract_text(df.limit(0)).count() == 0
 
 
 def test_classifier_holds_out_a_fifth(spark):
