@@ -9,91 +9,139 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, small_batches, texts_of
+from clipmotif.llm.common import col, cut, small_batches, texts_of
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.full(128, -1, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
-#: mean log-likelihood ratio per character pair, in nats, from which a string counts as random
-THRESHOLD = 0.2
-WORDS = (
-    "account action address admin after alert amount app array audio auth back base batch block body buffer build button cache call "
-    "card cart case change chart check child class click client clock close cloud code color column command comment commit config "
-    "connect content context control cookie copy count create current custom data date debug default delete deploy device dialog "
-    "digest direct disk display document domain download draft driver edit element email enable encode engine entity error event "
-    "export factory feature fetch field file filter flag folder font footer form format frame friend function gateway global graph "
-    "group handle hash header height history home host icon image import index info input insert install integer invoice item join "
-    "key label language layer layout length level library limit line link list load local location login loop mail main manager map "
-    "margin mask master match media member memory menu merge message method metric middle mobile model module monitor month mouse "
-    "name network node notice number object offer option order output owner package page panel parent parse partner path pattern "
-    "payment phone photo picture player point policy position post prefix price print process product profile project promise "
-    "property provider proxy public query queue random range rating reader record redirect reference region register release remote "
-    "remove render report request reset resource response result retry return review right role root route row rule sample scale "
-    "scene schedule schema scope score screen script scroll search section select sender server service session setting shadow shape "
-    "share sheet shop signal simple size slide socket sort source space stack stage start state static status step store stream "
-    "string style submit summary support switch symbol system table target task team template test text theme thread time title "
-    "toggle tool total trace track transfer tree trigger type unit update upload user utils valid value vector version video view "
-    "visible visitor volume wallet watch width window word worker wrapper write zone"
-).split()
-#: syllables of longer ordinary words in the languages of the corpus
-SYLLABLES = "an and ant ar as ation au be ber bl ch che ci cion co con de den der die do e ed eau ein el elle en ent er es eur ge gen he heit ich ie ier in ing ion is keit la lich ly ment mente mi nd ne nt o on or os ou pa que ra re rr sch se sh st ta te th ti tion to tre un und ung us ver vi wh y zu".split()
-
-
-def samples(n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]]:
-    """Labelled training strings: n random ones and n ordinary ones, the same for every call."""
+MIN_CHARS = 16  # of a stretch that the models judge
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+WORD = re.compile(r"[A-Za-z]{3,}")
+MAX_SAMPLES = 2000  # strings of each label, gathered from the corpus; those that hash lowest
+FALSE_ALARMS = 0.001  # of the ordinary training strings, that the evidence asked for may let through
+LEAST_EVIDENCE = 10.0  # nats
+
+
+def gather(docs: DataFrame, max_samples: int = MAX_SAMPLES) -> tuple[list[str], list[str]]:
+    """Labelled strings of the whole corpus: values that the fixed patterns find, and ordinary words.
+
+    Of each label the ``max_samples`` different strings that hash lowest, so the sample is bounded and the same
+    however rows are dealt out; every task sends so many at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[dict[int, str]] = [{}, {}]
+        for batch in small_batches(batches):
+            seen: list[set[str]] = [set(), set()]
+            for text in texts_of(batch, "text"):
+                seen[0].update(WORD.findall(text))
+                seen[1].update(v for v in (text[x[0] : x[1]].rpartition("=")[2].rpartition(":")[2].strip(" \"'") for x in base_spans(text)) if TOKEN.fullmatch(v))
+            for own, strings in zip(least, seen, strict=True):
+                own |= {xxhash.xxh64_intdigest(x) >> 1: x for x in strings}
+                for h in sorted(own)[max_samples:]:
+                    del own[h]
+        rows = [(label, h, x) for label, own in enumerate(least) for h, x in own.items()]
+        for at in range(0, len(rows), 1000):
+            columns = zip(*rows[at : at + 1000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.string()), strict=True)], names=["label", "h", "string"])
+
+    found = docs.select(col("text").cast("string").alias("text")).mapInArrow(run, "label int, h long, string string").distinct()
+    first = lambda label: [r["string"] for r in found.where(F.col("label") == label).orderBy("h").limit(max_samples).collect()]
+    found = cut(found)
+    return first(1), first(0)
+
+
+def samples(secrets: list[str], words: list[str], n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]]:
+    """Labelled strings for the two models: random ones (n uniform draws beside ``secrets``), and n ordinary ones made of
+    ``words`` in the styles of identifiers, paths and headings, besides numbers, times, versions, ids and rules."""
     r = random.Random(seed)
-    sets = ["0123456789abcdef", "0123456789ABCDEF", ALPHABET[:62], ALPHABET[:36] + "0123456789", ALPHABET[26:62], ALPHABET[:64], ALPHABET[:62] + "_-"]
-    noise = ["".join(r.choices(r.choice(sets), k=r.randint(20, 64))) for _ in range(n)]
+    letters = ALPHABET[:62]
+    sets = ["0123456789ABCDEF", letters, ALPHABET[:26] + "0123456789", ALPHABET[26:62], ALPHABET[:64], letters + "_-"]
+    noise = secrets + ["".join(r.choices(r.choice(sets), k=r.randint(MIN_CHARS, 64))) for _ in range(n)]
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
     plain = []
-    for _ in range(n):
-        kind = r.randrange(7)
-        w = r.choices(WORDS, k=r.randint(3, 6))
-        if kind == 0:
-            s = "_".join(w)
-        elif kind == 1:
-            s = w[0] + "".join(x.title() for x in w[1:])
-        elif kind == 2:
-            s = "-".join(w)
-        elif kind == 3:
-            s = "_".join(w).upper()
-        elif kind == 4:
-            s = "/".join(w) + str(r.randint(0, 99))
-        elif kind == 5:
-            s = "".join(r.choices(SYLLABLES, k=r.randint(6, 14)))
-            s = r.choice([s, s.upper(), s.title()])
-        else:
-            s = "".join(r.choices("0123456789", k=r.randint(6, 30))) if r.random() < 0.5 else r.choice("=-_/+") * r.randint(10, 40) + w[0]
-        plain.append(s)
+    for i in range(n if words else 0):
+        w = r.choices(words, k=r.randint(3, 7))
+        styles = (
+            lambda: "_".join(w).lower(), lambda: w[0] + "".join(x.title() for x in w[1:]), lambda: "-".join(w), lambda: "_".join(w).upper(), lambda: "/".join(w) + digits(r.randint(0, 2)),
+            lambda: "".join(w), lambda: "".join(x.title() for x in w), lambda: w[0] * 3, lambda: digits(r.randint(MIN_CHARS, 30)), lambda: r.choice("=-_/+") * r.randint(10, 40) + w[0],
+            lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}-{digits(2)}-{digits(2)}_{w[0]}_{w[1]}", lambda: f"{w[0]}-{w[1]}-v{digits(1)}-{digits(2)}-{digits(1)}-{w[2]}",
+            lambda: "-".join("".join(r.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
+        )
+        plain.append(styles[i % len(styles)]())
     return noise, plain
 
 
-class Markov:
-    """First-order character model with add-a-half smoothing."""
+def _pairs(string: str) -> tuple[np.ndarray, np.ndarray]:
+    c = CODE[np.frombuffer(string.encode("ascii"), np.uint8)]
+    return c[:-1], c[1:]
 
-    def __init__(self, strings: list[str]) -> None:
-        counts = np.full((len(ALPHABET), len(ALPHABET)), 0.5)
-        for s in strings:
-            c = CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-            np.add.at(counts, (c[:-1], c[1:]), 1)
-        self.log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
 
+def held_out(string: str) -> bool:
+    """Whether a labelled string serves to measure the models and not to train them: one in five, by its hash."""
+    return xxhash.xxh64_intdigest(string, 1) % 5 == 0
 
-def ratio_table(n: int = 4000, seed: int = 7) -> np.ndarray:
-    """Log-likelihood ratio, random over ordinary, of every character pair."""
-    noise, plain = samples(n, seed)
-    return Markov(noise).log_p - Markov(plain).log_p
 
+class Models:
+    """Two first-order character models with add-a-half smoothing: the log-likelihood ratio of every pair, random over
+    ordinary, and the evidence (summed ratio, nats) from which a stretch counts as random.
+
+    The evidence is what all but FALSE_ALARMS of the ordinary training strings stay below, LEAST_EVIDENCE at
+    least.  Without ordinary strings nothing can be told apart, and nothing counts as random.
+    """
 
-def ratio(token: str, table: np.ndarray) -> float:
-    c = CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
-    return float(table[c[:-1], c[1:]].mean())
+    def __init__(self, noise: list[str], plain: list[str]) -> None:
+        self.table = np.zeros((len(ALPHABET),) * 2)
+        for strings, sign in ((noise, 1), (plain, -1)):
+            counts = np.full(self.table.shape, 0.5)
+            for s in strings:
+                if not held_out(s):
+                    np.add.at(counts, _pairs(s), 1)
+            self.table += sign * np.log(counts / counts.sum(axis=1, keepdims=True))
+        self.evidence = LEAST_EVIDENCE if plain else np.inf
+        most = [self.best(s)[2] for s in plain if not held_out(s)]
+        if most:
+            self.evidence = max(self.evidence, float(np.quantile(most, 1 - FALSE_ALARMS)) + 1e-9)
+
+    def best(self, string: str) -> tuple[int, int, float]:
+        """The stretch (start, end) of greatest summed ratio, and that sum."""
+        upto = np.r_[0.0, np.cumsum(self.table[_pairs(string)])]
+        gain = upto - np.minimum.accumulate(upto)
+        end = int(np.argmax(gain))
+        return int(np.argmin(upto[: end + 1])), end + 1, float(gain[end])
+
+    def spans(self, string: str, offset: int = 0) -> list[tuple[int, int]]:
+        """The random stretches of a string of ALPHABET, widened to whole runs of letters and digits; from left to right."""
+        if len(string) < MIN_CHARS:
+            return []
+        a, b, sum_ = self.best(string)
+        if sum_ < self.evidence:
+            return []
+        while a and string[a - 1].isalnum():
+            a -= 1
+        while b < len(string) and string[b].isalnum():
+            b += 1
+        own = [(offset + a, offset + b)] if b - a >= MIN_CHARS else []
+        return self.spans(string[:a], offset) + own + self.spans(string[b:], offset + b)
+
+
+def rates(models: Models, noise: list[str], plain: list[str]) -> tuple[float, float]:
+    """Recall and share of false alarms on the held-out strings of MIN_CHARS characters or more."""
+    share = lambda strings: float(np.mean([bool(models.spans(s)) for s in strings if held_out(s) and len(s) >= MIN_CHARS] or [0]))
+    return share(noise), share(plain)
+
+
+def train(docs: DataFrame, max_samples: int = MAX_SAMPLES) -> Models:
+    """The models of a corpus: its own words and the values that the fixed patterns find in it label the samples."""
+    return Models(*samples(*gather(docs, max_samples)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -107,14 +155,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def scan(text: str, table: np.ndarray, threshold: float = THRESHOLD) -> tuple[list, list]:
-    """The base spans of a text, and all spans with those that only the character models find."""
+def scan(text: str, models: Models) -> tuple[list, list]:
+    """The base spans of a text, and all spans with those that only the character models find, outside of the base spans."""
     base = base_spans(text)
     more = []
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if not any(x[0] < b and a < x[1] for x in base) and ratio(m[0], table) >= threshold:
-            more.append((a, b, "markov"))
+        at, end = m.span()
+        for x in [*base, (end, end, "")]:
+            if x[1] > at and x[0] <= end:
+                more += [(a, b, "markov") for a, b in models.spans(text[at : max(at, x[0])], at)]
+                at = max(at, x[1])
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -122,23 +172,23 @@ def _said(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan_secrets(docs: DataFrame, models: Models | None = None) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov), one per row of ``docs(doc_id, text)``.
 
     ``spans`` lists kind:start:end in code points, by start and then kind; base_sha256 is taken over the
-    same list without the models' spans.  The two models are trained on ``samples`` when this is called.
+    same list without the models' spans.  Without ``models`` they are trained on ``docs`` when this is called.
 
     A null or empty text has no spans (the hash of the empty string); matches of different kinds may
     overlap and all stay; a models' span never overlaps a base span; repeated rows are scanned each;
     other columns are not read; an empty table gives no row.
     """
-    table = ratio_table()
+    models = models or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out: list[list] = [[] for _ in range(6)]
             for text in texts_of(batch):
-                base, spans = scan(text, table, threshold)
+                base, spans = scan(text, models)
                 for i, kind in enumerate(KINDS[:3]):
                     out[i].append(sum(x[2] == kind for x in base))
                 out[3].append(hashlib.sha256(_said(base).encode()).hexdigest())

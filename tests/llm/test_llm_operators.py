@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +190,89 @@ def test_quality_fences_come_from_the_data(spark):
     assert all(x.failed in ("", "repeat_share") for x in rules.quality_rules(make(spark, same)).collect())
 
 
+def plain_verdicts(docs, least):
+    """kept and failed of every document by the rules' text, with plain sorts and counts."""
+    white = " \t\n\v\f\r"
+    out, measured = {}, []
+    for d, text, lang, source, _ in docs:
+        text, w = text or "", [x for x in re.split(f"[{white}]+", text or "") if x]
+        lines_ = [x for x in text.split("\n") if x.strip(white)]
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        n_of = {g: grams.count(g) for g in set(grams)}
+        repeats = len({k for i, g in enumerate(grams) if n_of[g] > 1 for k in range(i, i + 5)})
+        n, m = len(w), len(lines_)
+        counts = {
+            "word_length": (sum(map(len, w)), n), "symbol_share": (sum(c in "#*$%&|<>" for x in w for c in x), n), "dup_line_share": (m - len(set(lines_)), m), "repeat_share": (repeats, n),
+            "upper_share": (sum(x.isupper() for x in w), n), "stutter_share": (sum(x == y for x, y in zip(w, w[1:], strict=False)), n),
+        }
+        measured.append((d, text, lang or "", source or "", n, m, {k: x / y if y else 0.0 for k, (x, y) in counts.items()}, n < 10 or 100 * repeats > 20 * n))
+    g = rules.GAMMA
+    edge = lambda v, up: 0.0 if v is None else g**v if up else g ** (v - 1)
+    middle = lambda v: 0.0 if v is None else 2 * g**v / (g + 1)
+
+    def fences(rows):
+        found = {}
+        for k in rules.METRICS:
+            own = sorted((-(10**6) if x[6][k] <= 0 else math.ceil(math.log(x[6][k]) / math.log(g)) for x in rows))
+            at = lambda q: (lambda v: None if v == -(10**6) else v)(own[max(0, math.ceil(q * len(own) - 1e-9) - 1)])  # noqa: B023, E731
+            low, mid, high = at(0.1), at(0.5), at(0.9)
+            found[f"{k}_high"] = edge(high, True) + 3 * (middle(high) - middle(mid))
+            found[f"{k}_low"] = edge(low, False) - 3 * (middle(mid) - middle(low))
+        return len(rows), found
+
+    spoken = [x for x in measured if x[4]]
+    of_all = fences(spoken)
+    of_lang = {k: fences([x for x in spoken if x[2] == k]) for k in {x[2] for x in spoken}}
+    own = {k: fences([x for x in spoken if x[2:4] == k]) for k in {x[2:4] for x in spoken}}
+    blend = lambda x, parent: {k: (x[0] * v + least * parent[k]) / (x[0] + least) for k, v in x[1].items()}
+    for d, text, lang, source, n, m, values, base in measured:
+        failed = []
+        if n:
+            fence = blend(own[lang, source], blend(of_lang[lang], of_all[1]))
+            for k, (per, low) in rules.METRICS.items():
+                size = max(1, n if per == "n_words" else m)
+                room = lambda rate, side: max(rate, 0.0) + 9 / (4 * size) + side * 3 * math.sqrt(max(rate, 0.0) / size + 0.375 / size**2)  # noqa: B023, E731
+                if values[k] > room(fence[f"{k}_high"], 1) or (low and values[k] < room(fence[f"{k}_low"], -1)):
+                    failed.append(k)
+        out.setdefault(d, []).append((not base and not failed, ",".join(failed), base))
+    return out
+
+
+def test_quality_verdicts_match_brute_force(spark):
+    r = random.Random(17)
+    rows = []
+    for i in range(260):
+        w = words(r, r.choice([5, 12, 60, 200])).split()
+        kind = i % 13
+        if kind == 0:
+            w = [x + "#" * r.randint(0, 2) for x in w]
+        if kind == 1:
+            w = [x.upper() for x in w]
+        if kind == 2:
+            w = [x for x in w for _ in range(r.randint(1, 3))]
+        if kind == 3:
+            w = ["".join(w[k : k + 4]) for k in range(0, len(w), 4)]
+        text = "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9))
+        if kind == 4:
+            text += "\n" + "\n".join(r.choices(text.split("\n"), k=6))
+        rows.append((i, text, r.choice(["en", "en", "de", None]), r.choice(["s0", "s0", "s1", None]), 1))
+    rows += [(500, None, None, None, None), (501, "", "en", "s0", 0), (502, "x " * 40, "xx", "alone", 1), *rows[:3]]
+    for least in (200, 5):
+        got: dict = {}
+        for x in rules.quality_rules(make(spark, rows).repartition(4), least=least).collect():
+            got.setdefault(x.doc_id, []).append((x.kept, x.failed, x.base_failed))
+        want = plain_verdicts(rows, least)
+        assert got == want
+    assert {k for v in want.values() for x in v for k in x[1].split(",")} >= {"symbol_share", "upper_share", "stutter_share", "word_length"}
+
+
+def test_values_at_a_fence_pass(spark):
+    """All documents alike: each stands at the quantile, and none is outside."""
+    text = " ".join(f"Word{k}" for k in range(40)) + " # HIGH"
+    got = rules.quality_rules(make(spark, [(i, text, "en", "s", 1) for i in range(50)])).collect()
+    assert all(x.kept and x.failed == "" for x in got) and len(got) == 50
+
+
 def test_sketch_quantiles_are_close(spark):
     values = [((i * 7919) % 10_000) / 100 for i in range(10_000)]
     df = spark.createDataFrame([(x,) for x in values], "x double").select(rules.bucket(F.col("x")).alias("bucket"), F.lit("g").alias("g"))
@@ -239,6 +325,38 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_secrets_of_a_corpus(spark):
+    """Base columns against a plain version; the models find keys that no pattern does, in documents alone that have one."""
+    r = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda k: "".join(r.choices(letters, k=k))
+    rows, planted = [], set()
+    for i in range(200):
+        text = words(r, 60)
+        if i % 5 == 1:
+            text += f" token={key(24)} and {words(r, 3)}"
+        if i % 5 == 2:
+            text += f" AKIA{'QWERTYUIOPASDFGH'} {'0a1b2c3d' * 4}"
+        if i % 5 == 3:
+            text += f" {words(r, 2)} /{words(r, 1)}/{key(28)} {words(r, 2)}"
+            planted.add(i)
+        rows.append((i, text, "en", "s", 1))
+    rows += [(900, None, None, None, None), (901, "", "en", "s", 0)] + rows[:2]
+    df = make(spark, rows).withColumn("spans", F.lit("mine")).withColumn("h", F.lit(1))
+    got = secrets.scan_secrets(df.repartition(3)).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(map(tuple, secrets.scan_secrets(df.repartition(7)).collect()))
+    texts = {d: t or "" for d, t, *_ in rows}
+    for x in got:
+        own = texts[x.doc_id]
+        base = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"token=[A-Za-z0-9]{24}", own)]
+        base += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]{16,}", own)] + [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]{24,}", own)]
+        assert x.base_sha256 == hashlib.sha256(",".join(y[2] for y in sorted(base)).encode()).hexdigest()
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(y[1] == k for y in base) for k in range(3))
+    found = {x.doc_id for x in got if x.n_markov}
+    assert len(found & planted) >= 0.9 * len(planted) and not found - planted
+    assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
 def test_pages(spark):
     long = "".join(f"<p>Sentence number {k} of a very long page.</p>" for k in range(20_000))
     rows = [(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (1, "u", "<article><p>a</p></article>"), (3, "v", f"<nav>x</nav><div>{long}</div>"), (4, "w", "<p>a\x00b &amp; c"), (5, "w", "<<<>>><")]
