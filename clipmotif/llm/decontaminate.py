@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, keep_rows, small_batches
+from clipmotif.llm.common import col, cut, keep_rows, small_batches
 
 Q = 12
 ERROR_RATE = 0.06  # edits allowed, as a share of an item's characters
@@ -193,16 +193,20 @@ class Index:
         return (lambda x: x and (x[0], x[1] + a))(banded(item, text[a:b], low - edits - a, high + edits - a, edits)) if b > a else None
 
 
-def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``block_chars`` characters; one block at a time comes to the driver."""
+def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of about ``block_chars`` characters of the benchmark, and the blocks; one at a time comes to the driver."""
     own = benchmark.select(col("item_id").cast("long").alias("item_id"), col("text").cast("string").alias("text")).dropna().distinct()
     chars = own.agg(F.sum(F.length("text") + 50)).first()[0] or 0
     n = int(chars // block_chars) + 1
-    for k in range(n):
-        rows = own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        block = sorted((r.item_id, r.text) for r in rows.collect())
-        if block:
-            yield block
+
+    def each() -> Iterator[list[tuple[int, str]]]:
+        for k in range(n):
+            rows = own if n == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+            block = sorted((r.item_id, r.text) for r in rows.collect())
+            if block:
+                yield block
+
+    return n, each()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -216,14 +220,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     fewest edits, then the first.
 
     The benchmark is the query set: it is gone through in blocks of bounded size, each a narrow pass over
-    all documents.  A null or empty text holds nothing; null or blank items are left out; of equal
+    all documents.  If there are several, what a block finds is written before the next one comes to the driver.  A null or empty text holds nothing; null or blank items are left out; of equal
     item_ids the better match counts; repeated documents are reported each; other columns are not read;
     empty tables give no row.
     """
     own = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits long, region_end long, item_chars long"
     found = None
-    for block in blocks_of(benchmark, block_chars):
+    n, blocks = blocks_of(benchmark, block_chars)
+    for block in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             index = Index(block, rate, q)
@@ -234,20 +239,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "edits", "region_end", "item_chars"])
 
         part = own.mapInArrow(run, schema)
+        part = part if n == 1 else cut(part)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; columns as they were, no shuffle."""
+    """``docs`` without the documents that hold a benchmark item; columns as they were.
+
+    For a benchmark of one block rows are filtered where they are read.  For several, what each block finds is written by
+    the hash of the text, and documents are joined to that.  Rows that ``find_leaks`` reports go, nulls stay.
+    """
+    n, blocks = blocks_of(benchmark, block_chars)
+    if n > 1:
+        mark = F.xxhash64(F.coalesce(col("text").cast("string"), F.lit("")))
+        gone = find_leaks(docs.select(mark.alias("doc_id"), col("text").alias("text")), benchmark, rate, q, block_chars).select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, mark == F.col("__gone"), "left_anti")
     at = docs.columns.index("text")
-    for block in blocks_of(benchmark, block_chars):
+    for block in blocks:
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(block, rate, q)
             for batch in small_batches(batches, 500):
                 hits = index.search([t or "" for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = keep_rows(docs, run)
+        return keep_rows(docs, run)
     return docs
