@@ -9,7 +9,7 @@ from clipmotif.llm.common import col
 
 #: header fields that a not-modified answer may replace in the stored response (fixed values)
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-SPAN_RECORDS = 86_400  # seconds of one span of the as-of join
+SPAN_SECONDS = 86_400  # of one span of the as-of join
 
 
 def canonical_url(url: Column) -> Column:
@@ -43,7 +43,7 @@ def _tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, span: int = SPAN_RECORDS) -> DataFrame:
+def resolve_revisits(records: DataFrame, span: int = SPAN_SECONDS) -> DataFrame:
     """Rows (record_id, canonical, ts, status, response_id, response_ts, payload_digest, payload_length, headers), one per revisit.
 
     ``records`` has record_id, url, ts (seconds), type, http_status, headers (lines of text), payload_digest
@@ -57,8 +57,9 @@ def resolve_revisits(records: DataFrame, span: int = SPAN_RECORDS) -> DataFrame:
     Resolved revisits have the response's payload and its headers, with the PERMITTED ones replaced by the
     revisit's, as "name: value" lines sorted by name; the others have null there.
 
-    URLs are cut into spans of time, so that a URL with very many captures is spread: the latest response of
-    earlier spans comes from one row per URL and span.  Null URLs and times make no_response; repeated
+    URLs are cut into spans of time, and captures are gathered by URL and second first, so that a URL with very many
+    captures is spread: a window holds at most ``span`` rows, and the latest response of earlier spans comes from
+    one row per URL and span.  Null URLs and times make no_response; repeated
     revisits are answered each; other columns are not read; an empty table gives no row.
     """
     own = records.select(
@@ -72,17 +73,20 @@ def resolve_revisits(records: DataFrame, span: int = SPAN_RECORDS) -> DataFrame:
     own = own.withColumn("span", F.floor(F.col("ts") / span))
     answer = F.struct("ts", "record_id", "payload_digest", "payload_length", "h")
     keyed = own.where("canonical IS NOT NULL AND ts IS NOT NULL")
-    within = Window.partitionBy("canonical", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = keyed.withColumn("near", F.max(F.when(F.col("full"), F.struct("ts", "record_id"))).over(within)).where("NOT full")
-    spans = keyed.groupBy("canonical", "span").agg(F.max(F.when(F.col("full"), F.struct("ts", "record_id"))).alias("latest"))
+    steps = keyed.groupBy("canonical", "span", "ts").agg(F.max(F.when(F.col("full"), F.struct("ts", "record_id"))).alias("here"), F.max(~F.col("full")).alias("asks"))
+    within = Window.partitionBy("canonical", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    near = steps.withColumn("near", F.max("here").over(within)).where("asks").select("canonical", "span", "ts", "near")
+    spans = steps.groupBy("canonical", "span").agg(F.max("here").alias("latest"))
     past = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("canonical", "span", F.max("latest").over(past).alias("far"))
-    found = near.join(spans, ["canonical", "span"], "left").withColumn("at", F.coalesce("near", "far")).drop("near", "far", "full", "span")
-    found = found.withColumn("response_id", F.col("at.record_id")).withColumn("response_ts", F.col("at.ts")).drop("at")
+    asked = near.join(spans, ["canonical", "span"], "left").withColumn("at", F.coalesce("near", "far"))
+    asked = asked.select("canonical", "ts", F.col("at.record_id").alias("response_id"), F.col("at.ts").alias("response_ts"))
+    found = keyed.where("NOT full").drop("full", "span").join(asked, ["canonical", "ts"], "left")
     responses = own.where("full").select(F.col("canonical").alias("rc"), F.col("record_id").alias("rid"), answer.alias("r"))
     responses = responses.withColumn("rts", F.col("r.ts")).groupBy("rc", "rid", "rts").agg(F.max_by("r", F.struct("r.payload_digest", "r.payload_length")).alias("r"))
     same = [F.col("canonical") == F.col("rc"), F.col("response_id").eqNullSafe(F.col("rid")), F.col("response_ts") == F.col("rts")]
-    found = found.join(responses, same, "left").drop("rc", "rid", "rts")
+    # dealt anew, so that the join reads plain partitions and Spark can split those of a response with very many revisits
+    found = found.join(responses.hint("rebalance"), same, "left").drop("rc", "rid", "rts")
     lost = own.where("NOT full AND (canonical IS NULL OR ts IS NULL)").select(*[F.col(c) for c in ("canonical", "record_id", "ts", "type", "http_status", "h", "payload_digest", "payload_length")])
     found = found.unionByName(lost, allowMissingColumns=True)
     get = lambda m, k: F.element_at(m, k)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +359,61 @@ def test_secrets_of_a_corpus(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_revisits_match_brute_force(spark):
+    """Few URLs and times, so that spans, ties, repeated rows and hot seconds all occur."""
+    r = random.Random(23)
+    rows = []
+    for k in range(400):
+        full = r.random() < 0.3
+        tag = f'"{r.randrange(3)}"'
+        url = r.choice(["http://a.com/x", "https://www.a.com/x/", "http://b.com/?q=1", None])
+        rows.append((k // 2 if r.random() < 0.1 else k, url, r.choice([None, *range(60)]), "response" if full else "revisit", r.choice([200, 200, 404]) if full else 304, f"ETag: {tag}" if r.random() < 0.8 else None, f"p{k}" if full else None, k if full else None))
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, type string, http_status int, headers string, payload_digest string, payload_length long")
+    canonical = {"http://a.com/x": "https://a.com/x", "https://www.a.com/x/": "https://a.com/x", "http://b.com/?q=1": "https://b.com?q=1", None: None}
+    full = [x for x in rows if x[3] == "response" and x[4] == 200 and x[1] and x[2] is not None]
+    want = []
+    for x in rows:
+        if x[3] != "revisit":
+            continue
+        earlier = [y for y in full if canonical[y[1]] == canonical[x[1]] and x[2] is not None and y[2] < x[2]]
+        best = max(earlier, key=lambda y: (y[2], y[0], y[6], y[7]), default=None)
+        status = "no_response" if not best else "no_validator" if not (x[5] and best[5]) else "resolved" if x[5] == best[5] else "mismatch"
+        want.append((x[0], x[2], status, *((best[0], best[6]) if status == "resolved" else (None, None))))
+    for span in (7, 1000):
+        got = [(x.record_id, x.ts, x.status, x.response_id, x.payload_digest) for x in warc.resolve_revisits(df.repartition(3), span).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_leaks_in_several_blocks(spark):
+    r = random.Random(25)
+    bench = [(i, words(r, 20)) for i in range(12)] + [(3, words(r, 20)), (12, None), (None, words(r, 20))]
+    rows = [(i, words(r, 15) + (" " + bench[i % 14][1] if i % 3 and bench[i % 14][1] else ""), "en", "s", 1) for i in range(60)] + [(60, None, None, None, None)]
+    docs, items = make(spark, rows), spark.createDataFrame(bench, "item_id long, text string")
+    assert decontaminate.blocks_of(items, 300)[0] > 3
+    one = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
+    assert one == sorted(map(tuple, decontaminate.find_leaks(docs, items, block_chars=300).collect())) and one
+    for chars in (decontaminate.BLOCK_CHARS, 300):
+        left = decontaminate.drop_leaks(docs, items, block_chars=chars)
+        assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == {x[0] for x in rows} - {x[0] for x in one}
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cursor = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
+
+
 def test_pages(spark):
     long = "".join(f"<p>Sentence number {k} of a very long page.</p>" for k in range(20_000))
     rows = [(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (1, "u", "<article><p>a</p></article>"), (3, "v", f"<nav>x</nav><div>{long}</div>"), (4, "w", "<p>a\x00b &amp; c"), (5, "w", "<<<>>><")]
