@@ -48,11 +48,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what lies between them is written to the shared folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Apply the stages to ``documents``; what lies between them is written to the shared folder.
+
+    A stage's table is removed when the next one's is written.  With a ``folder`` of its own a run that was broken off
+    goes on after the last stage that was written whole.  Rows with a null text or id, repeated rows, empty tables
+    and further columns of any name pass as the stages say: null texts score as empty ones, whole rows stay or go.
+    """
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    paths = [hadoop.Path(f"{folder}/{k}-{name}") for k, (name, _) in enumerate(STAGES[:-1])]
+    files = hadoop.FileSystem.get(paths[0].toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    written = [k for k, p in enumerate(paths) if files.exists(hadoop.Path(p, "_SUCCESS"))]
+    docs = spark.read.parquet(paths[written[-1]].toString()) if written else table(spark, sf_dir, "documents")
+    for k in range(written[-1] + 1 if written else 0, len(paths)):
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k].toString())
+        docs = spark.read.parquet(paths[k].toString())
+        if k:
+            files.delete(paths[k - 1], True)
     return STAGES[-1][1](spark, docs, sf_dir)
