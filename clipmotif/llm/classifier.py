@@ -199,7 +199,11 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that score below ``threshold``; columns as they were, no shuffle."""
+    """``docs`` without the documents that score below ``threshold``; columns as they were, of any names, no shuffle.
+
+    A null text scores as the empty one, and rows of equal texts stay or go together; a score equal to the
+    threshold stays; an empty table gives no row.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

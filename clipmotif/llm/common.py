@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -21,10 +22,17 @@ def col(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a session with a local master, as in tests, gets a temporary one; on a cluster that raises, as
+    executors would not share it.
+    """
     scala = spark.sparkContext._jsc.sc()
     if not scala.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipmotif-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clipmotif-"))
     return scala.getCheckpointDir().get()
 
 

@@ -24,6 +24,7 @@ def domain() -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
+    """``mixing.mix`` of the documents by the weights above; nulls, ties, repeated rows and clashing columns as it says."""
     return mixing.mix(docs, domain(), WEIGHTS, MIX_RATIO, MIX_EPOCHS, MIX_SEED)
 
 

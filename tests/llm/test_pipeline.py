@@ -7,6 +7,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clipmotif.llm import classifier, decontaminate, lines, queries, simhash
@@ -126,3 +128,49 @@ def test_pipeline(spark, tmp_path):
     want = mix(kept)
     assert {d: (x.domain, x.n_tokens, x.copies) for d, x in got.items()} == want
     assert {d: (x.text, x.n_chars) for d, x in got.items()} == {x[0]: (x[1], x[4]) for x in kept if x[0] in want}
+
+
+def test_odd_rows_pass_the_pipeline(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, blank texts, further columns with names that stages use; empty tables."""
+    docs, labels, bench = corpus(random.Random(8))
+    odd = [*docs, (None, docs[1][1] + " more", None, None, None), (700, None, "en", "src1", None), (701, "", None, "src1", 0), (702, " \n\t", "en", None, 3), docs[2], (3, docs[4][1], "de", "src0", 1)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("mark", "key", "id", "removed", "gone", "copies", "a.b")
+    for name in names:
+        df = df.withColumn(name, F.lit("mine"))
+    for at, rows in (("full", df), ("empty", df.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.createDataFrame([*labels, (None, 1, 0), (700, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{at}/labels.parquet")
+        spark.createDataFrame([*bench, (None, None), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{at}")
+        assert set(got.columns) == {"doc_id", "text", "lang", "source", "n_chars", *names, "domain", "n_tokens"}
+        found = got.collect()
+        assert bool(found) == (at == "full")
+        assert all(x["a.b"] == "mine" and x["copies"] in (1, 2) and x["text"].split() for x in found)
+        assert all(x["n_tokens"] == len(x["text"].split()) for x in found)
+
+
+def test_a_broken_run_goes_on(spark, tmp_path, monkeypatch):
+    docs, labels, bench = corpus(random.Random(9))
+    for name, rows, kind in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    seen = []
+
+    def watched(name, f, broken):
+        def stage(*args):
+            seen.append(name)
+            if broken:
+                raise RuntimeError("lost")
+            return f(*args)
+
+        return name, stage
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(n, f, k == 2) for k, (n, f) in enumerate(stages)])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/between")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(n, f, False) for n, f in stages])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/between").collect())) == want
+    assert seen == [n for n, _ in stages[:3]] + [n for n, _ in stages[2:]]
+    assert sorted(x.name for x in (tmp_path / "between").iterdir()) == ["3-decontamination"]
