@@ -191,10 +191,14 @@ def _group_links(index: list[tuple], probing: list[tuple], tau: int) -> list[tup
 
 
 def _keyed(own: DataFrame, tau: int) -> DataFrame:
-    """Rows (key, id, role, how) of lines (id, first): role 0 for the index, 1 for probes; how is the row of ``probes``."""
+    """Rows (key, id, role, how) of lines (id, first), dealt by key and sorted by key, role and id.
+
+    how is the row of ``probes``, role 0 for the index and 1 for other probes.  The row's number takes the last bits of
+    the hash, so that two numbers are shuffled for each key.
+    """
     pattern = probes(tau)
-    role = np.array([p[3] != 3 for p in pattern], np.int8)
-    how = np.arange(len(pattern), dtype=np.int32)
+    bits = (len(pattern) - 1).bit_length()
+    how = np.arange(len(pattern), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2000):
@@ -203,11 +207,13 @@ def _keyed(own: DataFrame, tau: int) -> DataFrame:
                 if len(line) >= JOIN_CHARS * (tau + 1):
                     ids.append(own)
                     keys += line_keys(line, tau)
-            n = len(ids)
-            arrays = [np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(ids, np.int64), len(pattern)), np.tile(role, n), np.tile(how, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "id", "role", "how"])
+            packed = np.array(keys, np.uint64).view(np.int64) >> bits << bits | np.tile(how, len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(np.repeat(np.array(ids, np.int64), len(pattern)))], names=["packed", "id"])
 
-    return own.select("id", "first").mapInArrow(run, "key long, id long, role byte, how int")
+    sent = own.select("id", "first").mapInArrow(run, "packed long, id long").repartition(F.shiftright("packed", bits))
+    number = F.col("packed").bitwiseAND((1 << bits) - 1).cast("int")
+    role = F.when(number.isin([e for e, p in enumerate(pattern) if p[3] == 3]), 0).otherwise(1).cast("byte")
+    return sent.select(F.shiftright("packed", bits).alias("key"), "id", role.alias("role"), number.alias("how")).sortWithinPartitions("key", "role", "id")
 
 
 def _met(block: int, split: bool):
@@ -314,8 +320,7 @@ def edit_links(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, bloc
     """
     own = _places(docs).where(F.length("line") >= min_chars)
     own = own.groupBy("id").agg(F.min(F.struct("chk", "doc_id", "mark", "line_no", "line")).alias("first"))
-    hits = _keyed(own, tau).repartition("key").sortWithinPartitions("key", "role", "id")
-    hits = hits.mapInArrow(_met(block, False), "key long, id long, role byte, how int, hot boolean")
+    hits = _keyed(own, tau).mapInArrow(_met(block, False), "key long, id long, role byte, how int, hot boolean")
     kind = own.schema["first"].dataType.simpleString()
     rows = hits.join(own, "id").select("key", "id", "role", "how", "hot", "first")
     rows = rows.mapInArrow(lambda batches: _refined(batches, tau), f"key long, id long, role byte, how int, first {kind}")
