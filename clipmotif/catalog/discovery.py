@@ -34,8 +34,7 @@ def pwm_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estep_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = em.e_step(em.site_facts(_seqs(spark, sf_dir), WIDTH), [MODEL])
-    return rounded(em.occupancy(sites).select("seq_id", "q"), "q")
+    return rounded(em.sequence_occupancy(em.site_facts(_seqs(spark, sf_dir), WIDTH), [MODEL]).select("seq_id", "q"), "q")
 
 
 def estep_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +44,11 @@ def estep_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estep_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = em.e_step(em.site_facts(_seqs(spark, sf_dir, ss=True), WIDTH), [MODEL_STR])
-    return rounded(em.occupancy(sites).select("seq_id", "q"), "q")
+    return rounded(em.sequence_occupancy(em.site_facts(_seqs(spark, sf_dir, ss=True), WIDTH), [MODEL_STR]).select("seq_id", "q"), "q")
 
 
 def estep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = em.e_step(em.site_facts(_seqs(spark, sf_dir, d=True), WIDTH), [MODEL_DE])
-    return rounded(em.occupancy(sites).select("seq_id", "q"), "q")
+    return rounded(em.sequence_occupancy(em.site_facts(_seqs(spark, sf_dir, d=True), WIDTH), [MODEL_DE]).select("seq_id", "q"), "q")
 
 
 def _stepped(own: DataFrame, model: em.Model) -> tuple[em.Model, dict, dict]:
@@ -98,8 +95,9 @@ def event_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p after one Newton step from the default, sites weighted alike."""
     own = _seqs(spark, sf_dir, d=True)
-    z = F.transform(F.sequence(F.lit(1), F.length("seq") - (WIDTH - 1)), lambda _: 1 / (F.length("seq") - (WIDTH - 1)))
-    sums = de.newton_sums(own.select("d", z.alias("z")), de.GEO_P, 0)
+    n = F.length("seq") - (WIDTH - 1)
+    sites = own.select(F.lit(0).alias("at"), "d", F.sequence(F.lit(0), n - 1).alias("pos"), F.array_repeat(1 / n, n).alias("z"))
+    sums = de.event_sums(sites, [(0, 0, de.GEO_P)])
     return rounded(sums.select((F.lit(de.GEO_P) - F.col("g") / F.col("h")).alias("p")), "p")
 
 

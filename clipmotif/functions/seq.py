@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipmotif.functions.prob import let
+
 BASES = "ACGT"
 
 
@@ -57,10 +59,13 @@ def replace_n(seq: Column, key: Column, seed: int = 0) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of structs (pos, kmer) of all windows of k letters, positions from zero; empty for shorter sequences."""
+    """Array of structs (pos, kmer) of all windows of k letters, positions from zero; empty for shorter sequences.
+
+    Windows are cut out of the sequence's bytes: a part of a text is found by walking there from its start.
+    """
     last = F.length(seq) - k
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.substring(seq, i + 1, F.lit(k)).alias("kmer")))
+    return let(seq.cast("binary"), lambda b: F.transform(at, lambda i: F.struct(i.alias("pos"), F.substring(b, i + 1, F.lit(k)).cast("string").alias("kmer"))))
 
 
 def same_text(a: Column, b: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clipmotif.functions.prob import let
 
@@ -30,34 +31,56 @@ def normalise(counts: Column, epsilon: float = 0.0) -> Column:
 
 def _reach(ratio: float) -> int:
     """Distance from which ratio ** distance no longer changes a sum."""
-    return min(4000, int(np.ceil(-60 / np.log(ratio)))) if ratio < 1 else 4000
+    return int(np.ceil(-60 / np.log(ratio))) if 0 < ratio < 1 else 1
 
 
 def smoothed(d: np.ndarray, ratio: float, power: int = 0) -> np.ndarray:
     """For c from -8 to len(d) + 7 the sum over k of d[k] t (t - 1) … ratio ** (t - power), t = |k - c|."""
-    t = np.abs(np.arange(-(n := _reach(ratio)), n + 1)).astype(float)
+    n = min(_reach(ratio), len(d) + 8)
+    t = np.abs(np.arange(-n, n + 1)).astype(float)
     kernel = np.where(t >= power, ratio ** np.maximum(t - power, 0), 0.0)
     for k in range(power):
         kernel = kernel * (t - k)
-    wide = np.convolve(d, kernel)  # index i stands for c = i - n
+    if len(d) * len(kernel) <= 4_000_000:
+        wide = np.convolve(d, kernel)  # index i stands for c = i - n
+    else:
+        size = 1 << (len(d) + len(kernel) - 2).bit_length()
+        wide = np.fft.irfft(np.fft.rfft(d, size) * np.fft.rfft(kernel, size), size)[: len(d) + len(kernel) - 1]
     at = np.arange(-8, len(d) + 8) + n
     ok = (at >= 0) & (at < len(wide))
     return np.where(ok, wide[np.clip(at, 0, len(wide) - 1)], 0.0)
 
 
+def _logs(d: Sequence[float], p: float, weight: float) -> np.ndarray:
+    return weight * np.log(p) + np.log(np.maximum(smoothed(np.asarray(d, float), (1 - p) ** weight), 1e-300))
+
+
 def with_logs(frame: DataFrame, p: float = GEO_P, weight: float = WEIGHT) -> DataFrame:
     """``frame`` with its profiles ``d`` replaced by arrays of ln P for c = -8 … len + 7, c being site plus delta."""
-    at, ratio = frame.columns.index("d"), (1 - p) ** weight
+    at = frame.columns.index("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one = lambda d: weight * np.log(p) + np.log(np.maximum(smoothed(np.asarray(d, float), ratio), 1e-300))
-            logs = pa.array([None if d is None else one(d) if d else [] for d in batch.column(at).to_pylist()], pa.list_(pa.float64()))
+            logs = pa.array([None if d is None else _logs(d, p, weight) if d else [] for d in batch.column(at).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([logs if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return frame.mapInArrow(run, frame.schema)
 
 
+def with_logs_by_start(frame: DataFrame, ps: Sequence[float], weight: float = WEIGHT) -> DataFrame:
+    """``with_logs`` under each of the values ``ps``, whose place is the new column ``at``: a row for each."""
+    column = frame.columns.index("d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, p in enumerate(ps):
+                logs = pa.array([None if d is None else _logs(d, p, weight) if d else [] for d in batch.column(column).to_pylist()], pa.list_(pa.float64()))
+                own = [logs if i == column else c for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(batch.num_rows, at, np.int32))], names=[*batch.schema.names, "at"])
+
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField("at", IntegerType())]))
+
+
 def cube(profiles: DataFrame, width: int, p: float = GEO_P, weight: float = WEIGHT) -> DataFrame:
     """Rows (seq_id, site, de): for every site of ``profiles(seq_id, d)`` the 17 log-likelihoods by delta, -8 first.
 
@@ -81,28 +104,55 @@ def best_delta(sites: DataFrame) -> int:
     return delta_likelihood(sites).orderBy(F.desc("ll"), "delta").first()["delta"]
 
 
-def newton_sums(profiles: DataFrame, p: float, delta: int) -> DataFrame:
-    """One row (g, h): sums over ``profiles(d, z)`` of z times slope and curvature of ln P by p, without the weight."""
+def event_sums(sites: DataFrame, asked: Sequence[tuple[int, int, float]], weight: float = 1.0) -> DataFrame:
+    """Rows (at, delta, v, g, h) for every (at, delta, p) of ``asked``: over the rows (at, d, pos, z) of ``sites``, a
+    profile and the weights z of the sites pos, sums of z times ln P, and its slope and curvature by p (of weight one).
+
+    The rows of all starts go by in one job, and each sends its sums alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(asked), 3))
         for batch in batches:
-            out = []
-            for own, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, weights = np.asarray(own, float), np.asarray(weights, float)
-                at = np.arange(len(weights)) + delta + 8
-                b, c, a = (smoothed(own, 1 - p, k)[at] for k in range(3))
-                b = np.maximum(b, 1e-300)
-                out.append((float((weights * (1 / p - c / b)).sum()), float((weights * (-1 / p**2 + a / b - (c / b) ** 2)).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.float64()) for k in range(2)], names=["g", "h"])
-
-    return profiles.select("d", "z").mapInArrow(run, "g double, h double").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-
-
-def fit_p(profiles: DataFrame, p: float, delta: int) -> float:
-    """p by at most NEWTON_STEPS Newton steps, kept within P_BOUNDS."""
+            for start, d, pos, z in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                own, weights = np.asarray(d, float), np.zeros(len(d) + 16)
+                np.add.at(weights, np.asarray(pos, np.int64) + 8, np.asarray(z, float))
+                done: dict[float, tuple] = {}
+                for n, (at, delta, p) in enumerate(asked):
+                    if at != start:
+                        continue
+                    if p not in done:
+                        b = np.maximum(smoothed(own, (1 - p) ** weight), 1e-300)
+                        slopes = (1 / p - (c := smoothed(own, 1 - p, 1)) / b, -1 / p**2 + smoothed(own, 1 - p, 2) / b - (c / b) ** 2) if weight == 1 else (np.zeros_like(b),) * 2
+                        done[p] = (weight * np.log(p) + np.log(b), *slopes)
+                    # z of a site is met by what stands delta further on
+                    w = weights[max(0, -delta) : len(weights) - max(0, delta)]
+                    for k, x in enumerate(done[p]):
+                        sums[n, k] += float(w @ x[max(0, delta) : len(x) - max(0, -delta)])
+        arrays = [pa.array([a for a, _, _ in asked], pa.int32()), pa.array([d for _, d, _ in asked], pa.int32()), *(pa.array(x) for x in sums.T)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["at", "delta", "v", "g", "h"])
+
+    found = sites.select("at", "d", "pos", "z").mapInArrow(run, "at int, delta int, v double, g double, h double")
+    return found.groupBy("at", "delta").agg(*[F.sum(c).alias(c) for c in "vgh"])
+
+
+def fit_geometry(sites: DataFrame, ps: Sequence[float], deltas: Sequence[Sequence[int]]) -> list[tuple[float, int]]:
+    """For every start the p and delta that make its events likeliest: p by at most NEWTON_STEPS Newton steps within
+    P_BOUNDS for each of its ``deltas``, all starts and deltas in one job a step; of equal deltas the first.
+
+    ``sites`` has rows (at, d, pos, z), ``ps`` the p from which each start's steps begin.  Events have weight one here.
+    """
+    now = {(at, d): p for at, p in enumerate(ps) for d in deltas[at]}
+    moving = set(now)
     for _ in range(NEWTON_STEPS):
-        g, h = newton_sums(profiles, p, delta).first()
-        old, p = p, min(max(p - g / h, P_BOUNDS[0]), P_BOUNDS[1]) if h else p
-        if abs(p - old) <= NEWTON_TOLERANCE:
+        for r in event_sums(sites, [(*k, now[k]) for k in sorted(moving)]).collect():
+            k = (r["at"], r["delta"])
+            old = now[k]
+            now[k] = min(max(old - r["g"] / r["h"], P_BOUNDS[0]), P_BOUNDS[1]) if r["h"] else old
+            if abs(now[k] - old) <= NEWTON_TOLERANCE:
+                moving.discard(k)
+        if not moving:
             break
-    return p
+    found = {(r["at"], r["delta"]): r["v"] for r in event_sums(sites, [(*k, p) for k, p in sorted(now.items())]).collect()}
+    best = [max(own, key=lambda d: (found.get((at, d), -np.inf), -d)) for at, own in enumerate(deltas)]  # noqa: B023
+    return [(now[at, d], d) for at, d in enumerate(best)]

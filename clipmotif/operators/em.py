@@ -10,11 +10,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmotif.functions.seq import mer2i
 from clipmotif.operators import de as de_ops
+from clipmotif.operators.kmers import windows
 
 #: fixed values of the model
 PSEUDO = 0.1
@@ -62,22 +64,26 @@ def site_facts(seqs: DataFrame, width: int, p: float = de_ops.GEO_P, weight: flo
     Without ``ss`` and ``d`` windows of equal k-mers in a sequence give one row (seq_id, code, n); otherwise
     there is a row per site with ``pos``, the window's slice of ``ss``, and the 17 log-likelihoods ``de``.
     """
-    own = seqs.where(F.length("seq") >= width)
-    pos = F.explode(F.sequence(F.lit(0), F.length("seq") - width)).alias("pos")
-    more = [c for c in ("ss", "d") if c in seqs.columns]
-    own = own.select("seq_id", "seq", *more)
-    if "d" in more:
-        own = de_ops.with_logs(own, p, weight)
-    own = own.select("seq_id", "seq", *more, pos)
-    code = mer2i(F.substring("seq", F.col("pos") + 1, F.lit(width)), width)
-    if not more:
-        return own.select("seq_id", code.alias("code")).where("code IS NOT NULL").groupBy("seq_id", "code").agg(F.count("*").alias("n"))
-    cols = ["seq_id", "pos", code.alias("code"), F.lit(1).cast("long").alias("n")]
+    if {"ss", "d"} & set(seqs.columns):
+        return site_rows(seqs, width, p, weight)
+    return site_rows(seqs, width).groupBy("seq_id", "code").agg(F.count("*").alias("n"))
+
+
+def site_rows(seqs: DataFrame, width: int, p: float = de_ops.GEO_P, weight: float = de_ops.WEIGHT) -> DataFrame:
+    """``site_facts`` with a row per site in any case."""
+    return _rows(de_ops.with_logs(seqs, p, weight) if "d" in seqs.columns else seqs, width)
+
+
+def _rows(seqs: DataFrame, width: int) -> DataFrame:
+    """Rows per site of sequences whose ``d`` holds the logs of ``with_logs``."""
+    more = [c for c in ("ss", "d", "at") if c in seqs.columns]
+    own = windows(seqs, width, *more)
+    cols = ["seq_id", "pos", mer2i(F.col("kmer"), width).alias("code"), F.lit(1).cast("long").alias("n")]
     if "ss" in more:
         cols.append(F.slice("ss", F.col("pos") + 1, F.lit(width)).alias("ss"))
     if "d" in more:
         cols.append(F.slice("d", F.col("pos") + 1, F.lit(17)).alias("de"))
-    return own.select(*cols).where("code IS NOT NULL")
+    return own.select(*cols, *[c for c in more if c == "at"])
 
 
 def base_counts(seqs: DataFrame) -> DataFrame:
@@ -100,60 +106,105 @@ def _logs(model: Model) -> list[float]:
     return [math.log(max(m, TINY)) - math.log(max(f, TINY)) for row in model.matrix for m, f in zip(row, model.f, strict=True)]
 
 
-def _starts(models: Sequence[Model], structure: bool) -> Column:
-    """The models as an array of structs, to be exploded against every site: its size is the number of starts."""
-    each = []
-    for m in models:
-        cols = [F.lit(m.start).alias("start"), F.array(*map(F.lit, _logs(m))).alias("w"), F.lit(float(m.gamma)).alias("gamma"), F.lit(m.delta).alias("delta")]
-        if structure:
-            odds = lambda x, y: math.log(max(x, TINY)) - math.log(max(y, TINY))
-            cols.append(F.array(*[F.lit(odds(s, m.f_paired)) for s in m.paired]).alias("on"))
-            cols.append(F.array(*[F.lit(odds(1 - s, 1 - m.f_paired)) for s in m.paired]).alias("off"))
-        each.append(F.struct(*cols))
-    return F.array(*each)
-
-
 def digit(code: Column, k: int, width: int) -> Column:
     return F.shiftright(code, 2 * (width - 1 - k)).bitwiseAND(3).cast("int")
 
 
+def _log_odds(x: float, y: float) -> float:
+    return math.log(max(x, TINY)) - math.log(max(y, TINY))
+
+
+def _terms(model: Model) -> tuple[list[float], list[float], list[float], float]:
+    """Of a model the log odds of bases by column, of paired and of unpaired columns, and a bound of a site's whole."""
+    w = _logs(model)
+    on = [_log_odds(s, model.f_paired) for s in model.paired]
+    off = [_log_odds(1 - s, 1 - model.f_paired) for s in model.paired]
+    # the event term is the log of a probability, so it adds nothing to the bound
+    return w, on, off, sum(max(w[4 * k : 4 * k + 4]) for k in range(model.width)) + sum(map(max, on, off))
+
+
+def _rel(columns: Sequence[str], width: int, w: Column, on: Column | None, off: Column | None, bound: Column, delta: Column) -> Column:
+    """A site's likelihood over the background's, as a share of the model's bound: at most one."""
+    odds = -bound
+    for k in range(width):
+        odds = odds + F.get(w, digit(F.col("code"), k, width) + 4 * k)
+        if on is not None:
+            odds = odds + F.get("ss", F.lit(k)) * F.get(on, F.lit(k)) + (1 - F.get("ss", F.lit(k))) * F.get(off, F.lit(k))
+    return F.exp(odds + F.get("de", delta + 8) if "de" in columns else odds)
+
+
+def _none(model: Model, bound: float) -> float:
+    """The same share for a sequence without a site."""
+    return min(1 - model.gamma + TINY, 1.0) * math.exp(-bound)
+
+
+def _shares(facts: DataFrame, models: Sequence[Model]) -> tuple[DataFrame, list[str], list[str]]:
+    """``facts`` with ``rel`` for every model, the columns' names, and those by which a sequence's rows are told.
+
+    Facts with a column ``at`` hold rows for each model apart; the others serve all models.
+    """
+    width, structure = models[0].width, "ss" in facts.columns
+    each = [_terms(m) for m in models]
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    if "at" in facts.columns:
+        own = facts.withColumn("m", F.get(F.array(*[F.struct(listed(w).alias("w"), listed(on).alias("on"), listed(off).alias("off"), F.lit(b).alias("bound"), F.lit(m.delta).alias("delta")) for m, (w, on, off, b) in zip(models, each, strict=True)]), F.col("at")))
+        rel = _rel(facts.columns, width, F.col("m.w"), F.col("m.on") if structure else None, F.col("m.off") if structure else None, F.col("m.bound"), F.col("m.delta"))
+        return own.select(*facts.columns, rel.alias("rel0")), ["rel0"], ["seq_id", "at"]
+    rels = [_rel(facts.columns, width, listed(w), listed(on) if structure else None, listed(off) if structure else None, F.lit(b), F.lit(m.delta)).alias(f"rel{i}") for i, (m, (w, on, off, b)) in enumerate(zip(models, each, strict=True))]
+    return facts.select(*facts.columns, *rels), [f"rel{i}" for i in range(len(models))], ["seq_id"]
+
+
+def _spread(own: DataFrame, models: Sequence[Model], out) -> DataFrame:
+    """A row for every model by ``out(i, column, gamma, none)``; column names what holds model i's numbers."""
+    none = [_none(m, _terms(m)[3]) for m in models]
+    if "at" in own.columns:
+        pick = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("at"))
+        return own.withColumn("m", out(0, pick([m.start for m in models]), pick([float(m.gamma) for m in models]), pick(none)))
+    return own.withColumn("m", F.explode(F.array(*[out(i, F.lit(m.start), F.lit(float(m.gamma)), F.lit(x)) for i, (m, x) in enumerate(zip(models, none, strict=True))])))
+
+
 def e_step(facts: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Rows of ``facts`` for every start with z, the probability of a site there, and q, that of one in the sequence.
 
-    A site's likelihood relative to the background is a product over the window alone; the sum over a
-    sequence needs its own rows only, so facts dealt by seq_id are not shuffled again.
+    A site's likelihood relative to the background is a product over the window alone, and the model bounds it, so no
+    maximum over the sequence is needed.  Sums go over a window of the sequence's rows: facts dealt and sorted by
+    seq_id are neither shuffled nor sorted again, and rows are multiplied by the starts after that.
     """
-    width, structure = models[0].width, "ss" in facts.columns
-    own = facts.withColumn("m", F.explode(_starts(models, structure)))
-    odds = F.lit(0.0)
-    for k in range(width):
-        odds = odds + F.get(F.col("m.w"), digit(F.col("code"), k, width) + 4 * k)
-        if structure:
-            odds = odds + F.get("ss", F.lit(k)) * F.get(F.col("m.on"), F.lit(k)) + (1 - F.get("ss", F.lit(k))) * F.get(F.col("m.off"), F.lit(k))
-    if "de" in facts.columns:
-        odds = odds + F.get("de", F.col("m.delta") + 8)
-    own = own.select(*facts.columns, F.col("m.start").alias("start"), F.col("m.gamma").alias("gamma"), odds.alias("odds"))
-    top = own.groupBy("seq_id", "start").agg(F.max("odds").alias("top"))
-    own = own.join(top.hint("shuffle_hash"), ["seq_id", "start"]).withColumn("rel", F.exp(F.col("odds") - F.col("top")))
-    sums = own.groupBy("seq_id", "start").agg(F.sum(F.col("n") * F.col("rel")).alias("s"))
-    own = own.join(sums.hint("shuffle_hash"), ["seq_id", "start"])
-    none = F.least(1 - F.col("gamma") + TINY, F.lit(1.0)) * F.exp(-F.col("top"))
-    total = F.col("gamma") * F.col("s") + none
-    return own.withColumn("z", F.col("gamma") * F.col("rel") / total).withColumn("q", F.col("gamma") * F.col("s") / total).drop("rel", "s", "top", "odds", "gamma")
+    own, rels, keys = _shares(facts, models)
+    over = Window.partitionBy(*keys)
+    own = own.select("*", *[F.sum(F.col("n") * F.col(r)).over(over).alias(f"s{i}") for i, r in enumerate(rels)])
+
+    def out(i: int, start: Column, gamma: Column, none: Column) -> Column:
+        total = gamma * F.col(f"s{i}") + none
+        return F.struct(start.alias("start"), (gamma * F.col(f"rel{i}") / total).alias("z"), (gamma * F.col(f"s{i}") / total).alias("q"))
+
+    return _spread(own, models, out).select(*facts.columns, "m.start", "m.z", "m.q")
+
+
+def sequence_occupancy(facts: DataFrame, models: Sequence[Model]) -> DataFrame:
+    """Rows (start, seq_id, q) without those of the sites: one aggregate by sequence."""
+    own, rels, keys = _shares(facts, models)
+    own = own.groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(r)).alias(f"s{i}") for i, r in enumerate(rels)])
+    q = lambda i, start, gamma, none: F.struct(start.alias("start"), (gamma * F.col(f"s{i}") / (gamma * F.col(f"s{i}") + none)).alias("q"))
+    return _spread(own, models, q).select("m.start", "seq_id", "m.q")
 
 
 def occupancy(sites: DataFrame) -> DataFrame:
-    """Rows (start, seq_id, q)."""
+    """Rows (start, seq_id, q) of the sites' rows."""
     return sites.groupBy("seq_id", "start").agg(F.max("q").alias("q"))
 
 
-def expected_counts(sites: DataFrame, counts: DataFrame, width: int) -> DataFrame:
+def expected_counts(sites: DataFrame, counts: DataFrame, width: int, occupied: DataFrame | None = None) -> DataFrame:
     """One row per start with all sums that the M-step and the likelihood need.
 
     fg_k_b, the expected bases of column k; q, the expected sequences with a site; q_b, their expected bases;
     with structure fgp_k_b, the paired part, and str_k, weighted by q as well; with events de_j by delta.
+    Without structure and events sites are first summed by k-mer.
     """
     z = F.col("z") * F.col("n")
+    occupied = occupancy(sites) if occupied is None else occupied
+    if not {"ss", "de"} & set(sites.columns):
+        sites, z = sites.groupBy("start", "code").agg(F.sum(z).alias("zn")), F.col("zn")
     aggs = []
     for k in range(width):
         d = digit(F.col("code"), k, width)
@@ -166,7 +217,7 @@ def expected_counts(sites: DataFrame, counts: DataFrame, width: int) -> DataFram
     if "de" in sites.columns:
         aggs += [F.sum(z * F.get("de", F.lit(j))).alias(f"de_{j}") for j in range(17)]
     by_site = sites.groupBy("start").agg(*aggs)
-    own = occupancy(sites).join(counts, "seq_id")
+    own = occupied.join(counts, "seq_id")
     by_seq = own.groupBy("start").agg(F.sum("q").alias("q"), *[F.sum(F.col("q") * F.col(b)).alias(f"q_{b}") for b in "ACGT"])
     return by_site.join(by_seq, "start")
 
@@ -220,40 +271,55 @@ def oops_likelihood(model: Model, row: dict, whole: dict[str, float]) -> float:
     return sum(x * math.log(f) for x, f in zip(bg, model.f, strict=True)) + sum(x * math.log(m) for c, r in zip(fg, model.matrix, strict=True) for x, m in zip(c, r, strict=True))
 
 
-def fit(facts: DataFrame, counts: DataFrame, models: Sequence[Model], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, opt_delta: bool = True, profiles: DataFrame | None = None) -> list[Model]:
+def fit(
+    facts: DataFrame | None, counts: DataFrame, models: Sequence[Model], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, opt_delta: bool = True,
+    live: DataFrame | None = None, weight: float = de_ops.WEIGHT,
+) -> list[Model]:
     """EM for all starts together; a start whose likelihood no longer moves keeps its parameters.
 
-    With ``profiles(seq_id, d)`` the events' p is fitted as well, by Newton steps after each round.
+    With ``live`` (seq_id, seq, d and, if wanted, ss) in place of ``facts`` the events' p is fitted as well: in every
+    round each start's events are weighed by its own p, and p and delta are then fitted to the sites of that round.
     """
     whole = totals(counts)
-    live, done = list(models), []
+    going, done = list(models), []
     for _ in range(rounds):
-        sites = e_step(facts, live)
-        rows = {r["start"]: r.asDict() for r in expected_counts(sites, counts, live[0].width).collect()}
+        if live is not None:
+            facts = _rows(de_ops.with_logs_by_start(live, [m.p for m in going], weight), going[0].width)
+        sites = e_step(facts, going)
+        if live is not None:
+            sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
+        occupied = None if live is not None else sequence_occupancy(facts, going)
+        rows = {r["start"]: r.asDict() for r in expected_counts(sites, counts, going[0].width, occupied).collect()}
+        stepped = [m_step(m, rows[m.start], whole, opt_delta and live is None) if m.start in rows else None for m in going]
+        if live is not None:
+            stepped = _fit_events(sites, live, going, stepped, rows, opt_delta, weight)
+            sites.unpersist()
         nxt = []
-        for m in live:
-            if m.start not in rows:  # no window anywhere
+        for m, new in zip(going, stepped, strict=True):
+            if new is None:  # no window anywhere
                 done.append(m)
                 continue
-            row = rows[m.start]
-            new = m_step(m, row, whole, opt_delta)
-            if profiles is not None:
-                new = replace(new, p=de_ops.fit_p(_site_arrays(sites.where(F.col("start") == m.start), profiles), new.p, new.delta))
-            ll = log_likelihood(new, row, whole)
+            ll = log_likelihood(new, rows[m.start], whole)
             still = bool(m.trace) and abs(m.trace[-1] - ll) / abs(m.trace[-1]) < tolerance
-            new = replace(new, ll=ll, trace=(*m.trace, ll), prior=replace(m, prior=None, sums=None), sums=row)
+            new = replace(new, ll=ll, trace=(*m.trace, ll), prior=replace(m, prior=None, sums=None), sums=rows[m.start])
             (done if still else nxt).append(new)
-        live = nxt
-        if not live:
+        going = nxt
+        if not going:
             break
-    return sorted(done + live, key=lambda m: m.start)
+    return sorted(done + going, key=lambda m: m.start)
 
 
-def _site_arrays(sites: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Rows (d, z) per sequence: its profile and the weights of its sites by position."""
-    own = sites.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "z"))).alias("at"), F.max("pos").alias("last"))
-    z = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.element_at("at", i), F.lit(0.0)))
-    return own.join(profiles, "seq_id").select("d", z.alias("z"))
+def _fit_events(sites: DataFrame, live: DataFrame, models: Sequence[Model], stepped: list[Model | None], rows: dict, opt_delta: bool, weight: float) -> list[Model | None]:
+    """The stepped models with p and delta fitted to the sites, and in ``rows`` the event term under them."""
+    own = sites.groupBy("seq_id", "at").agg(F.collect_list("pos").alias("pos"), F.collect_list("z").alias("z"))
+    own = own.join(live.select("seq_id", "d"), "seq_id").select("at", "d", "pos", "z").persist(StorageLevel.MEMORY_AND_DISK)
+    found = de_ops.fit_geometry(own, [m.p for m in models], [list(de_ops.DELTAS) if opt_delta else [m.delta] for m in models])
+    for r in de_ops.event_sums(own, [(at, delta, p) for at, (p, delta) in enumerate(found)], weight).collect():
+        row = rows.get(models[r["at"]].start)
+        if row:
+            row[f"de_{r['delta'] + 8}"] = r["v"]
+    own.unpersist()
+    return [m and replace(m, p=p, delta=delta) for m, (p, delta) in zip(stepped, found, strict=True)]
 
 
 def best_sites(seqs: DataFrame, model: Model, **terms: float) -> DataFrame:
@@ -264,15 +330,6 @@ def best_sites(seqs: DataFrame, model: Model, **terms: float) -> DataFrame:
     return seqs.select("seq_id").join(best.select("seq_id", (-F.col("b.back")).alias("site"), F.col("b.z").alias("z"), "q"), "seq_id", "left")
 
 
-def site_rows(seqs: DataFrame, width: int, **terms: float) -> DataFrame:
-    """``site_facts`` with a row per site in any case."""
-    if {"ss", "d"} & set(seqs.columns):
-        return site_facts(seqs, width, **terms)
-    own = seqs.where(F.length("seq") >= width).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - width)).alias("pos"))
-    code = mer2i(F.substring("seq", F.col("pos") + 1, F.lit(width)), width)
-    return own.select("seq_id", "pos", code.alias("code"), F.lit(1).cast("long").alias("n")).where("code IS NOT NULL")
-
-
 def mask_sites(seqs: DataFrame, best: DataFrame, width: int) -> DataFrame:
     """Sequences with N's over the best site where a motif occurs with probability OCCURS or more."""
     own = seqs.join(best.select("seq_id", "site", "q"), "seq_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmotif.functions import prob
+from clipmotif.functions.seq import kmers as kmers_of
 
 
 def base_composition(seqs: DataFrame) -> DataFrame:
@@ -17,18 +18,21 @@ def base_composition(seqs: DataFrame) -> DataFrame:
     return totals.select("letters", each.alias("b")).select("b.base", "b.n", (F.col("b.n") / F.col("letters")).alias("share"))
 
 
-def windows(seqs: DataFrame, k: int) -> DataFrame:
-    """Rows (seq_id, pos, kmer) of every window over A, C, G, T; windows with other letters are left out."""
+def windows(seqs: DataFrame, k: int, *more: str) -> DataFrame:
+    """Rows (seq_id, pos, kmer, and the columns ``more``) of every window over A, C, G, T; those with other letters are left out.
+
+    Windows are cut out of the sequence's bytes, so that a sequence takes time in proportion to its length.
+    """
     last = F.length("seq") - k
-    pos = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
-    own = seqs.select("seq_id", "seq", pos.alias("pos"))
-    own = own.select("seq_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+    own = seqs.select("seq_id", *more, F.col("seq").cast("binary").alias("bytes"), F.when(last >= 0, last).alias("last")).where("last IS NOT NULL")
+    own = own.select("seq_id", *more, "bytes", F.explode(F.sequence(F.lit(0), "last")).alias("pos"))
+    own = own.select("seq_id", "pos", F.substring("bytes", F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"), *more)
     return own.where(~F.col("kmer").rlike("[^ACGT]"))
 
 
 def observed(seqs: DataFrame, k: int) -> DataFrame:
     """Rows (kmer, observed): in how many sequences each k-mer occurs.  Each sequence sends each k-mer on once."""
-    once = F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.substring("seq", i + 1, F.lit(k))))
+    once = F.array_distinct(F.transform(kmers_of(F.col("seq"), k), lambda w: w["kmer"]))
     own = seqs.where(F.length("seq") >= k).select(F.explode(once).alias("kmer"))
     return own.where(~F.col("kmer").rlike("[^ACGT]")).groupBy("kmer").agg(F.count("*").alias("observed"))
 

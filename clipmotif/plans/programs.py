@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmotif.operators import checks, em, intervals, kmers, reads
+from clipmotif.operators import checks, em, intervals, kmers, lineage, reads
 from clipmotif.operators import de as de_ops
 
 
@@ -35,7 +35,9 @@ def discover_motifs(
 
     For each motif the most enriched k-mers of the masked sequences are fitted together; the one with the
     greatest likelihood on the unmasked sequences (first of equal ones) is the motif, and its occurrences are
-    masked for the next.  Sequences shorter than the width are left out.  A given ``delta`` is held.
+    masked for the next.  Sequences shorter than the width are left out.  A given ``delta`` is held.  With
+    ``fit_geometry`` how events spread is fitted in every round.  Masked sequences and sites are checkpointed, so that
+    a lost executor costs one motif's work at most.
     """
     checks.require_parameters(width, epsilon, delta)
     own = seqs.where(F.length("seq") >= width)
@@ -45,29 +47,32 @@ def discover_motifs(
         own = checks.require_shapes(own, counts.join(own.select("seq_id"), "seq_id", "left_semi"), "counts", "events")
         own = own.withColumn("d", de_ops.normalise(F.col("counts"), epsilon)).drop("counts")
     columns = ["seq_id", "seq", *[c for c in ("ss", "d") if c in own.columns]]
-    own = own.select(*columns).repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-    original = em.totals(em.base_counts(own))
-    masked, found = own, []
+    masked = lineage.cut(own.select(*columns).repartition("seq_id"))
+    original = em.totals(em.base_counts(masked))
+    found = []
     p = 0.5 if fit_geometry else de_ops.GEO_P
+    live = fit_geometry and counts is not None
     for number in range(motifs):
         seeds = kmers.top_kmers(masked.select("seq_id", "seq"), width, starts).collect()
         if not seeds:
             break
         models = [em.seed_model(i, r["kmer"], int(original["n"]), r["observed"], structure is not None, p, delta or 0) for i, r in enumerate(seeds)]
-        facts = em.site_facts(masked, width, p, weight).repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-        counted = em.base_counts(masked).repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-        profiles = masked.select("seq_id", "d") if fit_geometry and counts is not None else None
-        fitted = em.fit(facts, counted, models, rounds, opt_delta=delta is None, profiles=profiles)
+        dealt = masked.repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
+        facts = None if live else em.site_facts(dealt, width, p, weight).sortWithinPartitions("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
+        counted = em.base_counts(dealt).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted = em.fit(facts, counted, models, rounds, opt_delta=delta is None, live=dealt if live else None, weight=weight)
         # likelihoods on the unmasked sequences, by the sites of the last round; the first of equal ones counts
         scored = [(em.log_likelihood(m, m.sums, original), -m.start, m) for m in fitted if m.sums]
+        if scored:
+            ll, _, model = max(scored, key=lambda x: x[:2])
+            site_args = {"p": model.prior.p, "weight": weight} if counts is not None else {}
+            sites = lineage.cut(em.best_sites(dealt, model.prior, **site_args))
+            found.append(Motif(number, em.replace(model, ll=ll), sites))
+            if number < motifs - 1:
+                masked = lineage.cut(em.mask_sites(masked, sites, width))
+        for own in (facts, counted, dealt):
+            if own is not None:
+                own.unpersist()
         if not scored:
             break
-        ll, _, model = max(scored, key=lambda x: x[:2])
-        site_args = {"p": model.prior.p, "weight": weight} if counts is not None else {}
-        sites = em.best_sites(masked, model.prior, **site_args).persist(StorageLevel.MEMORY_AND_DISK)
-        found.append(Motif(number, em.replace(model, ll=ll), sites))
-        facts.unpersist()
-        counted.unpersist()
-        if number < motifs - 1:
-            masked = em.mask_sites(masked, sites, width).repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
     return sorted(found, key=lambda x: (-x.model.ll, x.number))

@@ -104,18 +104,73 @@ def test_likelihood_never_falls_much_and_starts_are_independent(spark):
 
 def test_newton_derivatives(spark):
     r = random.Random(6)
-    d = np.array([r.random() for _ in range(30)])
+    ds = [np.array([r.random() for _ in range(n)]) for n in (30, 9)]
     z = [r.random() for _ in range(25)]
-    frame = spark.createDataFrame([(d.tolist(), z)], "d array<double>, z array<double>")
+    rows = [(0, ds[0].tolist(), list(range(25)), z), (1, ds[1].tolist(), [0, 3], [0.5, 0.25]), (0, ds[1].tolist(), [2], [0.125])]
+    frame = spark.createDataFrame(rows, "at int, d array<double>, pos array<int>, z array<double>").repartition(3)
 
-    def value(p):
-        return sum(w * (math.log(p) + math.log(sum(x * (1 - p) ** abs(k - j - 2) for k, x in enumerate(d)))) for j, w in enumerate(z))
+    def value(at, delta, p, weight=1.0):
+        return sum(w * (weight * math.log(p) + math.log(sum(x * (1 - p) ** (weight * abs(k - j - delta)) for k, x in enumerate(d)))) for a, d, pos, zs in rows if a == at for j, w in zip(pos, zs, strict=True))
 
-    g, h = de.newton_sums(frame, 0.3, 2).first()
+    asked = [(0, 2, 0.3), (0, -8, 0.3), (0, 8, 0.05), (1, 0, 0.135)]
+    got = {(x.at, x.delta): x for x in de.event_sums(frame, asked).collect()}
     e = 1e-4
-    assert g == pytest.approx((value(0.3 + e) - value(0.3 - e)) / (2 * e), rel=1e-5)
-    assert h == pytest.approx((value(0.3 + e) - 2 * value(0.3) + value(0.3 - e)) / e**2, rel=1e-3)
-    assert 0.01 <= de.fit_p(frame, 0.5, 2) <= 0.99
+    for at, delta, p in asked:
+        x = got[at, delta]
+        assert x.v == pytest.approx(value(at, delta, p))
+        assert x.g == pytest.approx((value(at, delta, p + e) - value(at, delta, p - e)) / (2 * e), rel=1e-5)
+        assert x.h == pytest.approx((value(at, delta, p + e) - 2 * value(at, delta, p) + value(at, delta, p - e)) / e**2, rel=1e-3)
+    assert [x.v for x in de.event_sums(frame, [(1, -3, 0.2)], 1.1).collect()] == [pytest.approx(value(1, -3, 0.2, 1.1))]
+
+    def newton(at, delta, p):
+        for _ in range(10):
+            g, h = (value(at, delta, p + e) - value(at, delta, p - e)) / (2 * e), (value(at, delta, p + e) - 2 * value(at, delta, p) + value(at, delta, p - e)) / e**2
+            old, p = p, min(max(p - g / h, 0.01), 0.99)
+            if abs(p - old) <= 1e-3:
+                break
+        return p
+
+    fitted = de.fit_geometry(frame, [0.5, 0.5], [list(de.DELTAS), [1]])
+    best = max(de.DELTAS, key=lambda d: (value(0, d, newton(0, d, 0.5)), -d))
+    assert fitted[0] == (pytest.approx(newton(0, best, 0.5), abs=1e-4), best) and fitted[1] == (pytest.approx(newton(1, 1, 0.5), abs=1e-4), 1)
+
+
+def test_smoothing_by_transform_equals_the_plain_sum():
+    d = np.random.default_rng(1).random(3000)
+    for ratio, power in ((0.99, 0), (0.995, 2), (0.9, 1)):
+        t = np.abs(np.arange(3000)[None, :] - np.arange(-8, 3008)[:, None]).astype(float)
+        want = ((t * (t - 1) if power == 2 else t if power else 1) * ratio ** np.maximum(t - power, 0) * (t >= power)) @ d
+        assert np.allclose(de.smoothed(d, ratio, power), want, rtol=1e-8)
+
+
+def test_geometry_is_fitted_in_every_round(spark):
+    """All rounds of EM with live p and delta, against plain Python."""
+    r = random.Random(16)
+    rows = [(i, s, [r.randrange(4) for _ in s]) for i, s in random_seqs(12, 18, 17)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string, counts array<long>").withColumn("d", de.normalise(F.col("counts"))).drop("counts")
+    profiles = {x.seq_id: list(x.d) for x in df.collect()}
+    models = [em.seed_model(i, k, 12, 6, p=0.5) for i, k in enumerate(("ACGT", "TTGC"))]
+    got = em.fit(None, em.base_counts(df), models, rounds=3, live=df)
+    term = lambda d, c, p, w: w * math.log(p) + math.log(sum(x * (1 - p) ** (w * abs(k - c)) for k, x in enumerate(d)))
+    whole = {b: sum(s.count(b) for _, s, _ in rows) for b in "ACGT"} | {"n": 12}
+    for m, g in zip(models, got, strict=True):
+        for _ in range(3):
+            z = {}
+            for i, s, _ in rows:
+                cube = [[term(profiles[i], j + delta, m.p, 1.1) for delta in de.DELTAS] for j in range(len(s) - 3)]
+                z[i] = brute_e_step(s, m, None, cube)
+            row = {f"fg_{k}_{b}": sum(w for i, s, _ in rows for j, w in z[i].items() if s[j + k] == "ACGT"[b]) for k in range(4) for b in range(4)}
+            q = {i: sum(z[i].values()) for i in z}
+            row |= {"q": sum(q.values())} | {f"q_{b}": sum(q[i] * s.count(b) for i, s, _ in rows) for b in "ACGT"}
+            new = em.m_step(m, row, whole, False)
+            sites = spark.createDataFrame([(0, profiles[i], list(z[i]), list(z[i].values())) for i in z], "at int, d array<double>, pos array<int>, z array<double>")
+            ((p, delta),) = de.fit_geometry(sites, [m.p], [list(de.DELTAS)])
+            new = em.replace(new, p=p, delta=delta)
+            row |= {f"de_{k}": 0.0 for k in range(17)} | {f"de_{delta + 8}": sum(w * term(profiles[i], j + delta, p, 1.1) for i in z for j, w in z[i].items())}
+            m = em.replace(new, ll=em.log_likelihood(new, row, whole))
+        assert (g.p, g.delta, g.ll, g.gamma) == (pytest.approx(m.p), m.delta, pytest.approx(m.ll), pytest.approx(m.gamma)) and np.allclose(g.matrix, m.matrix)
+    found = programs.discover_motifs(df.select("seq_id", "seq"), 4, motifs=2, starts=2, counts=spark.createDataFrame([(i, c) for i, _, c in rows], "seq_id long, counts array<long>"), fit_geometry=True, rounds=2)
+    assert len(found) == 2 and all(0.01 <= x.model.p <= 0.99 and x.model.p != 0.5 for x in found)
 
 
 def all_structures(s):
