@@ -123,23 +123,18 @@ def _terms(model: Model) -> tuple[list[float], list[float], list[float], float]:
     return w, on, off, sum(max(w[4 * k : 4 * k + 4]) for k in range(model.width)) + sum(map(max, on, off))
 
 
-def _rel(columns: Sequence[str], width: int, w: Column, on: Column | None, off: Column | None, bound: Column, delta: Column) -> Column:
-    """A site's likelihood over the background's, as a share of the model's bound: at most one."""
-    odds = -bound
+def _odds(columns: Sequence[str], width: int, w: Column, on: Column | None, off: Column | None, delta: Column) -> Column:
+    """The log of a site's likelihood over the background's."""
+    odds = F.lit(0.0)
     for k in range(width):
         odds = odds + F.get(w, digit(F.col("code"), k, width) + 4 * k)
         if on is not None:
             odds = odds + F.get("ss", F.lit(k)) * F.get(on, F.lit(k)) + (1 - F.get("ss", F.lit(k))) * F.get(off, F.lit(k))
-    return F.exp(odds + F.get("de", delta + 8) if "de" in columns else odds)
+    return odds + F.get("de", delta + 8) if "de" in columns else odds
 
 
-def _none(model: Model, bound: float) -> float:
-    """The same share for a sequence without a site."""
-    return min(1 - model.gamma + TINY, 1.0) * math.exp(-bound)
-
-
-def _shares(facts: DataFrame, models: Sequence[Model]) -> tuple[DataFrame, list[str], list[str]]:
-    """``facts`` with ``rel`` for every model, the columns' names, and those by which a sequence's rows are told.
+def _with_odds(facts: DataFrame, models: Sequence[Model]) -> tuple[DataFrame, int, list[str]]:
+    """``facts`` with ``odds0`` … for every model, how many, and the columns by which a sequence's rows are told.
 
     Facts with a column ``at`` hold rows for each model apart; the others serve all models.
     """
@@ -147,45 +142,57 @@ def _shares(facts: DataFrame, models: Sequence[Model]) -> tuple[DataFrame, list[
     each = [_terms(m) for m in models]
     listed = lambda xs: F.array(*map(F.lit, xs))
     if "at" in facts.columns:
-        own = facts.withColumn("m", F.get(F.array(*[F.struct(listed(w).alias("w"), listed(on).alias("on"), listed(off).alias("off"), F.lit(b).alias("bound"), F.lit(m.delta).alias("delta")) for m, (w, on, off, b) in zip(models, each, strict=True)]), F.col("at")))
-        rel = _rel(facts.columns, width, F.col("m.w"), F.col("m.on") if structure else None, F.col("m.off") if structure else None, F.col("m.bound"), F.col("m.delta"))
-        return own.select(*facts.columns, rel.alias("rel0")), ["rel0"], ["seq_id", "at"]
-    rels = [_rel(facts.columns, width, listed(w), listed(on) if structure else None, listed(off) if structure else None, F.lit(b), F.lit(m.delta)).alias(f"rel{i}") for i, (m, (w, on, off, b)) in enumerate(zip(models, each, strict=True))]
-    return facts.select(*facts.columns, *rels), [f"rel{i}" for i in range(len(models))], ["seq_id"]
+        own = facts.withColumn("m", F.get(F.array(*[F.struct(listed(w).alias("w"), listed(on).alias("on"), listed(off).alias("off"), F.lit(m.delta).alias("delta")) for m, (w, on, off, _) in zip(models, each, strict=True)]), F.col("at")))
+        odds = _odds(facts.columns, width, F.col("m.w"), F.col("m.on") if structure else None, F.col("m.off") if structure else None, F.col("m.delta"))
+        return own.select(*facts.columns, odds.alias("odds0")), 1, ["seq_id", "at"]
+    odds = [_odds(facts.columns, width, listed(w), listed(on) if structure else None, listed(off) if structure else None, F.lit(m.delta)).alias(f"odds{i}") for i, (m, (w, on, off, _)) in enumerate(zip(models, each, strict=True))]
+    return facts.select(*facts.columns, *odds), len(models), ["seq_id"]
 
 
 def _spread(own: DataFrame, models: Sequence[Model], out) -> DataFrame:
-    """A row for every model by ``out(i, column, gamma, none)``; column names what holds model i's numbers."""
-    none = [_none(m, _terms(m)[3]) for m in models]
+    """A row for every model by ``out(i, start, gamma, bound)``; i is the number in the columns that hold a model's."""
+    bounds = [_terms(m)[3] for m in models]
     if "at" in own.columns:
         pick = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("at"))
-        return own.withColumn("m", out(0, pick([m.start for m in models]), pick([float(m.gamma) for m in models]), pick(none)))
-    return own.withColumn("m", F.explode(F.array(*[out(i, F.lit(m.start), F.lit(float(m.gamma)), F.lit(x)) for i, (m, x) in enumerate(zip(models, none, strict=True))])))
+        return own.withColumn("m", out(0, pick([m.start for m in models]), pick([float(m.gamma) for m in models]), pick(bounds)))
+    return own.withColumn("m", F.explode(F.array(*[out(i, F.lit(m.start), F.lit(float(m.gamma)), F.lit(b)) for i, (m, b) in enumerate(zip(models, bounds, strict=True))])))
+
+
+def _chance(gamma: Column, s: Column, top: Column) -> Column:
+    """What the shares of sites and that of no site sum to, all relative to ``top``."""
+    return gamma * s + F.least(1 - gamma + TINY, F.lit(1.0)) * F.exp(-top)
 
 
 def e_step(facts: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Rows of ``facts`` for every start with z, the probability of a site there, and q, that of one in the sequence.
 
-    A site's likelihood relative to the background is a product over the window alone, and the model bounds it, so no
-    maximum over the sequence is needed.  Sums go over a window of the sequence's rows: facts dealt and sorted by
-    seq_id are neither shuffled nor sorted again, and rows are multiplied by the starts after that.
+    A site's likelihood relative to the background is a product over the window alone.  Maxima and sums go over
+    windows of the sequence's rows: facts dealt and sorted by seq_id are neither shuffled nor sorted again, and rows
+    are multiplied by the starts after that.
     """
-    own, rels, keys = _shares(facts, models)
+    own, n, keys = _with_odds(facts, models)
     over = Window.partitionBy(*keys)
-    own = own.select("*", *[F.sum(F.col("n") * F.col(r)).over(over).alias(f"s{i}") for i, r in enumerate(rels)])
+    own = own.select("*", *[F.max(f"odds{i}").over(over).alias(f"top{i}") for i in range(n)])
+    own = own.select(*facts.columns, *[F.col(f"top{i}") for i in range(n)], *[F.exp(F.col(f"odds{i}") - F.col(f"top{i}")).alias(f"rel{i}") for i in range(n)])
+    own = own.select("*", *[F.sum(F.col("n") * F.col(f"rel{i}")).over(over).alias(f"s{i}") for i in range(n)])
 
-    def out(i: int, start: Column, gamma: Column, none: Column) -> Column:
-        total = gamma * F.col(f"s{i}") + none
+    def out(i: int, start: Column, gamma: Column, _: Column) -> Column:
+        total = _chance(gamma, F.col(f"s{i}"), F.col(f"top{i}"))
         return F.struct(start.alias("start"), (gamma * F.col(f"rel{i}") / total).alias("z"), (gamma * F.col(f"s{i}") / total).alias("q"))
 
     return _spread(own, models, out).select(*facts.columns, "m.start", "m.z", "m.q")
 
 
 def sequence_occupancy(facts: DataFrame, models: Sequence[Model]) -> DataFrame:
-    """Rows (start, seq_id, q) without those of the sites: one aggregate by sequence."""
-    own, rels, keys = _shares(facts, models)
-    own = own.groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(r)).alias(f"s{i}") for i, r in enumerate(rels)])
-    q = lambda i, start, gamma, none: F.struct(start.alias("start"), (gamma * F.col(f"s{i}") / (gamma * F.col(f"s{i}") + none)).alias("q"))
+    """Rows (start, seq_id, q) without those of the sites: one aggregate by sequence, relative to the models' bounds."""
+    own, n, keys = _with_odds(facts, models)
+    shares = lambda i, b: F.sum(F.col("n") * F.exp(F.col(f"odds{i}") - b)).alias(f"s{i}")
+    bounds = [_terms(m)[3] for m in models]
+    if "at" in keys:
+        own = own.groupBy(*keys).agg(shares(0, F.get(F.array(*map(F.lit, bounds)), F.col("at"))))
+    else:
+        own = own.groupBy(*keys).agg(*[shares(i, F.lit(b)) for i, b in enumerate(bounds)])
+    q = lambda i, start, gamma, bound: F.struct(start.alias("start"), (gamma * F.col(f"s{i}") / _chance(gamma, F.col(f"s{i}"), bound)).alias("q"))
     return _spread(own, models, q).select("m.start", "seq_id", "m.q")
 
 
