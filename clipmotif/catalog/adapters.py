@@ -91,8 +91,9 @@ def _plus() -> Column:
 
 
 def read_lines(spark: SparkSession, sf_dir: str, mapper: str) -> DataFrame:
-    """(line): every event as a mapped read in a mapper's format."""
+    """(line): every event as a mapped read in a mapper's format, some with blanks after tabs; and lines that are no reads."""
     own = table(spark, sf_dir, "events")
+    e3 = F.col("event_id") % 3
     text = lambda c: c.cast("string")
     name = F.concat(F.lit("r"), text(F.col("event_id")))
     start = text(minute())
@@ -106,7 +107,10 @@ def read_lines(spark: SparkSession, sf_dir: str, mapper: str) -> DataFrame:
     else:
         e = F.col("event_id")
         cols = [F.col("event_type"), start, text(minute() + len(READ)), name, text(e % 3), F.when(_plus(), "+").otherwise("-"), F.when(e % 2 == 0, READ), F.when(e % 2 == 0, "IIII")]
-    return own.select(F.concat_ws("\t", *cols).alias("line"))
+    line = F.concat_ws("\t", *cols)
+    loose = F.when(e3 == 0, F.concat(F.regexp_replace(line, "\t", "\t "), F.lit(" \t "))).otherwise(line)
+    more = F.when(F.col("event_id") % 50 == 0, F.array(F.lit("# a comment"), F.lit("browser x"), F.lit("track name=y"), F.lit(" ")))
+    return own.select(F.explode(F.concat(F.coalesce(more, F.array().cast("array<string>")), F.array(loose))).alias("line"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

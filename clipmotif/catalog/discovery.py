@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipmotif.catalog.adapters import SEQS, counts, rounded, seqs, structure, windows_sql
@@ -17,6 +18,7 @@ MODEL = em.seed_model(0, "TGCATC", 1000, 500)
 #: the same with structure that differs by column
 MODEL_STR = em.replace(MODEL, paired=(0.2, 0.3, 0.4, 0.6, 0.7, 0.8))
 MODEL_DE = em.replace(MODEL, delta=2)
+MODEL_OTHER = em.seed_model(0, "ATTGCA", 1000, 300)
 
 
 def _seqs(spark: SparkSession, sf_dir: str, ss: bool = False, d: bool = False) -> DataFrame:
@@ -79,8 +81,10 @@ def mstep_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model after the whole fit."""
     own = _seqs(spark, sf_dir)
-    counted = em.base_counts(own)
-    (new,) = em.fit(em.site_facts(own, WIDTH), counted, [MODEL])
+    counted = em.base_counts(own).persist(StorageLevel.MEMORY_AND_DISK)
+    facts = em.site_facts(own, WIDTH).sortWithinPartitions("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
+    (new,) = em.fit(facts, counted, [MODEL])
+    facts.unpersist()
     return _parameters(spark, new, new.ll / em.totals(counted)["n"])
 
 
@@ -118,6 +122,28 @@ def motif_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.site_lines(_sited(spark, sf_dir), WIDTH).select("seq_id", F.substring_index("line", "\t", 2).alias("line"))
 
 
+def motif_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole record of a motif with attributes of structure and events, as lines."""
+    record = writers.motif_record(_sited(spark, sf_dir), MODEL_STR, "M1", events=True)
+    return record.select("part", "seq_id", F.when(F.col("part") == 1, F.substring_index("line", "\t", 2)).otherwise(F.col("line")).alias("line"))
+
+
+def indicator_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every sequence to have each of two motifs, written as lines and read again."""
+    facts = em.site_facts(_seqs(spark, sf_dir), WIDTH)
+    found = em.sequence_occupancy(facts, [MODEL, em.replace(MODEL_OTHER, start=1)]).withColumnRenamed("start", "motif_rank")
+    lines = writers.indicator_lines(found)
+    return rounded(lines.select("motif_rank", "seq_id", F.col("line").cast("double").alias("q")), "q")
+
+
+def mean_pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrices of the first six letters of the sequences by the last digit of their ids, averaged."""
+    own = _seqs(spark, sf_dir).select((F.col("seq_id") % 10).cast("string").alias("name"), F.posexplode(F.split(F.substring("seq", 1, WIDTH), "")).alias("k", "base")).where("base <> ''")
+    n = own.groupBy("name", "k", "base").agg(F.count("*").alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("name", "k")))
+    return rounded(simulate.aggregate_pwm(p.select("name", (F.col("k") + 1).alias("k"), "base", "p")), "p")
+
+
 def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _seqs(spark, sf_dir)
     masked = em.mask_sites(own, em.best_sites(own, MODEL), WIDTH)
@@ -142,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pwm_seed, estep_occupancy, estep_sites, estep_structure, estep_events, mstep_model, mstep_structure, em_rounds, event_delta, event_newton,
-        best_sites, motif_counts, motif_site_lines, masked_sequences, discover_motifs, simulate_data,
+        best_sites, motif_counts, motif_site_lines, motif_record, indicator_text, mean_pwm, masked_sequences, discover_motifs, simulate_data,
     )
 }
 
@@ -165,14 +191,81 @@ def _odds(model: em.Model) -> str:
     return " + ".join(terms)
 
 
-def _sites(model: em.Model) -> str:
-    """CTEs up to site: (seq_id, pos, kmer, z, q)."""
+def _sites(model: em.Model, events: bool = False) -> str:
+    """CTEs up to site: (seq_id, pos, kmer, z, q); with events the likelihood of those around the model's delta counts."""
     g = _number(model.gamma)
-    return f"""{_LONG}, {windows_sql(WIDTH)}, scored AS (SELECT *, {_odds(model)} AS odds FROM windows), top AS (SELECT *, max(odds) OVER (PARTITION BY seq_id) AS top FROM scored),
+    odds, given, more = _odds(model), "windows", ""
+    if events:
+        more = f", {_smooth(1 - de.GEO_P, de.WEIGHT)}"
+        odds, given = f"{odds} + {_number(de.WEIGHT * math.log(de.GEO_P))} + ln(g0)", f"windows JOIN g USING (seq_id) WHERE c = pos + {model.delta}"
+    return f"""{_LONG}, {windows_sql(WIDTH)}{more}, scored AS (SELECT seq_id, pos, kmer, {odds} AS odds FROM {given}), top AS (SELECT *, max(odds) OVER (PARTITION BY seq_id) AS top FROM scored),
 rel AS (SELECT *, exp(odds - top) AS rel, (1 - {g}) * exp(-top) AS no FROM top), tot AS (SELECT *, sum(rel) OVER (PARTITION BY seq_id) AS s FROM rel),
 site AS (SELECT seq_id, pos, kmer, {g} * rel / ({g} * s + no) AS z, {g} * s / ({g} * s + no) AS q FROM tot)"""
 
 
+def _smooth(rest: float, weight: float) -> str:
+    """CTEs up to g: (seq_id, len, c, g0, g1, g2), for every position c of a sequence the sums over k of d[k] r ** t,
+    d[k] t r ** (t - 1) and d[k] t (t - 1) r ** (t - 2), t = |k - c|, r = rest ** weight.
+
+    From either end powers are summed within blocks of 512 positions and carried over from the block before; what lies
+    two blocks off counts less than 1e-30.
+    """
+    r = f"pow({_number(rest)}, {_number(weight)})"
+    t = [f"coalesce(t{k}, 0)" for k in range(3)]
+    return f"""dd AS (SELECT seq_id, len, i, (c + 1) / sum(c + 1) OVER (PARTITION BY seq_id) AS d FROM (SELECT seq_id, len, i, (seq_id * 31 + i * 17) % 5 AS c
+  FROM (SELECT seq_id, length(seq) AS len, unnest(range(0, length(seq))) AS i FROM seqs))),
+du AS (SELECT *, x // 512 AS b, (x % 512)::DOUBLE AS u, {r} AS r FROM (SELECT seq_id, len, 0 AS way, i AS x, d FROM dd UNION ALL SELECT seq_id, len, 1, len - 1 - i, d FROM dd)),
+dp AS (SELECT *, sum(d * pow(r, -u)) OVER w AS p0, sum(d * u * pow(r, -u)) OVER w AS p1, sum(d * u * u * pow(r, -u)) OVER w AS p2 FROM du
+  WINDOW w AS (PARTITION BY seq_id, way, b ORDER BY u ROWS UNBOUNDED PRECEDING)),
+dt AS (SELECT seq_id, way, b + 1 AS b, sum(d * pow(r, 512 - u)) AS t0, sum(d * (512 - u) * pow(r, 512 - u)) AS t1, sum(d * (512 - u) * (512 - u) * pow(r, 512 - u)) AS t2 FROM du GROUP BY seq_id, way, b),
+df AS (SELECT seq_id, len, CASE WHEN way = 0 THEN x ELSE len - 1 - x END AS c, d, pow(r, u) * (p0 + {t[0]}) AS f0, pow(r, u - 1) * (u * p0 - p1 + u * {t[0]} + {t[1]}) AS f1,
+  pow(r, u - 2) * ((u * u - u) * p0 - (2 * u - 1) * p1 + p2 + (u * u - u) * {t[0]} + (2 * u - 1) * {t[1]} + {t[2]}) AS f2 FROM dp LEFT JOIN dt USING (seq_id, way, b)),
+g AS (SELECT seq_id, len, c, sum(f0) - max(d) AS g0, sum(f1) AS g1, sum(f2) AS g2 FROM df GROUP BY seq_id, len, c)"""
+
+
+def _rounds_sql(model: em.Model, rounds: int) -> str:
+    """The model after so many rounds, one after the other, on the k-mers of each sequence."""
+    cells = [(k, b) for k in range(WIDTH) for b in "ACGT"]
+    bases = ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS n{b}" for b in "ACGT")
+    start = [f"{_number(model.matrix[k]['ACGT'.index(b)])} AS m{k}{b}" for k, b in cells] + [f"{_number(f)} AS b{b}" for f, b in zip(model.f, "ACGT", strict=True)] + [f"{_number(model.gamma)} AS gamma"]
+    bg = lambda b: f"(1 + {WIDTH} * t{b} - ({' + '.join(f'f{k}{b}' for k in range(WIDTH))}))"
+    col = lambda k: "(4 + " + " + ".join(f"f{k}{b}" for b in "ACGT") + ")"
+    new = [f"(1 + f{k}{b}) / {col(k)} AS m{k}{b}" for k, b in cells] + [f"{bg(b)} / ({' + '.join(map(bg, 'ACGT'))}) AS b{b}" for b in "ACGT"] + ["least(qs / n, 1.0) AS gamma"]
+    odds = " + ".join(_pick(f"substr(kmer, {k + 1}, 1)", [f"(ln(m{k}{b}) - ln(b{b}))" for b in "ACGT"]) for k in range(WIDTH))
+    fg = ", ".join(f"sum(CASE WHEN substr(kmer, {k + 1}, 1) = '{b}' THEN z ELSE 0 END) AS f{k}{b}" for k, b in cells)
+    parts = [f"WITH {_LONG}, {windows_sql(WIDTH)}, wk AS MATERIALIZED (SELECT seq_id, kmer, count(*)::DOUBLE AS n FROM windows GROUP BY ALL), km AS MATERIALIZED (SELECT DISTINCT kmer FROM wk)",
+        f"base AS MATERIALIZED (SELECT seq_id, {bases} FROM seqs)", f"par0 AS (SELECT {', '.join(start)})"]
+    for i in range(1, rounds + 1):
+        parts += [
+            f"od{i} AS MATERIALIZED (SELECT kmer, exp({odds}) AS rel, gamma AS g FROM km, par{i - 1})",
+            f"su{i} AS MATERIALIZED (SELECT seq_id, sum(n * rel) AS s, any_value(g) AS g FROM wk JOIN od{i} USING (kmer) GROUP BY seq_id)",
+            f"fg{i} AS (SELECT {fg} FROM (SELECT kmer, sum(n * o.g * rel / (o.g * s + 1 - o.g)) AS z FROM wk JOIN od{i} o USING (kmer) JOIN su{i} USING (seq_id) GROUP BY kmer))",
+            f"sq{i} AS (SELECT count(*) AS n, sum(q) AS qs, {', '.join(f'sum(n{b}) AS t{b}, sum(q * n{b}) AS q{b}' for b in 'ACGT')} FROM base JOIN (SELECT seq_id, g * s / (g * s + 1 - g) AS q FROM su{i}) USING (seq_id))",
+            f"par{i} AS MATERIALIZED (SELECT *, {', '.join(new)} FROM fg{i}, sq{i})",
+        ]
+    ll = [f"{bg(b)} * ln(b{b}) + (t{b} - q{b}) * ln(b{b})" for b in "ACGT"] + [f"(1 + f{k}{b}) * ln(m{k}{b})" for k, b in cells] + ["(n - qs) * ln(least(1 - gamma + 1e-100, 1)) + qs * ln(gamma)"]
+    rows = [f"SELECT 'm' AS what, {k + 1} AS k, '{b}' AS base, round(m{k}{b}, 6) AS value FROM par{rounds}" for k, b in cells] + [f"SELECT 'f', 0, '{b}', round(b{b}, 6) FROM par{rounds}" for b in "ACGT"]
+    rows += [f"SELECT 'gamma', 0, '', round(gamma, 6) FROM par{rounds}", f"SELECT 'll', 0, '', round(({' + '.join(ll)}) / n, 6) FROM par{rounds}"]
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
+_BEST = f"""WITH {_sites(MODEL)}, best AS (SELECT seq_id, arg_max(pos, (z, -pos))::BIGINT AS site, max(q) AS q FROM site GROUP BY seq_id)"""
+
+
+def _record_sql() -> str:
+    """The lines of ``motif_record``."""
+    count = lambda k, b: f"(coalesce(sum(CASE WHEN substr(seq, site + {k + 1}, 1) = '{b}' THEN q END), 0) + {_number(MODEL_STR.matrix[k]['ACGT'.index(b)])})::DOUBLE"
+    rows = ["SELECT 0 AS part, 0 AS seq_id, 'AC' || chr(9) || 'M1' AS line", "SELECT 0, 1, 'XX'", "SELECT 0, 2, 'TY' || chr(9) || 'Motif'", "SELECT 0, 3, 'XX'", "SELECT 0, 4, concat_ws(chr(9), 'P0', 'A', 'C', 'G', 'T')"]
+    rows += [f"SELECT 0, {5 + k}, concat_ws(chr(9), '{k + 1:02d}', {', '.join(f'trunc({count(k, b)})::BIGINT' for b in 'ACGT')}) FROM hit" for k in range(WIDTH)]
+    tail = ["XX", "AT' || chr(9) || 'SEC_STR=" + ",".join(f"{x:g}" for x in MODEL_STR.paired), "XX", f"AT' || chr(9) || 'GEO_P={MODEL_STR.p:g}", f"AT' || chr(9) || 'GEO_DELTA={MODEL_STR.delta}", "XX"]
+    rows += [f"SELECT 0, {5 + WIDTH + i}, '{x}'" for i, x in enumerate(tail)] + ["SELECT 2, 0, 'XX'", "SELECT 2, 1, '//'"]
+    rows.append(f"SELECT 1, seq_id, 'BS' || chr(9) || substr(seq, site + 1, {WIDTH}) || '; sequence_' || seq_id::VARCHAR || '; ' || site::VARCHAR || '; {WIDTH};  ;+' FROM hit")
+    every = " UNION ALL ".join(rows)
+    return f"""{_BEST},
+hit AS (SELECT seq_id, seq, site, q FROM best JOIN seqs USING (seq_id) WHERE q >= 0.8), lines AS ({every})
+SELECT part::INTEGER AS part, seq_id::BIGINT AS seq_id, line FROM lines WHERE EXISTS (SELECT 1 FROM hit)"""
+
+
 def _model_sql(model: em.Model) -> str:
     """One round from ``model``: its parameters and likelihood, as rows."""
     ss = lambda k: f"(((pos + {k}) * 37 + seq_id) % 101 / 100)"
@@ -203,10 +296,21 @@ par AS (SELECT *, {', '.join(params)} FROM fg, sq{', pb' if paired else ''}), do
 """ + " UNION ALL ".join(rows)
 
 
-_BEST = f"""WITH {_sites(MODEL)}, best AS (SELECT seq_id, arg_max(pos, (z, -pos))::BIGINT AS site, max(q) AS q FROM site GROUP BY seq_id)"""
 
 SQL = {
-    "pwm_seed": " UNION ALL ".join(f"SELECT {k + 1} AS k, '{b}' AS base, round({_number(p)}, 6) AS p" for k, row in enumerate(MODEL.matrix) for b, p in zip("ACGT", row, strict=True)),
+    "pwm_seed": f"SELECT k::INTEGER AS k, base, round(({em.PSEUDO} + CASE WHEN substr('{MODEL.kmer}', k::INTEGER, 1) = base THEN 1 ELSE 0 END) / (1 + 4 * {em.PSEUDO}), 6) AS p FROM range(1, {WIDTH + 1}) t(k), unnest(['A', 'C', 'G', 'T']) u(base)",
+    "estep_events": f"WITH {_sites(MODEL_DE, events=True)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id",
+    "event_delta": f"""WITH {_sites(MODEL_DE, events=True)}, dl AS (SELECT unnest(range(-8, 9)) AS delta),
+  term AS (SELECT delta, z, len, pos + delta AS c, seq_id FROM site JOIN (SELECT seq_id, length(seq) AS len FROM seqs) USING (seq_id), dl)
+  SELECT delta::INTEGER AS delta, round(sum(z * ({_number(de.WEIGHT * math.log(de.GEO_P))} + ln(g0) + {_number(de.WEIGHT * math.log(1 - de.GEO_P))} * (greatest(0, -term.c) + greatest(0, term.c - term.len + 1)))) / (SELECT count(*) FROM seqs), 6) AS ll
+  FROM term JOIN g ON g.seq_id = term.seq_id AND g.c = least(greatest(term.c, 0), term.len - 1) GROUP BY delta""",
+    "event_newton": f"""WITH {_LONG}, {_smooth(1 - de.GEO_P, 1.0)} SELECT round({_number(de.GEO_P)} - sum((1 / {_number(de.GEO_P)} - g1 / g0) / (len - {WIDTH - 1}))
+  / sum((-1 / {_number(de.GEO_P**2)} + g2 / g0 - (g1 / g0) * (g1 / g0)) / (len - {WIDTH - 1})), 6) AS p FROM g WHERE c <= len - {WIDTH}""",
+    "em_rounds": _rounds_sql(MODEL, em.MAX_ROUNDS),
+    "motif_record": _record_sql(),
+    "indicator_text": " UNION ALL ".join(f"SELECT {k}::INTEGER AS motif_rank, seq_id, q FROM (WITH {_sites(m)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id)" for k, m in enumerate((MODEL, MODEL_OTHER))),
+    "mean_pwm": f"""WITH {_LONG}, l AS (SELECT seq_id % 10 AS name, k::INTEGER AS k, substr(seq, k, 1) AS base FROM seqs, range(1, {WIDTH + 1}) t(k)),
+  p AS (SELECT name, k, base, count(*) / sum(count(*)) OVER (PARTITION BY name, k) AS p FROM l GROUP BY name, k, base) SELECT k, base, round(sum(p) / sum(sum(p)) OVER (PARTITION BY k), 6) AS p FROM p GROUP BY k, base""",
     "estep_occupancy": f"WITH {_sites(MODEL)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id",
     "estep_sites": f"WITH {_sites(MODEL)} SELECT seq_id, pos, round(z, 6) AS z FROM site WHERE z >= 0.05",
     "estep_structure": f"WITH {_sites(MODEL_STR)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id",

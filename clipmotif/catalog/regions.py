@@ -146,6 +146,10 @@ _DENSE = """SELECT rank, string_agg(coalesce(n, 0)::VARCHAR, ', ' ORDER BY pos)
   FROM (SELECT rank, unnest(range(0, re - rs)) AS pos FROM rg) LEFT JOIN pile USING (rank, pos) GROUP BY rank"""
 
 SQL = {
+    "peak_suppress": f"""WITH RECURSIVE {REGIONS}, st AS MATERIALIZED (SELECT chrom, rs, min(rank) AS rank FROM rg GROUP BY chrom, rs),
+  nx AS MATERIALIZED (SELECT a.chrom, a.rs, b.rs AS next, b.rank FROM st a ASOF JOIN st b ON a.chrom = b.chrom AND a.rs + 120 < b.rs),
+  walk AS (SELECT chrom, min(rs) AS rs, arg_min(rank, rs) AS rank FROM st GROUP BY chrom UNION ALL SELECT chrom, nx.next, nx.rank FROM walk JOIN nx USING (chrom, rs))
+  SELECT chrom, rs, rank FROM walk""",
     "novoalign_parse": f'WITH {_NOVO} SELECT * FROM nv',
     "bowtie_parse": f"""SELECT event_type AS chrom, {_MIN} + 1 AS start, {_MIN} + 1 + {_N} AS "end", 'r' || event_id::VARCHAR AS name, (event_id % 7)::DOUBLE AS score,
   CASE WHEN {PLUS} THEN '+' ELSE '-' END AS strand, '{READ}' AS seq, CASE event_id % 4

@@ -25,8 +25,8 @@ def parse_novoalign(lines: DataFrame) -> DataFrame:
     t = F.col("t")
     own = lines.where(is_record(F.col("line"))).select(tokens(F.col("line")).alias("t")).where((F.size(t) >= 13) & (F.get(t, 4) == "U"))
     return own.select(
-        F.substring(t[7], 2, 1 << 20).alias("chrom"), t[8].cast("long").alias("start"), (t[8].cast("long") + F.length(t[2])).alias("end"), t[0].alias("name"),
-        t[5].cast("double").alias("score"), F.when(t[9] == "F", "+").otherwise("-").alias("strand"), t[2].alias("seq"), F.coalesce(F.get(t, 13), F.lit("")).alias("mm"),
+        F.substring(F.get(t, 7), 2, 1 << 20).alias("chrom"), F.get(t, 8).try_cast("long").alias("start"), (F.get(t, 8).try_cast("long") + F.length(F.get(t, 2))).alias("end"), F.get(t, 0).alias("name"),
+        F.get(t, 5).try_cast("double").alias("score"), F.when(F.get(t, 9) == "F", "+").otherwise("-").alias("strand"), F.get(t, 2).alias("seq"), F.coalesce(F.get(t, 13), F.lit("")).alias("mm"),
     )
 
 
@@ -34,11 +34,11 @@ def parse_bowtie(lines: DataFrame) -> DataFrame:
     """Reads from bowtie's lines: at least 7 fields; an eighth holds the edits, rewritten by ``bowtie_edits``."""
     t = F.col("t")
     own = lines.where(is_record(F.col("line"))).select(tokens(F.col("line")).alias("t")).where(F.size(t) >= 7)
-    start = t[3].cast("long") + 1
-    mm = F.when(F.size(t) == 8, bowtie_edits(F.get(t, 7), t[1], F.length(t[4]))).otherwise("")
+    start = F.get(t, 3).try_cast("long") + 1
+    mm = F.when(F.size(t) == 8, bowtie_edits(F.get(t, 7), F.get(t, 1), F.length(F.get(t, 4)))).otherwise("")
     return own.select(
-        t[2].alias("chrom"), start.alias("start"), (start + F.length(t[4])).alias("end"), t[0].alias("name"), t[6].cast("double").alias("score"),
-        t[1].alias("strand"), t[4].alias("seq"), mm.alias("mm"),
+        F.get(t, 2).alias("chrom"), start.alias("start"), (start + F.length(F.get(t, 4))).alias("end"), F.get(t, 0).alias("name"), F.get(t, 6).try_cast("double").alias("score"),
+        F.get(t, 1).alias("strand"), F.get(t, 4).alias("seq"), mm.alias("mm"),
     )
 
 
@@ -48,8 +48,8 @@ def parse_rmap(lines: DataFrame) -> DataFrame:
     own = lines.where(is_record(F.col("line"))).select(tokens(F.col("line")).alias("t")).where(F.size(t) >= 6)
     more = lambda i: F.when(F.size(t) == 8, F.get(t, i)).otherwise("NA")
     return own.select(
-        t[0].alias("chrom"), t[1].cast("long").alias("start"), t[2].cast("long").alias("end"), t[3].alias("name"), t[4].cast("double").alias("score"),
-        t[5].alias("strand"), more(6).alias("seq"), more(7).alias("mm"),
+        F.get(t, 0).alias("chrom"), F.get(t, 1).try_cast("long").alias("start"), F.get(t, 2).try_cast("long").alias("end"), F.get(t, 3).alias("name"), F.get(t, 4).try_cast("double").alias("score"),
+        F.get(t, 5).alias("strand"), more(6).alias("seq"), more(7).alias("mm"),
     )
 
 
