@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmotif.catalog.adapters import EVENTS, MISMATCHES, PLUS, READ, REGIONS, SEQS, events, read_lines, regions, seqs, table
-from clipmotif.operators import checks, intervals, reads
+from clipmotif.operators import checks, intervals, lineage, reads
 from clipmotif.plans import programs
 from clipmotif.sources import readers, writers
+from clipmotif.streaming import events as stream
 
 
 def novoalign_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +104,46 @@ def region_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.extract_regions(places, lines.withColumn("line_no", F.col("line_no").cast("long")))
 
 
+def _chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, line_no, seq): every sequence as a chromosome in lines of 50 letters."""
+    own = seqs(spark, sf_dir).where(F.length("seq") >= 120)
+    cut = F.expr("transform(sequence(0, cast((length(seq) - 1) div 50 AS int)), i -> substring(seq, i * 50 + 1, 50))")
+    return own.select("seq_id", F.posexplode(cut).alias("line_no", "line")).select(F.col("seq_id").cast("string").alias("chrom"), F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("seq"))
+
+
+def region_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of every sequence, widened by 10, in the order of chromosome and start."""
+    own = seqs(spark, sf_dir).where(F.length("seq") >= 120)
+    start = 10 + (F.col("seq_id") * 13) % (F.length("seq") - 100)
+    line = F.concat_ws("\t", F.col("seq_id").cast("string"), start.cast("string"), (start + 60).cast("string"), F.lit("x"), F.lit("1"), F.when(F.col("seq_id") % 3 == 0, "-").otherwise("+"))
+    regions_ = readers.parse_bed(own.select(F.col("seq_id").alias("rank"), line.alias("line")), rename=True)
+    found = readers.region_sequences(regions_, _chromosomes(spark, sf_dir), 10)
+    return found.select("seq_id", "name", "chrom", F.md5(F.col("seq").cast("binary")).alias("seq"), F.col("len").cast("long").alias("len"))
+
+
+def chromosome_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are too short, as every seventh chromosome's first is made here; headers anchor the numbers."""
+    own = _chromosomes(spark, sf_dir)
+    spoilt = F.when((F.col("chrom").cast("long") % 7 == 0) & (F.col("line_no") == 0), F.expr("substring(seq, 1, 49)")).otherwise(F.col("seq"))
+    lines = own.select("chrom", (F.col("line_no") + 6).alias("at"), spoilt.alias("seq"))
+    heads = own.where("line_no = 0").select("chrom", F.lit(5).cast("long").alias("at"), F.concat(F.lit(">"), "chrom").alias("seq"))
+    return readers.short_lines(readers.chromosome_lines(lines.unionByName(heads))).select("chrom", "line_no", "seq")
+
+
+def stream_pile_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every region by position, kept up to date while the lines of reads arrive as files."""
+    folder = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    read_lines(spark, sf_dir, "rmap").write.text(f"{folder}/in")
+    lines = spark.readStream.text(f"{folder}/in").withColumnRenamed("value", "line")
+
+    def sink(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    own = stream.stream_counts(lines, regions(spark, sf_dir))
+    stream.write_counts(own, sink, f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("rank", "pos").agg(F.max_by("n", "batch").alias("n"))
+
+
 def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as BED lines, parsed and renamed by their order."""
     own = regions(spark, sf_dir).select("rank", F.concat_ws("\t", "chrom", F.col("rs").cast("string"), F.col("re").cast("string"), F.lit("peak"), F.lit("5"), "strand").alias("line"))
@@ -118,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         novoalign_parse, bowtie_parse, rmap_parse, read_edits, iclip_events, hclip_events, pclip_events, interval_join, interval_stab, event_pile_up, event_counts,
-        bucket_counts, extract_events, region_order, region_expand, peak_regions, peak_cutoff, peak_suppress, region_sequences, bed_lines, region_widths,
+        bucket_counts, extract_events, region_order, region_expand, peak_regions, peak_cutoff, peak_suppress, region_sequences, region_load, chromosome_check, stream_pile_up, bed_lines, region_widths,
     )
 }
 
@@ -146,6 +189,12 @@ _DENSE = """SELECT rank, string_agg(coalesce(n, 0)::VARCHAR, ', ' ORDER BY pos)
   FROM (SELECT rank, unnest(range(0, re - rs)) AS pos FROM rg) LEFT JOIN pile USING (rank, pos) GROUP BY rank"""
 
 SQL = {
+    "region_load": f"""WITH {SEQS}, p AS (SELECT seq_id, 10 + (seq_id * 13) % (length(seq) - 100) AS rs, seq FROM seqs WHERE length(seq) >= 120),
+  c AS (SELECT *, substr(seq, rs - 9, 80) AS s FROM p)
+  SELECT row_number() OVER (ORDER BY seq_id::VARCHAR, rs, seq_id) - 1 AS seq_id, 'sequence_' || (seq_id + 1)::VARCHAR AS name, seq_id::VARCHAR AS chrom,
+  md5(CASE WHEN seq_id % 3 = 0 THEN translate(reverse(s), 'ACGT', 'TGCA') ELSE s END) AS seq, length(s) AS len FROM c""",
+    "chromosome_check": f"WITH {SEQS} SELECT seq_id::VARCHAR AS chrom, 0::BIGINT AS line_no, substr(seq, 1, 49) AS seq FROM seqs WHERE length(seq) >= 120 AND seq_id % 7 = 0",
+    "stream_pile_up": f"WITH {EVENTS}, {REGIONS} SELECT rank, st - rs AS pos, count(*) AS n FROM ev JOIN rg ON ev.chrom = rg.chrom AND re > st AND rs < en WHERE st >= rs GROUP BY ALL",
     "peak_suppress": f"""WITH RECURSIVE {REGIONS}, st AS MATERIALIZED (SELECT chrom, rs, min(rank) AS rank FROM rg GROUP BY chrom, rs),
   nx AS MATERIALIZED (SELECT a.chrom, a.rs, b.rs AS next, b.rank FROM st a ASOF JOIN st b ON a.chrom = b.chrom AND a.rs + 120 < b.rs),
   walk AS (SELECT chrom, min(rs) AS rs, arg_min(rank, rs) AS rank FROM st GROUP BY chrom UNION ALL SELECT chrom, nx.next, nx.rank FROM walk JOIN nx USING (chrom, rs))

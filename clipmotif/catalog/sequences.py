@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmotif.catalog.adapters import SEQS, counts, rounded, seqs, structure, windows_sql
+from clipmotif.catalog.adapters import SEQS, counts, rounded, seqs, structure, table, windows_sql
 from clipmotif.functions import prob, seq
-from clipmotif.operators import checks, de, fold, kmers, simulate
+from clipmotif.operators import checks, de, fold, kmers, lineage, simulate
 from clipmotif.sources import readers, writers
 
 
@@ -81,8 +83,30 @@ def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(back.withColumnRenamed("seq_id", "rank"), "rank").select("rank", F.md5(F.col("line").cast("binary")).alias("line"), F.size("counts").alias("size"))
 
 
+def _with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that keep the capital N's of their text."""
+    letters = F.replace(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTUNacgtu]", "")), F.lit("U"), F.lit("T"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), letters.alias("seq"))
+
+
+def random_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N's left after they are replaced by random bases, and whether all other letters stand as they were."""
+    own = _with_n(spark, sf_dir).withColumn("drawn", seq.replace_n(F.col("seq"), F.col("seq_id"), 7))
+    same = F.forall(F.arrays_zip(F.split("seq", "").alias("a"), F.split("drawn", "").alias("b")), lambda x: (x["a"] == "N") | (x["a"] == x["b"]))
+    return own.select("seq_id", F.length(F.regexp_replace("drawn", "[ACGT]", "")).alias("others"), F.length("drawn").alias("n"), same.alias("same"))
+
+
+def fasta_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences written as FASTA files in the shared folder and loaded again with padding, in file order."""
+    folder = f"{lineage.shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    own = seqs(spark, sf_dir).withColumn("name", F.concat(F.lit("sequence_"), F.col("seq_id").cast("string")))
+    writers.write_lines(writers.fasta_lines(own), folder, ["seq_id"])
+    back = readers.load_sequences(spark, folder, padding=3)
+    return back.select("seq_id", "name", F.md5(F.col("seq").cast("binary")).alias("seq"), F.col("len").cast("long").alias("len"))
+
+
 def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = checks.without_n(seqs(spark, sf_dir)).withColumn("name", F.concat(F.lit("sequence_"), F.col("seq_id").cast("string")))
+    own = checks.without_n(_with_n(spark, sf_dir)).withColumn("name", F.concat(F.lit("sequence_"), F.col("seq_id").cast("string")))
     return writers.fasta_lines(own).select("seq_id", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
@@ -130,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         base_composition, kmer_observed, kmer_enrichment, kmer_top, sequence_functions, base_codes, kmer_numbers, structure_text, shape_faults,
-        event_profiles, event_text, fasta_text, fold_structure, fold_brackets, fold_energy, length_histogram, pwm_information, log_sums,
+        event_profiles, event_text, fasta_text, fasta_load, random_bases, fold_structure, fold_brackets, fold_energy, length_histogram, pwm_information, log_sums,
     )
 }
 
@@ -146,6 +170,7 @@ ex AS (SELECT kmer, observed, sum(n * (1 - exp(-l * p))) AS expected FROM ps, le
 SELECT kmer, observed, round(expected, 6) AS expected, round(observed / expected, 6) AS score FROM ex"""
 
 
+_WITH_N = "ns AS (SELECT doc_id AS seq_id, replace(upper(regexp_replace(coalesce(text, ''), '[^ACGTUNacgtu]', '', 'g')), 'U', 'T') AS seq FROM documents)"
 _SS = "(((i * 37 + seq_id) % 101) / 100)"
 _POS = "unnest(range(0, length(seq))) AS i"
 
@@ -169,7 +194,9 @@ SQL = {
   SELECT seq_id, sum(c)::BIGINT AS events, round(max(x) / sum(x), 6) AS most, round(min(x) / sum(x), 6) AS least FROM m GROUP BY seq_id""",
     "event_text": f"""WITH {SEQS} SELECT seq_id AS rank, md5(string_agg(((seq_id * 31 + i * 17) % 5)::VARCHAR, ', ' ORDER BY i)) AS line, count(*)::INTEGER AS size
   FROM (SELECT seq_id, seq, {_POS} FROM seqs) GROUP BY seq_id""",
-    "fasta_text": f"WITH {SEQS} SELECT seq_id, md5('>sequence_' || seq_id::VARCHAR || chr(10) || seq) AS line FROM seqs",
+    "fasta_text": f"WITH {_WITH_N} SELECT seq_id, md5('>sequence_' || seq_id::VARCHAR || chr(10) || seq) AS line FROM ns WHERE NOT contains(seq, 'N')",
+    "random_bases": f"WITH {_WITH_N} SELECT seq_id, 0 AS others, length(seq)::INTEGER AS n, TRUE AS same FROM ns",
+    "fasta_load": f"WITH {SEQS} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, 'sequence_' || seq_id::VARCHAR AS name, md5('NNN' || seq || 'NNN') AS seq, length(seq) + 6 AS len FROM seqs",
     "length_histogram": f"""WITH {SEQS}, x AS (SELECT (instr(seq, 'TG') - 1) / length(seq) AS x FROM seqs WHERE instr(seq, 'TG') > 0), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
   b AS (SELECT CASE WHEN hi > lo THEN least(floor((x - lo) * 160 / (hi - lo)), 159)::BIGINT ELSE 0 END AS bin, (hi - lo) / 160 AS width FROM x, e)
   SELECT bin, count(*) AS n, CASE WHEN max(width) > 0 THEN round(count(*) / (SELECT count(*) FROM b) / max(width), 6) END AS density FROM b GROUP BY bin""",

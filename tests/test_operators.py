@@ -338,6 +338,24 @@ def test_readers(spark, tmp_path):
     assert [x.value for x in spark.read.text(str(tmp_path / "out")).collect()] == ["1", "0, 2"]
 
 
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    """Larger files come first in Spark's own order, and large ones are split."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    want = []
+    for k, n in enumerate((3, 4000, 1, 900)):
+        own = [f"{k} {i} " + "x" * 30 for i in range(n)]
+        (folder / f"part-{k}").write_text("\n".join(own) + "\n")
+        want += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.numbered(readers.text_lines(spark, str(folder))).orderBy("rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x.line for x in got] == want and [x["rank"] for x in got] == list(range(len(want)))
+    assert [x["rank"] for x in readers.numbered(spark.range(10).repartition(1).select("id")).collect()] == list(range(10))
+
+
 def test_reads_of_unknown_kind_raise(spark):
     df = spark.createDataFrame([("x",)], "line string")
     for bad in (lambda: reads.parse_reads(df, "other"), lambda: reads.events(df, "xCLIP"), lambda: reads.events(df, "hCLIP", "rmap")):
