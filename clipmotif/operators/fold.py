@@ -18,8 +18,10 @@ from clipmotif.functions.seq import replace_n
 
 TILE, OVERLAP, PADDING, TURN, MAX_LOOP = 250, 50, 20, 3, 30
 
-# Published nearest-neighbour energies at 37 C, in 0.01 kcal/mol.  Pairs in the order CG, GC, AU, UA;
-# bases in the order A, C, G, U.
+# Nearest-neighbour energies at 37 C, in 0.01 kcal/mol, as published by Mathews, Sabina, Zuker and Turner, "Expanded
+# sequence dependence of thermodynamic parameters improves prediction of RNA secondary structure", J. Mol. Biol. 288
+# (1999) 911-940: stacks, loop lengths, terminal mismatches, dangling ends, tetraloop bonuses, multiloops.  Pairs in the
+# order CG, GC, AU, UA; bases in the order A, C, G, U.
 KT = (37.0 + 273.15) * 1.98717 / 10
 STACK = ((-240, -330, -210, -210), (-330, -340, -220, -240), (-210, -220, -110, -90), (-210, -240, -90, -130))
 HAIRPIN = (570, 560, 560, 540, 590, 560, 640, 650, 660, 670, 678, 686, 694, 701, 707, 713, 719, 725, 730, 735, 740, 744, 749, 753, 757, 761, 765, 769)  # from 3
@@ -33,12 +35,15 @@ MISMATCH_HAIRPIN = (
 )
 DANGLE5 = ((-50, -30, -20, -10), (-20, -30, 0, 0), (-30, -30, -40, -20), (-30, -10, -20, -20))
 DANGLE3 = ((-110, -40, -130, -60), (-170, -80, -170, -120), (-70, -10, -70, -10), (-80, -50, -80, -60))
+#: tetraloops with their closing pair
 TETRALOOPS = {
-    -300: "GGGGAC GGUGAC CGAAAG GGAGAC CGCAAG GGAAAC CGGAAG CUUCGG CGUGAG",
-    -250: "CGAAGG CUACGG GGCAAC CGCGAG UGAGAG",
-    -200: "CGAGAG AGAAAU CGUAAG CUAACG UGAAAG",
-    -150: "GGAAGC GGGAAC UGAAAA AGCAAU AGUAAU CGGGAG AGUGAU GGCGAC GGGAGC GUGAAC UGGAAA",
-}
+    "GGGGAC": -300, "GGUGAC": -300, "CGAAAG": -300, "GGAGAC": -300, "CGCAAG": -300,
+    "GGAAAC": -300, "CGGAAG": -300, "CUUCGG": -300, "CGUGAG": -300, "CGAAGG": -250,
+    "CUACGG": -250, "GGCAAC": -250, "CGCGAG": -250, "UGAGAG": -250, "CGAGAG": -200,
+    "AGAAAU": -200, "CGUAAG": -200, "CUAACG": -200, "UGAAAG": -200, "GGAAGC": -150,
+    "GGGAAC": -150, "UGAAAA": -150, "AGCAAU": -150, "AGUAAU": -150, "CGGGAG": -150,
+    "AGUGAU": -150, "GGCGAC": -150, "GGGAGC": -150, "GUGAAC": -150, "UGGAAA": -150,
+}
 TERMINAL_AU, NINIO, MAX_NINIO, LOG_LOOP = 50, 50, 300, 107.856
 MULTI_CLOSE, MULTI_STEM = 340, 40
 #: interior loops of 1x1, 2x1 and 2x2 bases: an energy, and what each A-U end adds
@@ -90,7 +95,7 @@ def pair_probabilities(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hair, bulge, inner = _long(HAIRPIN, 3, n), _w(_long(BULGE, 1, MAX_LOOP)), _w(_long(INTERIOR, 2, MAX_LOOP))
     hair = _w(hair)
     close, stem = float(_w(MULTI_CLOSE)), float(_w(MULTI_STEM))
-    tetra = {"".join(loop): float(_w(e)) for e, loops in TETRALOOPS.items() for loop in loops.split()}
+    tetra = {loop: float(_w(e)) for loop, e in TETRALOOPS.items()}
     kind = [PAIR[s[:, : n - d], s[:, d:]] if d > TURN else np.zeros((size, n - d), int) for d in range(n)]
     outer = [D5[t, before[:, : n - d]] * D3[t, after[:, d:]] * (t > 0) for d, t in enumerate(kind)]  # dangles outside a stem
     within = [D5[BACK[t], np.pad(s, [(0, 0), (1, 0)])[:, d : d + n - d]] * D3[BACK[t], after[:, : n - d]] * (t > 0) for d, t in enumerate(kind)]

@@ -205,7 +205,7 @@ def weight_of(s, pairs):
     w = 1.0
     for i, j in children(-1, n):
         w *= dangles(kind[i, j], i - 1, j + 1)
-    tetra = {x: e for e, loops in fold.TETRALOOPS.items() for x in loops.split()}
+    tetra = fold.TETRALOOPS
     for (i, j), t in kind.items():
         inner = children(i, j)
         if not inner:
