@@ -275,6 +275,49 @@ def test_planted_motif_is_found(spark):
     assert simulate.truth_lines(truth, simulate.Plant(matrix), "T").count() > 100
 
 
+def test_discovery_matches_plain_python(spark):
+    """Seeds, rounds, the choice among starts, masking and the order of motifs, all by direct sums."""
+    r = random.Random(27)
+    rows = [(i, s[:12] + r.choice(["GATTAC", "GATTAC", "GATTAA", "CCGGTT"]) + s[12:]) for i, s in random_seqs(25, 30, 28)] + [(90, "ACG")]
+    found = programs.discover_motifs(spark.createDataFrame(rows, "seq_id long, seq string"), 6, motifs=2, starts=3, rounds=4)
+    own = dict(rows[:-1])
+    count = lambda seqs: {b: float(sum(s.count(b) for s in seqs.values())) for b in "ACGT"} | {"n": float(len(seqs))}
+    masked, original, want = dict(own), count(own), []
+    for number in range(2):
+        letters = sum(map(len, masked.values()))
+        share = {b: sum(s.count(b) for s in masked.values()) / letters for b in "ACGT"}
+        seen: dict = {}
+        for i, s in masked.items():
+            for j in range(len(s) - 5):
+                if "N" not in s[j : j + 6]:
+                    seen.setdefault(s[j : j + 6], set()).add(i)
+        score = {k: len(v) / sum(1 - math.exp(-len(s) * math.prod(share[b] for b in k)) for s in masked.values()) for k, v in seen.items()}
+        seeds = sorted(score, key=lambda k: (-score[k], k))[:3]
+        whole, best = count(masked), None
+        for start, kmer in enumerate(seeds):
+            m = em.seed_model(start, kmer, len(own), len(seen[kmer]))
+            for _ in range(4):
+                z = {i: brute_e_step(s, m) for i, s in masked.items()}
+                q = {i: sum(v.values()) for i, v in z.items()}
+                row = {f"fg_{k}_{b}": sum(w for i, s in masked.items() for j, w in z[i].items() if s[j + k] == "ACGT"[b]) for k in range(6) for b in range(4)}
+                row |= {"q": sum(q.values())} | {f"q_{b}": sum(q[i] * s.count(b) for i, s in masked.items()) for b in "ACGT"}
+                before, m = m, em.m_step(m, row, whole)
+            ll = em.log_likelihood(m, row, original)
+            if best is None or ll > best[0]:
+                best = (ll, m, before)
+        ll, m, before = best
+        want.append((ll, number, m))
+        for i, s in masked.items():
+            z = brute_e_step(s, before)
+            if sum(z.values()) >= 0.8:
+                j = max(z, key=lambda j: (z[j], -j))  # noqa: B023
+                masked[i] = s[:j] + "NNNNNN" + s[j + 6 :]
+    want.sort(key=lambda x: (-x[0], x[1]))
+    assert [(m.number, m.model.kmer) for m in found] == [(n, m.kmer) for _, n, m in want]
+    for got, (ll, _, m) in zip(found, want, strict=True):
+        assert got.model.ll == pytest.approx(ll) and np.allclose(got.model.matrix, m.matrix) and got.model.gamma == pytest.approx(m.gamma)
+
+
 def test_structure_mode_runs_and_masks(spark):
     df = spark.createDataFrame(random_seqs(30, 40, 8), "seq_id long, seq string")
     ss = df.select("seq_id", F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: (i % 7) / 10).alias("ss"))
