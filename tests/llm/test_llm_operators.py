@@ -61,6 +61,29 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert decontaminate.drop_leaks(odd, bench.limit(0)).count() == n
 
 
+def test_odd_rows_have_the_values_stated(spark, odd):
+    by_id = lambda df: {x.doc_id: x for x in df.where("doc_id IS NOT NULL").collect()}
+    model = classifier.train(odd, spark.createDataFrame([(4, 1, 0), (5, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int"))
+    scores = [(x.doc_id, x.score) for x in classifier.score_quality(odd, model).collect()]
+    of = dict(scores)
+    assert of[1] == of[2] == of[3] and len({x for d, x in scores if d == 5}) == 1 and of[4] == of[6] > of[5]
+    rules_ = by_id(rules.quality_rules(odd))
+    assert all((rules_[d].n_words, rules_[d].base_failed, rules_[d].kept) == (0, True, False) for d in (1, 2, 3)) and rules_[4].n_words == 400 * 55
+    found = by_id(secrets.scan_secrets(odd))
+    assert all((found[d].spans, found[d].base_sha256) == ("", hashlib.sha256(b"").hexdigest()) for d in (1, 2, 3))
+    groups = by_id(simhash.near_duplicates(odd))
+    assert all((groups[d].fingerprint, groups[d].component_id) == ("0" * 16, 1) for d in (1, 2, 3)) and groups[6].component_id == 4
+    decided = by_id(lines.line_decisions(odd))
+    # blank lines stay; the later copy of the long text loses every line
+    assert (decided[1].n_lines, decided[1].removed) == (1, []) and (decided[3].n_lines, decided[3].removed) == (2, []) and decided[6].removed == list(range(400)) and decided[4].n_removed == 0
+    left = {x.doc_id: x for x in lines.drop_lines(odd).collect()}
+    assert left[1].text is None and (left[6].text, left[6].n_chars) == ("", 0) and left[4].n_chars == odd.where("doc_id = 4").first().n_chars
+    repeats = by_id(spans.drop_repeats(odd))
+    assert repeats[6].text == "" and repeats[4].n_removed == 0 and (repeats[1].text, repeats[1].n_sentences) == ("", 0)
+    mixed = [(x.doc_id, x.domain, x.lang, x.source, x.n_tokens, x.copies) for x in mixing.mix(odd, queries.domain(), {}, 1.0, 1).collect()]
+    assert sorted(mixed, key=repr) == sorted([(None, "d1", "en", "src1", 4, 1), (4, "d0", "de", "src0", 22_000, 1), (5, "d1", "en", "src1", 6, 1), (5, "d1", "en", "src1", 6, 1), (6, "d0", "de", "src0", 22_000, 1), (7, "d2", None, "src2", 1, 1)], key=repr)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
