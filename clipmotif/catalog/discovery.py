@@ -31,7 +31,8 @@ def _seqs(spark: SparkSession, sf_dir: str, ss: bool = False, d: bool = False) -
 
 
 def pwm_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k + 1, b, float(p)) for k, row in enumerate(MODEL.matrix) for b, p in zip("ACGT", row, strict=True)]
+    """The model from which a k-mer starts; its prior in row 0."""
+    rows = [(k + 1, b, float(p)) for k, row in enumerate(MODEL.matrix) for b, p in zip("ACGT", row, strict=True)] + [(0, "", float(MODEL.gamma))]
     return rounded(spark.createDataFrame(rows, "k int, base string, p double"), "p")
 
 
@@ -78,6 +79,12 @@ def mstep_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parameters(spark, new, em.log_likelihood(new, row, whole) / whole["n"])
 
 
+def oops_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood after one round if every sequence had a site."""
+    new, row, whole = _stepped(_seqs(spark, sf_dir), MODEL)
+    return rounded(spark.createDataFrame([(float(em.oops_likelihood(new, row, whole) / whole["n"]),)], "ll double"), "ll")
+
+
 def em_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model after the whole fit."""
     own = _seqs(spark, sf_dir)
@@ -105,6 +112,22 @@ def event_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sums.select((F.lit(de.GEO_P) - F.col("g") / F.col("h")).alias("p")), "p")
 
 
+def event_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood of the events under p = 0.3 for some deltas, sites weighted alike, per sequence."""
+    own = _seqs(spark, sf_dir, d=True)
+    n = F.length("seq") - (WIDTH - 1)
+    sites = own.select(F.lit(0).alias("at"), "d", F.sequence(F.lit(0), n - 1).alias("pos"), F.array_repeat(1 / n, n).alias("z"))
+    count = own.count()
+    return rounded(de.event_sums(sites, [(0, d, 0.3) for d in (-8, -3, 0, 4, 8)]).select("delta", (F.col("v") / count).alias("ll")), "ll")
+
+
+def event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event term of every sequence, summed over its sites, for the least, the middle and the greatest delta."""
+    found = de.cube(_seqs(spark, sf_dir, d=True).select("seq_id", "d"), WIDTH)
+    sums = [F.sum(F.get("de", F.lit(k))).alias(name) for name, k in (("least", 0), ("middle", 8), ("greatest", 16))]
+    return rounded(found.groupBy("seq_id").agg(*sums), "least", "middle", "greatest")
+
+
 def _sited(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _seqs(spark, sf_dir)
     return own.join(em.best_sites(own, MODEL), "seq_id").withColumn("name", F.concat(F.lit("sequence_"), F.col("seq_id").cast("string")))
@@ -167,7 +190,7 @@ def simulate_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pwm_seed, estep_occupancy, estep_sites, estep_structure, estep_events, mstep_model, mstep_structure, em_rounds, event_delta, event_newton,
+        pwm_seed, estep_occupancy, estep_sites, estep_structure, estep_events, mstep_model, mstep_structure, oops_likelihood, em_rounds, event_delta, event_newton, event_live, event_cube,
         best_sites, motif_counts, motif_site_lines, motif_record, indicator_text, mean_pwm, masked_sequences, discover_motifs, simulate_data,
     )
 }
@@ -266,8 +289,10 @@ hit AS (SELECT seq_id, seq, site, q FROM best JOIN seqs USING (seq_id) WHERE q >
 SELECT part::INTEGER AS part, seq_id::BIGINT AS seq_id, line FROM lines WHERE EXISTS (SELECT 1 FROM hit)"""
 
 
-def _model_sql(model: em.Model) -> str:
-    """One round from ``model``: its parameters and likelihood, as rows."""
+def _round_sql(model: em.Model) -> tuple[str, list[str]]:
+    """CTEs of one round from ``model`` up to done, a row of its parameters and likelihood, and their SELECTs.
+
+    par has the counts f{k}{base}, the totals and the new parameters."""
     ss = lambda k: f"(((pos + {k}) * 37 + seq_id) % 101 / 100)"
     fg = ", ".join(f"sum(CASE WHEN substr(kmer, {k + 1}, 1) = '{b}' THEN z ELSE 0 END) AS f{k}{b}" for k in range(WIDTH) for b in "ACGT")
     st = "".join(f", sum(q * z * {ss(k)}) AS s{k}" for k in range(WIDTH)) if model.paired else ""
@@ -293,19 +318,43 @@ def _model_sql(model: em.Model) -> str:
     return f"""WITH {_sites(model)}, fg AS (SELECT {fg}{st} FROM site), base AS (SELECT seq_id, {bases} FROM seqs), qq AS (SELECT seq_id, max(q) AS q FROM site GROUP BY seq_id),
 sq AS (SELECT count(*) AS n, sum(q) AS qs, {', '.join(f'sum(n{b}) AS t{b}, sum(q * n{b}) AS q{b}' for b in 'ACGT')} FROM base JOIN qq USING (seq_id)){paired},
 par AS (SELECT *, {', '.join(params)} FROM fg, sq{', pb' if paired else ''}), done AS (SELECT *, ({' + '.join(ll)}) / n AS ll FROM par)
-""" + " UNION ALL ".join(rows)
+""", rows
+
+
+def _model_sql(model: em.Model) -> str:
+    """The parameters and likelihood after one round from ``model``, as rows."""
+    ctes, rows = _round_sql(model)
+    return ctes + " UNION ALL ".join(rows)
+
+
+def _oops_sql(model: em.Model) -> str:
+    whole = lambda b: f"(1 + {WIDTH} * t{b} - ({' + '.join(f'f{k}{b}' for k in range(WIDTH))})) * ln(b{b})"
+    terms = [whole(b) for b in "ACGT"] + [f"(1 + f{k}{b}) * ln(m{k}{b})" for k in range(WIDTH) for b in "ACGT"]
+    return f"{_round_sql(model)[0]} SELECT round(({' + '.join(terms)}) / n, 6) AS ll FROM par"
+
+
+def _events_at(rest: float, weight: float, c: str) -> str:
+    """ln of the smoothed events at position ``c``, which may lie outside of the sequence of ``len``; g is joined at its nearest end."""
+    return f"(ln(g0) + {_number(weight * math.log(rest))} * (greatest(0, -{c}) + greatest(0, {c} - term.len + 1)))"
 
 
 
 SQL = {
-    "pwm_seed": f"SELECT k::INTEGER AS k, base, round(({em.PSEUDO} + CASE WHEN substr('{MODEL.kmer}', k::INTEGER, 1) = base THEN 1 ELSE 0 END) / (1 + 4 * {em.PSEUDO}), 6) AS p FROM range(1, {WIDTH + 1}) t(k), unnest(['A', 'C', 'G', 'T']) u(base)",
+    "pwm_seed": f"SELECT k::INTEGER AS k, base, round(({em.PSEUDO} + CASE WHEN substr('{MODEL.kmer}', k::INTEGER, 1) = base THEN 1 ELSE 0 END) / (1 + 4 * {em.PSEUDO}), 6) AS p FROM range(1, {WIDTH + 1}) t(k), unnest(['A', 'C', 'G', 'T']) u(base) UNION ALL SELECT 0, '', round((1000 - 0.75 * (1000 - 500)) / 1000, 6)",
     "estep_events": f"WITH {_sites(MODEL_DE, events=True)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id",
     "event_delta": f"""WITH {_sites(MODEL_DE, events=True)}, dl AS (SELECT unnest(range(-8, 9)) AS delta),
   term AS (SELECT delta, z, len, pos + delta AS c, seq_id FROM site JOIN (SELECT seq_id, length(seq) AS len FROM seqs) USING (seq_id), dl)
-  SELECT delta::INTEGER AS delta, round(sum(z * ({_number(de.WEIGHT * math.log(de.GEO_P))} + ln(g0) + {_number(de.WEIGHT * math.log(1 - de.GEO_P))} * (greatest(0, -term.c) + greatest(0, term.c - term.len + 1)))) / (SELECT count(*) FROM seqs), 6) AS ll
+  SELECT delta::INTEGER AS delta, round(sum(z * ({_number(de.WEIGHT * math.log(de.GEO_P))} + {_events_at(1 - de.GEO_P, de.WEIGHT, "term.c")})) / (SELECT count(*) FROM seqs), 6) AS ll
   FROM term JOIN g ON g.seq_id = term.seq_id AND g.c = least(greatest(term.c, 0), term.len - 1) GROUP BY delta""",
     "event_newton": f"""WITH {_LONG}, {_smooth(1 - de.GEO_P, 1.0)} SELECT round({_number(de.GEO_P)} - sum((1 / {_number(de.GEO_P)} - g1 / g0) / (len - {WIDTH - 1}))
   / sum((-1 / {_number(de.GEO_P**2)} + g2 / g0 - (g1 / g0) * (g1 / g0)) / (len - {WIDTH - 1})), 6) AS p FROM g WHERE c <= len - {WIDTH}""",
+    "event_live": f"""WITH {_LONG}, {_smooth(0.7, 1.0)}, term AS (SELECT seq_id, length(seq) AS len, delta, unnest(range(0, length(seq) - {WIDTH - 1})) + delta AS c FROM seqs, unnest([-8, -3, 0, 4, 8]) t(delta))
+  SELECT delta::INTEGER AS delta, round(sum(({_number(math.log(0.3))} + {_events_at(0.7, 1.0, "term.c")}) / (term.len - {WIDTH - 1})) / (SELECT count(*) FROM seqs), 6) AS ll
+  FROM term JOIN g ON g.seq_id = term.seq_id AND g.c = least(greatest(term.c, 0), term.len - 1) GROUP BY delta""",
+    "event_cube": f"""WITH {_LONG}, {_smooth(1 - de.GEO_P, de.WEIGHT)}, term AS (SELECT seq_id, length(seq) AS len, delta, unnest(range(0, length(seq) - {WIDTH - 1})) + delta AS c FROM seqs, unnest([-8, 0, 8]) t(delta)),
+  v AS (SELECT term.seq_id, delta, {_number(de.WEIGHT * math.log(de.GEO_P))} + {_events_at(1 - de.GEO_P, de.WEIGHT, "term.c")} AS v FROM term JOIN g ON g.seq_id = term.seq_id AND g.c = least(greatest(term.c, 0), term.len - 1))
+  SELECT seq_id, round(sum(v) FILTER (delta = -8), 6) AS least, round(sum(v) FILTER (delta = 0), 6) AS middle, round(sum(v) FILTER (delta = 8), 6) AS greatest FROM v GROUP BY seq_id""",
+    "oops_likelihood": _oops_sql(MODEL),
     "em_rounds": _rounds_sql(MODEL, em.MAX_ROUNDS),
     "motif_record": _record_sql(),
     "indicator_text": " UNION ALL ".join(f"SELECT {k}::INTEGER AS motif_rank, seq_id, q FROM (WITH {_sites(m)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id)" for k, m in enumerate((MODEL, MODEL_OTHER))),

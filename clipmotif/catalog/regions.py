@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmotif.catalog.adapters import EVENTS, MISMATCHES, PLUS, READ, REGIONS, SEQS, events, read_lines, regions, seqs, table
+from clipmotif.functions.prob import let
 from clipmotif.operators import checks, intervals, lineage, reads
 from clipmotif.plans import programs
 from clipmotif.sources import readers, writers
@@ -97,17 +98,16 @@ def peak_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region of every sequence, cut out of lines of 50 letters; every third on the minus strand."""
     own = seqs(spark, sf_dir).where(F.length("seq") >= 120)
-    n = F.length("seq")
-    lines = own.select(F.col("seq_id").cast("string").alias("chrom"), F.posexplode(F.expr("transform(sequence(0, cast((length(seq) - 1) div 50 AS int)), i -> substring(seq, i * 50 + 1, 50))")).alias("line_no", "seq"))
-    start = (F.col("seq_id") * 13) % (n - 100)
+    start = (F.col("seq_id") * 13) % (F.length("seq") - 100)
     places = own.select(F.col("seq_id").alias("rank"), F.col("seq_id").cast("string").alias("chrom"), start.alias("rs"), (start + 100).alias("re"), F.when(F.col("seq_id") % 3 == 0, "-").otherwise("+").alias("strand"))
-    return readers.extract_regions(places, lines.withColumn("line_no", F.col("line_no").cast("long")))
+    return readers.extract_regions(places, _chromosomes(spark, sf_dir))
 
 
 def _chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chrom, line_no, seq): every sequence as a chromosome in lines of 50 letters."""
     own = seqs(spark, sf_dir).where(F.length("seq") >= 120)
-    cut = F.expr("transform(sequence(0, cast((length(seq) - 1) div 50 AS int)), i -> substring(seq, i * 50 + 1, 50))")
+    at = F.sequence(F.lit(0), F.expr("cast((length(seq) - 1) div 50 AS int)"))
+    cut = let(F.col("seq").cast("binary"), lambda b: F.transform(at, lambda i: F.substring(b, i * 50 + 1, F.lit(50)).cast("string")))
     return own.select("seq_id", F.posexplode(cut).alias("line_no", "line")).select(F.col("seq_id").cast("string").alias("chrom"), F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("seq"))
 
 

@@ -150,11 +150,17 @@ def log_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own.select("seq_id", prob.log_sum_exp(logs).alias("lse"), prob.poisson_zero(F.length("seq") / 1000).alias("none")), "lse", "none")
 
 
+def geometric_variates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A geometric variate for every sequence, from a number that its id spreads over (0, 1)."""
+    u = ((F.col("seq_id") * 7919) % 9973 + 0.5) / 9973
+    return seqs(spark, sf_dir).select("seq_id", prob.geometric(u, 0.135).cast("long").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         base_composition, kmer_observed, kmer_enrichment, kmer_top, sequence_functions, base_codes, kmer_numbers, structure_text, shape_faults,
-        event_profiles, event_text, fasta_text, fasta_load, random_bases, fold_structure, fold_brackets, fold_energy, length_histogram, pwm_information, log_sums,
+        event_profiles, event_text, fasta_text, fasta_load, random_bases, fold_structure, fold_brackets, fold_energy, length_histogram, pwm_information, log_sums, geometric_variates,
     )
 }
 
@@ -197,6 +203,7 @@ SQL = {
     "fasta_text": f"WITH {_WITH_N} SELECT seq_id, md5('>sequence_' || seq_id::VARCHAR || chr(10) || seq) AS line FROM ns WHERE NOT contains(seq, 'N')",
     "random_bases": f"WITH {_WITH_N} SELECT seq_id, 0 AS others, length(seq)::INTEGER AS n, TRUE AS same FROM ns",
     "fasta_load": f"WITH {SEQS} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, 'sequence_' || seq_id::VARCHAR AS name, md5('NNN' || seq || 'NNN') AS seq, length(seq) + 6 AS len FROM seqs",
+    "geometric_variates": "SELECT doc_id AS seq_id, floor(ln(((doc_id * 7919) % 9973 + 0.5) / 9973) / ln(1.0 - 0.135))::BIGINT AS n FROM documents",
     "length_histogram": f"""WITH {SEQS}, x AS (SELECT (instr(seq, 'TG') - 1) / length(seq) AS x FROM seqs WHERE instr(seq, 'TG') > 0), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
   b AS (SELECT CASE WHEN hi > lo THEN least(floor((x - lo) * 160 / (hi - lo)), 159)::BIGINT ELSE 0 END AS bin, (hi - lo) / 160 AS width FROM x, e)
   SELECT bin, count(*) AS n, CASE WHEN max(width) > 0 THEN round(count(*) / (SELECT count(*) FROM b) / max(width), 6) END AS density FROM b GROUP BY bin""",
