@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, cut, small_batches, texts_of
+from clipmotif.llm.common import col, cut, small, small_batches, texts_of
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -157,7 +157,8 @@ def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     blend = lambda n, x, parent: (n * x + int(least) * parent) / (n + int(least))
     upper = lambda c: blend(F.col("of_lang.n"), F.col(f"of_lang.{c}"), F.col(f"of_all.{c}"))
     fence = F.struct(*[blend(F.col("own.n"), F.col(f"own.{c}"), upper(c)).alias(c) for c in bounds]).alias("fence")
-    groups = cut(own.join(lang, "lang").join(F.broadcast(whole)).select("lang", "source", fence))
+    # beyond that many groups both sides are shuffled, and Spark splits the partitions of hot ones
+    groups = small(own.join(lang, "lang").join(F.broadcast(whole)).select("lang", "source", fence), 100_000)
     fails = []
     for m, x in metrics().items():
         n, low = METRICS[m]
