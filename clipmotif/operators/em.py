@@ -206,12 +206,13 @@ def expected_counts(sites: DataFrame, counts: DataFrame, width: int, occupied: D
 
     fg_k_b, the expected bases of column k; q, the expected sequences with a site; q_b, their expected bases;
     with structure fgp_k_b, the paired part, and str_k, weighted by q as well; with events de_j by delta.
-    Without structure and events sites are first summed by k-mer.
+    Without structure and events sites are first summed by k-mer, or come so from ``kmer_sums``.
     """
-    z = F.col("z") * F.col("n")
+    z = F.lit(1.0) if "zn" in sites.columns else F.col("z") * F.col("n")
     occupied = occupancy(sites) if occupied is None else occupied
-    if not {"ss", "de"} & set(sites.columns):
-        sites, z = sites.groupBy("start", "code").agg(F.sum(z).alias("zn")), F.col("zn")
+    if not {"ss", "de", "zn"} & set(sites.columns):
+        sites = sites.groupBy("start", "code").agg(F.sum(z).alias("zn"))
+    z = F.col("zn") if "zn" in sites.columns else z
     aggs = []
     for k in range(width):
         d = digit(F.col("code"), k, width)
@@ -229,6 +230,26 @@ def expected_counts(sites: DataFrame, counts: DataFrame, width: int, occupied: D
     return by_site.join(by_seq, "start")
 
 
+def kmer_sums(facts: DataFrame, models: Sequence[Model]) -> tuple[DataFrame, DataFrame]:
+    """Of facts (seq_id, code, n) the expected sites (start, code, zn) by k-mer, and (start, seq_id, q) by sequence.
+
+    A k-mer's share of the background's likelihood is the same in every sequence, so a sequence gives one number for
+    each start; these are summed by k-mer, and shares are multiplied in at the end.  No row is multiplied by the starts
+    before that, and facts dealt by seq_id are joined where they lie.
+    """
+    bounds = [_terms(m)[3] for m in models]
+    share = lambda i, b: F.exp(F.col(f"odds{i}") - b)
+    own, n, _ = _with_odds(facts, models)
+    sums = own.groupBy("seq_id").agg(*[F.sum(F.col("n") * share(i, b)).alias(f"s{i}") for i, b in enumerate(bounds)])
+    total = lambda i: _chance(F.lit(float(models[i].gamma)), F.col(f"s{i}"), F.lit(bounds[i]))
+    parts = sums.select("seq_id", *[(float(models[i].gamma) / total(i)).alias(f"t{i}") for i in range(n)])
+    met = facts.join(parts, "seq_id").groupBy("code").agg(*[F.sum(F.col("n") * F.col(f"t{i}")).alias(f"t{i}") for i in range(n)])
+    met, _, _ = _with_odds(met, models)
+    sites = met.select("code", F.explode(F.array(*[F.struct(F.lit(m.start).alias("start"), (F.col(f"t{i}") * share(i, bounds[i])).alias("zn")) for i, m in enumerate(models)])).alias("m"))
+    q = [F.struct(F.lit(m.start).alias("start"), (m.gamma * F.col(f"s{i}") / total(i)).alias("q")) for i, m in enumerate(models)]
+    return sites.select("m.start", "code", "m.zn"), sums.select("seq_id", F.explode(F.array(*q)).alias("m")).select("m.start", "seq_id", "m.q")
+
+
 def totals(counts: DataFrame) -> dict[str, float]:
     """Number of sequences and sums of their base counts."""
     row = counts.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in counts.columns if c != "seq_id"]).first()
@@ -292,10 +313,12 @@ def fit(
     for _ in range(rounds):
         if live is not None:
             facts = _rows(de_ops.with_logs_by_start(live, [m.p for m in going], weight), going[0].width)
-        sites = e_step(facts, going)
+        if {"ss", "de"} & set(facts.columns):
+            sites, occupied = e_step(facts, going), None if live is not None else sequence_occupancy(facts, going)
+        else:
+            sites, occupied = kmer_sums(facts, going)
         if live is not None:
             sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
-        occupied = None if live is not None else sequence_occupancy(facts, going)
         rows = {r["start"]: r.asDict() for r in expected_counts(sites, counts, going[0].width, occupied).collect()}
         stepped = [m_step(m, rows[m.start], whole, opt_delta and live is None) if m.start in rows else None for m in going]
         if live is not None:
