@@ -230,24 +230,39 @@ def expected_counts(sites: DataFrame, counts: DataFrame, width: int, occupied: D
     return by_site.join(by_seq, "start")
 
 
-def kmer_sums(facts: DataFrame, models: Sequence[Model]) -> tuple[DataFrame, DataFrame]:
+def kmer_sums(facts: DataFrame, models: Sequence[Model], codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Of facts (seq_id, code, n) the expected sites (start, code, zn) by k-mer, and (start, seq_id, q) by sequence.
 
-    A k-mer's share of the background's likelihood is the same in every sequence, so a sequence gives one number for
-    each start; these are summed by k-mer, and shares are multiplied in at the end.  No row is multiplied by the starts
-    before that, and facts dealt by seq_id are joined where they lie.
+    A k-mer's share of the background's likelihood is the same in every sequence, so it is computed once for each of the
+    k-mers ``codes``, at most 4 ** width; a sequence then gives one number for each start, these are summed by k-mer,
+    and shares are multiplied in at the end.  No row is multiplied by the starts before that, and facts dealt by
+    seq_id are joined where they lie.  Numbers of the models stand in arrays, so that rounds share their compiled code.
     """
-    bounds = [_terms(m)[3] for m in models]
-    share = lambda i, b: F.exp(F.col(f"odds{i}") - b)
-    own, n, _ = _with_odds(facts, models)
-    sums = own.groupBy("seq_id").agg(*[F.sum(F.col("n") * share(i, b)).alias(f"s{i}") for i, b in enumerate(bounds)])
-    total = lambda i: _chance(F.lit(float(models[i].gamma)), F.col(f"s{i}"), F.lit(bounds[i]))
-    parts = sums.select("seq_id", *[(float(models[i].gamma) / total(i)).alias(f"t{i}") for i in range(n)])
-    met = facts.join(parts, "seq_id").groupBy("code").agg(*[F.sum(F.col("n") * F.col(f"t{i}")).alias(f"t{i}") for i in range(n)])
-    met, _, _ = _with_odds(met, models)
-    sites = met.select("code", F.explode(F.array(*[F.struct(F.lit(m.start).alias("start"), (F.col(f"t{i}") * share(i, bounds[i])).alias("zn")) for i, m in enumerate(models)])).alias("m"))
-    q = [F.struct(F.lit(m.start).alias("start"), (m.gamma * F.col(f"s{i}") / total(i)).alias("q")) for i, m in enumerate(models)]
-    return sites.select("m.start", "code", "m.zn"), sums.select("seq_id", F.explode(F.array(*q)).alias("m")).select("m.start", "seq_id", "m.q")
+    width, n = models[0].width, len(models)
+    each = [_terms(m) for m in models]
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    weights = F.array(*[listed([*w, bound]) for w, _, _, bound in each])
+    gamma, none = listed([float(m.gamma) for m in models]), listed([min(1 - m.gamma + TINY, 1.0) * math.exp(-x[3]) for m, x in zip(models, each, strict=True)])
+
+    def share(w: Column) -> Column:
+        odds = F.lit(0.0)
+        for k in range(width):
+            odds = odds + F.get(w, digit(F.col("code"), k, width) + 4 * k)
+        return F.exp(odds - F.get(w, F.lit(4 * width)))
+
+    codes = facts.select("code").distinct() if codes is None else codes
+    shares = codes.select("code", F.transform(weights, share).alias("rel"))
+    sums = facts.join(shares, "code").groupBy("seq_id").agg(*[F.sum(F.col("n") * F.get("rel", F.lit(i))).alias(f"s{i}") for i in range(n)])
+    sums = sums.select("seq_id", F.array(*[f"s{i}" for i in range(n)]).alias("s"))
+    part = lambda s, i: F.get(gamma, i) / (F.get(gamma, i) * s + F.get(none, i))
+    parts = sums.select("seq_id", F.transform("s", part).alias("t"))
+    met = facts.join(parts, "seq_id").groupBy("code").agg(*[F.sum(F.col("n") * F.get("t", F.lit(i))).alias(f"t{i}") for i in range(n)])
+    met = met.join(shares, "code").select("code", "rel", F.array(*[f"t{i}" for i in range(n)]).alias("t"))
+    starts = listed([m.start for m in models])
+    rows = lambda value: F.explode(F.transform(starts, lambda start, i: F.struct(start.alias("start"), value(i).alias("x")))).alias("m")
+    sites = met.select("code", rows(lambda i: F.get("t", i) * F.get("rel", i))).select("m.start", "code", F.col("m.x").alias("zn"))
+    q = sums.select("seq_id", rows(lambda i: F.get("s", i) * part(F.get("s", i), i))).select("m.start", "seq_id", F.col("m.x").alias("q"))
+    return sites, q
 
 
 def totals(counts: DataFrame) -> dict[str, float]:
@@ -310,13 +325,14 @@ def fit(
     """
     whole = totals(counts)
     going, done = list(models), []
+    codes = None if facts is None or {"ss", "de"} & set(facts.columns) else facts.select("code").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(rounds):
         if live is not None:
             facts = _rows(de_ops.with_logs_by_start(live, [m.p for m in going], weight), going[0].width)
         if {"ss", "de"} & set(facts.columns):
             sites, occupied = e_step(facts, going), None if live is not None else sequence_occupancy(facts, going)
         else:
-            sites, occupied = kmer_sums(facts, going)
+            sites, occupied = kmer_sums(facts, going, codes)
         if live is not None:
             sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
         rows = {r["start"]: r.asDict() for r in expected_counts(sites, counts, going[0].width, occupied).collect()}
@@ -336,6 +352,8 @@ def fit(
         going = nxt
         if not going:
             break
+    if codes is not None:
+        codes.unpersist()
     return sorted(done + going, key=lambda m: m.start)
 
 
