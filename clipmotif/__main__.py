@@ -85,7 +85,7 @@ def _events(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     seqs = readers.read_fasta(spark, a.input).drop("len")
-    plants = [simulate.Plant(simulate.draw_pwm(a.width, a.information, a.seed + k), a.share, a.type, a.structured, a.events, a.noise, a.geometric, a.delta) for k in range(a.motifs)]
+    plants = [simulate.Plant(simulate.draw_pwm(spark, a.width, a.information, a.seed + k), a.share, a.type, a.structured, a.events, a.noise, a.geometric, a.delta) for k in range(a.motifs)]
     made, counts, truth = simulate.simulate(seqs, plants, a.seed)
     writers.write_lines(writers.fasta_lines(made), f"{a.output}.fa", ["seq_id"])
     writers.write_lines(writers.count_lines(counts.withColumnRenamed("seq_id", "rank")), f"{a.output}_de.dat", ["rank"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from clipmotif.catalog import discovery, regions, sequences
+from clipmotif.catalog import discovery, planted, regions, sequences
 
 
 def queries() -> dict:
-    return sequences.QUERIES | regions.QUERIES | discovery.QUERIES
+    return sequences.QUERIES | regions.QUERIES | discovery.QUERIES | planted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return sequences.SQL | regions.SQL | discovery.SQL
+    return sequences.SQL | regions.SQL | discovery.SQL | planted.SQL

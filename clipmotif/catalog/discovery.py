@@ -180,18 +180,11 @@ def discover_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "motif_rank int, motif int, kmer string, k int, a double, c double, g double, t double, gamma double"), "a", "c", "g", "t", "gamma")
 
 
-def simulate_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences simulated with a planted motif in a stem, and where it is."""
-    plant = simulate.Plant(simulate.draw_pwm(6, 1.5, 3), 0.8, "stem", 0.7, events=5, noise=0.2)
-    made, events, (truth,) = simulate.simulate(simulate.random_sequences(spark, 500, 120, 11), [plant], 12)
-    return truth.join(events, "seq_id").select("seq_id", "seq", "site", "structured", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("events"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         pwm_seed, estep_occupancy, estep_sites, estep_structure, estep_events, mstep_model, mstep_structure, oops_likelihood, em_rounds, event_delta, event_newton, event_live, event_cube,
-        best_sites, motif_counts, motif_site_lines, motif_record, indicator_text, mean_pwm, masked_sequences, discover_motifs, simulate_data,
+        best_sites, motif_counts, motif_site_lines, motif_record, indicator_text, mean_pwm, masked_sequences, discover_motifs,
     )
 }
 

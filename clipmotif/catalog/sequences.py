@@ -112,19 +112,19 @@ def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairing probabilities of the benchmark texts' nucleotides."""
-    own = seqs(spark, sf_dir, "benchmark", "item_id").repartition(8)
+    own = seqs(spark, sf_dir, "benchmark", "item_id")
     found = fold.fold(own)
     return found.select("seq_id", F.size("ss").alias("n"), F.round(F.aggregate("ss", F.lit(0.0), lambda a, x: a + x), 6).alias("paired"))
 
 
 def fold_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of the same, summarised."""
-    own = seqs(spark, sf_dir, "benchmark", "item_id").repartition(8)
+    own = seqs(spark, sf_dir, "benchmark", "item_id")
     return fold.brackets(fold.fold_pairs(own), own)
 
 
 def fold_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fold.ensemble_energy(seqs(spark, sf_dir, "benchmark", "item_id").repartition(8)), "energy")
+    return rounded(fold.ensemble_energy(seqs(spark, sf_dir, "benchmark", "item_id")), "energy")
 
 
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

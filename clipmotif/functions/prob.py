@@ -33,11 +33,26 @@ def poisson_zero(rate: Column) -> Column:
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
-    """A number in (0, 1) drawn by hashing the keys: the same wherever the row is computed."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12)
+    """A number in (0, 1) drawn from the md5 of seed and keys, joined by colons: the same wherever the row is computed."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return (bits + 0.5) / float(2**52)
 
 
 def geometric(u: Column, p: float) -> Column:
     """A geometric variate, floor(ln u / ln(1 - p)), from a uniform one."""
     return F.floor(F.log(u) / F.log(F.lit(1.0 - p)))
+
+
+def filled(entries: Column, length: Column, blank: Column) -> Column:
+    """An array of ``length`` values: those of ``entries``, structs (pos, value) of different places, and ``blank`` elsewhere.
+
+    Gaps between sorted entries are filled, so that a row takes time in proportion to its length; null entries are none.
+    """
+
+    def fill(e: Column) -> Column:
+        ends = F.concat(F.array(F.lit(-1).cast("long")), F.transform(e, lambda x: x["pos"].cast("long")))
+        parts = F.zip_with(e, F.slice(ends, F.lit(1), F.size(e)), lambda x, before: F.concat(F.array_repeat(blank, (x["pos"] - before - 1).cast("int")), F.array(x["value"])))
+        return F.concat(F.flatten(parts), F.array_repeat(blank, (length - 1 - F.element_at(ends, -1)).cast("int")))
+
+    return F.coalesce(let(F.array_sort(entries), fill), F.array_repeat(blank, length.cast("int")))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipmotif.functions.prob import filled
 from clipmotif.functions.seq import replace_n
 
 TILE, OVERLAP, PADDING, TURN, MAX_LOOP = 250, 50, 20, 3, 30
@@ -171,11 +172,15 @@ def pair_probabilities(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tiles(seqs: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame:
-    """Rows (seq_id, start, seq): windows of ``tile`` bases, each beginning ``tile - overlap`` after the one before."""
+    """Rows (seq_id, start, seq): windows of ``tile`` bases, each beginning ``tile - overlap`` after the one before.
+
+    Tiles are dealt out one by one, so that a long sequence is folded by many tasks.
+    """
     step = tile - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length("seq") - tile) / step)).cast("int")
-    own = seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    return own.select("seq_id", (F.col("k") * step).alias("start"), F.substring("seq", F.col("k") * step + 1, F.lit(tile)).alias("seq"))
+    own = seqs.where(F.length("seq") > 0).select("seq_id", F.col("seq").cast("binary").alias("seq"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    cut = own.select("seq_id", (F.col("k") * step).alias("start"), F.substring("seq", F.col("k") * step + 1, F.lit(tile)).cast("string").alias("seq"))
+    return cut.repartition("seq_id", "start")
 
 
 def _folded(frames: Iterator[pd.DataFrame], batch: int, give) -> Iterator[pd.DataFrame]:
@@ -244,7 +249,5 @@ def brackets(pairs: DataFrame, seqs: DataFrame, cut: float = 0.667) -> DataFrame
     ends = pairs.select("seq_id", F.explode(F.array(F.struct(F.col("i").alias("pos"), F.col("p").alias("up"), F.lit(0.0).alias("down")), F.struct(F.col("j").alias("pos"), F.lit(0.0).alias("up"), F.col("p").alias("down")))).alias("e"))
     sums = ends.groupBy("seq_id", "e.pos").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
     mark = F.when(F.col("up") > cut, "(").when(F.col("down") > cut, ")").when(F.col("up") + F.col("down") > cut, "|").when(F.col("up") + F.col("down") > 1 - cut, ",").otherwise(".")
-    marks = sums.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos"), mark.alias("m")))).alias("m"))
-    own = seqs.join(marks, "seq_id", "left")
-    at = F.when(F.length("seq") > 0, F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return own.select("seq_id", F.array_join(F.transform(at, lambda i: F.coalesce(F.element_at("m", i), F.lit("."))), "").alias("summary"))
+    marks = sums.groupBy("seq_id").agg(F.collect_list(F.struct("pos", mark.alias("value"))).alias("m"))
+    return seqs.join(marks, "seq_id", "left").select("seq_id", F.array_join(filled(F.col("m"), F.length("seq"), F.lit(".")), "").alias("summary"))

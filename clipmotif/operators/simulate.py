@@ -1,4 +1,4 @@
-"""Simulated sequences with planted motif occurrences, structure and cross-link events.
+"""Test data for motif discovery: occurrences, structure and cross-link events planted into sequences.
 
 All draws hash a seed with the row's key, so that results do not depend on partitioning.
 """
@@ -11,12 +11,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmotif.functions.prob import geometric, uniform
+from clipmotif.functions.prob import filled, geometric, let, uniform
 from clipmotif.functions.seq import reverse_complement
 
 #: fixed values: background of A, C, G, T; stem, loop and where in the stem a motif begins
 BACKGROUND = (0.3, 0.2, 0.2, 0.3)
 STEM, LOOP, OFFSET = 10, 15, 3
+#: powers of ten between which the common power of a drawn matrix lies
+POWERS = (-1.3, 1.3)
 STRUCTURES = ("unstructured", "dsRNA", "ssRNA", "stem")
 
 
@@ -26,16 +28,34 @@ def relative_information(matrix: list[list[float]]) -> float:
     return float((p * np.abs(np.log2(p / np.array(BACKGROUND)))).sum(axis=1).mean())
 
 
-def draw_pwm(width: int, target: float, seed: int, tolerance: float = 0.005, tries: int = 2_000_000) -> list[list[float]]:
-    """A matrix of Dirichlet columns whose mean information is within ``tolerance`` of the target, by rejection.
+def pwm_tries(spark: SparkSession, width: int, seed: int, first: int, last: int) -> DataFrame:
+    """Rows (number, matrix, information) of random matrices of ``width`` columns.
 
-    Concentrations are drawn anew for every try, so that high and low targets are met alike.
+    A column's shares are exponential variates, that is one draw of a flat Dirichlet distribution, raised to a power
+    that a try's columns have in common, so that matrices of little and of much information are drawn alike.
     """
-    rng = np.random.default_rng(seed)
-    for _ in range(tries):
-        m = rng.dirichlet([10 ** rng.uniform(-2, 0.5)] * 4, size=width)
-        if abs(relative_information(m) - target) <= tolerance:
-            return m.tolist()
+    u = lambda *keys: uniform(F.col("number"), *keys, seed=seed)
+    power = F.pow(F.lit(10.0), u(F.lit("power")) * (POWERS[1] - POWERS[0]) + POWERS[0])
+    weights = lambda k: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.pow(-F.log(u(k, b)), F.col("power")))
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+    column = lambda k: let(weights(k), lambda w: let(total(w), lambda t: F.transform(w, lambda x: F.greatest(x / t, F.lit(1e-300)))))
+    drawn = spark.range(first, last).withColumnRenamed("id", "number").withColumn("power", power)
+    drawn = drawn.withColumn("matrix", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), column))
+    background = F.array(*[F.lit(x) for x in BACKGROUND])
+    bits = F.transform("matrix", lambda m: total(F.zip_with(m, background, lambda p, q: p * F.abs(F.log2(p / q)))))
+    return drawn.select("number", "matrix", (total(bits) / width).alias("information"))
+
+
+def draw_pwm(spark: SparkSession, width: int, target: float, seed: int, tolerance: float = 0.005, batch: int = 16_384, batches: int = 128) -> list[list[float]]:
+    """The first of the random matrices whose mean information is within ``tolerance`` of the target.
+
+    Tries are the rows of a job, a batch at a time; one row comes back.
+    """
+    for n in range(batches):
+        tries = pwm_tries(spark, width, seed, n * batch, (n + 1) * batch).where(F.abs(F.col("information") - target) <= tolerance)
+        found = tries.agg(F.min_by("matrix", "number").alias("matrix")).first()["matrix"]
+        if found:
+            return [list(row) for row in found]
     raise ValueError(f"no matrix of mean information {target} found")
 
 
@@ -48,13 +68,13 @@ def _pick(u: Column, shares) -> Column:
 def random_sequences(spark: SparkSession, n: int, length: int, seed: int, shares=BACKGROUND) -> DataFrame:
     """Rows (seq_id, name, seq) of ``n`` background sequences."""
     ids = spark.range(n).withColumnRenamed("id", "seq_id")
-    letters = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: _pick(uniform(F.col("seq_id"), i, seed=seed), shares))
+    letters = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: _pick(uniform(F.col("seq_id"), F.lit("base"), i, seed=seed), shares))
     return ids.select("seq_id", F.concat(F.lit("sequence_"), (F.col("seq_id") + 1).cast("string")).alias("name"), F.array_join(letters, "").alias("seq"))
 
 
 def occurrence(key: Column, matrix: list[list[float]], seed: int) -> Column:
     """A word drawn from the matrix."""
-    return F.concat(*[_pick(uniform(key, F.lit(k), seed=seed), row) for k, row in enumerate(matrix)])
+    return F.concat(*[_pick(uniform(key, F.lit("word"), F.lit(k), seed=seed), row) for k, row in enumerate(matrix)])
 
 
 def _below(u: Column, n: Column) -> Column:
@@ -108,9 +128,10 @@ def place(seqs: DataFrame, plant: Plant, seed: int) -> DataFrame:
 def place_events(seqs: DataFrame, plant: Plant, seed: int) -> DataFrame:
     """Rows (seq_id, pos) of events: ceil(n (1 - noise)) at geometric distances around site + delta, the rest anywhere.
 
-    A draw that falls outside the sequence is replaced by a uniform one, as are all of sequences without a site.
+    A draw that falls outside the sequence is replaced by a uniform one, as are all of sequences without a site;
+    an empty sequence has none.
     """
-    draws = seqs.select("seq_id", "site", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(1), F.lit(plant.events))).alias("k")) if plant.events else None
+    draws = seqs.where("seq <> ''").select("seq_id", "site", F.length("seq").alias("len"), F.explode(F.sequence(F.lit(1), F.lit(plant.events))).alias("k")) if plant.events else None
     if draws is None:
         return seqs.select("seq_id", F.lit(0).cast("long").alias("pos")).where("false")
     real = int(np.ceil(plant.events * (1 - plant.noise)))
@@ -130,9 +151,8 @@ def simulate(seqs: DataFrame, plants: list[Plant], seed: int = 1) -> tuple[DataF
         events = found if events is None else events.unionByName(found)
         truth.append(placed.select("seq_id", "name", "seq", "site", "structured"))
         seqs = placed.drop("site", "structured")
-    n = events.groupBy("seq_id", "pos").agg(F.count("*").alias("n")).groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("found"))
-    at = F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1)
-    counts = seqs.join(n, "seq_id", "left").select("seq_id", F.transform(at, lambda i: F.coalesce(F.element_at("found", i), F.lit(0).cast("long"))).alias("counts"))
+    n = events.groupBy("seq_id", "pos").agg(F.count("*").alias("value")).groupBy("seq_id").agg(F.collect_list(F.struct("pos", "value")).alias("found"))
+    counts = seqs.join(n, "seq_id", "left").select("seq_id", filled(F.col("found"), F.length("seq"), F.lit(0).cast("long")).alias("counts"))
     return seqs, counts, truth
 
 

@@ -343,7 +343,7 @@ def test_simulated_structures(spark):
             assert right == left[::-1].translate(str.maketrans("ACGT", "TGCA"))
     with pytest.raises(ValueError):
         simulate.place(base, simulate.Plant(matrix, structure="knot"), 1)
-    assert abs(simulate.relative_information(simulate.draw_pwm(6, 1.2, 1)) - 1.2) <= 0.005
+    assert abs(simulate.relative_information(simulate.draw_pwm(spark, 6, 1.2, 1)) - 1.2) <= 0.005
 
 
 def test_readers(spark, tmp_path):
