@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipmotif.functions import seq
+from clipmotif.functions import prob, seq
 from clipmotif.operators import checks, de, em, fold, intervals, kmers, reads, simulate
 from clipmotif.plans import programs
 from clipmotif.sources import readers, writers
@@ -430,3 +430,17 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     batch = intervals.pile_up(reads.events(reads.parse_reads(spark.createDataFrame([(x,) for x in lines], "line string"), "rmap"), "iCLIP", "rmap"), regions, mirror=False)
     assert state == {(x.rank, x.pos): x.n for x in batch.collect()} and state
+
+
+def test_arrays_are_filled_and_odd_sequences_planted(spark):
+    rows = [(1, [(2, 5), (0, 7)], 4), (2, None, 3), (3, [(0, 1)], 1), (4, None, 0), (5, [], 2)]
+    df = spark.createDataFrame(rows, "seq_id long, found array<struct<pos: long, value: long>>, n int")
+    got = {x.seq_id: x.c for x in df.select("seq_id", prob.filled(F.col("found"), F.col("n"), F.lit(0).cast("long")).alias("c")).collect()}
+    assert got == {1: [7, 0, 5, 0], 2: [0, 0, 0], 3: [1], 4: [], 5: [0, 0]}
+    odd = spark.createDataFrame([(1, "a", ""), (2, "b", "ACG"), (3, "c", "ACGTACGTAC")], "seq_id long, name string, seq string")
+    made, counts, (truth,) = simulate.simulate(odd, [simulate.Plant([[0.25] * 4] * 6, 1.0, "stem", events=3)], 4)
+    assert {x.seq_id: len(x.seq) for x in made.collect()} == {1: 0, 2: 3, 3: 10}
+    assert {x.seq_id: (len(x.counts), sum(x.counts)) for x in counts.collect()} == {1: (0, 0), 2: (3, 3), 3: (10, 3)}
+    assert {x.seq_id: (x.site is None, x.structured) for x in truth.collect()} == {1: (True, False), 2: (True, False), 3: (False, False)}
+    with pytest.raises(ValueError):
+        simulate.draw_pwm(spark, 6, 5.0, 1, batch=64, batches=2)
