@@ -1,4 +1,4 @@
-"""The ten operators applied to the synthetic tables, with production parameters, and their SQL."""
+"""The operators applied to the synthetic tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmotif.llm import classifier, decontaminate, html, lines, mixing, rules, secrets, simhash, spans, warc
+from clipmotif.llm import classifier, decontaminate, html, lines, mixing, negatives, periods, rules, secrets, simhash, spans, warc
 from clipmotif.llm.common import table
 
 #: integer weights by level of the tree; "*" is for names that are not listed
@@ -60,6 +60,25 @@ def captures(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").select(records.alias("r")).select("r.*")
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with a period made in the documents whose crc32 of the doc_id is divisible by 10.
+
+    From word a on such a text repeats p words; a and p follow from the crc32 and the number of words.  A null doc_id or
+    a text without words stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = docs.select(F.col("doc_id"), F.col("text"), F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    own = own.select("doc_id", "text", "g", F.when(F.col("g").isNotNull(), words).alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    unit = F.slice("words", a + 1, p)
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")
+    return own.select("doc_id", F.when(F.col("g").isNotNull() & F.col("words").isNotNull() & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
@@ -103,6 +122,37 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = periods.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    more = lambda best, x: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda best, x: F.when(more(best, x), x).otherwise(best))
+    said = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    own = own.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(said, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period")
+    return own.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+NEGATIVES_SQL = """
+WITH own AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM own a JOIN own b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY m.score DESC, m.vec_id)::INTEGER AS rank,
+  m.vec_id AS negative_id, p.positive_score, m.score AS negative_score
+FROM positive p JOIN met m USING (anchor_id)
+WHERE NOT m.same AND 30 * p.positive_score <= 100 * m.score AND 100 * m.score <= 90 * p.positive_score QUALIFY rank <= 10"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": _op1,
@@ -115,6 +165,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": _op8,
         "op9_line_dedup": _op9,
         "op10_simhash": _op10,
+        "op11_periodic_runs": _op11,
+        "op12_hard_negatives": _op12,
     }
 
 
@@ -200,4 +252,4 @@ FROM judged"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mix_sql(), "op6_warc_revisits": warc_sql()}
+    return {"op1_mix_sources": mix_sql(), "op6_warc_revisits": warc_sql(), "op12_hard_negatives": NEGATIVES_SQL}
