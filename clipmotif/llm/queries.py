@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmotif.llm import classifier, decontaminate, html, lines, mixing, negatives, periods, rules, secrets, simhash, spans, warc
+from clipmotif.llm import classifier, decontaminate, html, lines, mixing, negatives, periods, rules, secrets, simhash, spans, warc, wavelet
 from clipmotif.llm.common import table
 
 #: integer weights by level of the tree; "*" is for names that are not listed
@@ -139,6 +140,10 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 NEGATIVES_SQL = """
 WITH own AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -167,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": _op10,
         "op11_periodic_runs": _op11,
         "op12_hard_negatives": _op12,
+        "op13_token_files": _op13,
     }
 
 
