@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
@@ -278,3 +279,61 @@ def test_page_lines_count_text_tags_and_links():
     spike = html.smooth(np.eye(1, 21, 10)[0])
     want = np.exp(-((np.arange(21) - 10.0) ** 2) / 8) * (abs(np.arange(21) - 10) <= 6)
     assert np.allclose(spike / spike[10], want / want[10], atol=0.02)
+
+
+PAGES = {
+    "<article><p>Body text of this article.</p><!-- draft <p>hidden words</p></article>": "Body text of this article.",
+    "<article><p>One.</p><!-- <p>no</p> --!><p>Two.</p><!--><p>Three.</p></article>": "One.\nTwo.\nThree.",
+    '<article><p>Words before it.</p><section class="legal"><p>The law says so and it stays.</p></section></article>': "Words before it.\nThe law says so and it stays.",
+    '<article><div class="share-price"><p>The share price rose.</p></div><div class="search-tree"><p>A tree has nodes.</p></div></article>': "The share price rose.\nA tree has nodes.",
+    '<article><section class="legal"><p>The law says so.</p></section></article>': "The law says so.",
+    '<nav><ul><li><a href="/">Home</a></li></ul><article><p>Text after an open menu.</p></article>': "Text after an open menu.",
+    "<article><p>" + "Article text. " * 20 + '</p></article><section class="user-opinions"><p>' + "I think not. " * 10 + "</p></section>": ("Article text. " * 20).strip(),
+    "<article><p>" + "First part. " * 20 + '</p><div class="ad"><p>' + "Buy it now. " * 4 + "</p></div><p>" + "Second part. " * 20 + "</p></article>": ("First part. " * 20).strip() + "\n" + ("Second part. " * 20).strip(),
+    "<p>a <b>x</b> 1 &lt; 2 < 3 <i>open <a href=": "a x 1 < 2 < 3 open",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_names_and_open_comments(page):
+    assert html.main_text(page) == PAGES[page]
+
+
+@pytest.mark.parametrize("part", ["<!--", "<", "<a ", "<!x", "<?x", "</", "&", "<script>", "<![CDATA[", '<a href="'])
+def test_malformed_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part) // (5 if part == "<" else 1))
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 6  # seconds; a quadratic scan takes minutes
+
+
+def plain_main_text(rows, sigma=2.0):
+    """``rows`` has (container, words) by line, a tag pair for each container and line: ratio, smoothing and clusters by plain sums."""
+    ratios, last = [], None
+    for k, (box, words) in enumerate(rows):
+        tags = 1 + (box != last) + (k > 0) + (k > 0 and box != last)
+        ratios.append(len(words) / (1 + tags))
+        last = box
+    dense = []
+    for i in range(len(rows)):
+        weights = {j: math.exp(-((i - j) ** 2) / (2 * sigma**2)) for j in range(len(rows)) if abs(i - j) <= 3 * sigma}
+        dense.append(sum(w * ratios[j] for j, w in weights.items()) / sum(weights.values()) >= 0.5 * sum(ratios) / len(ratios))
+    content = {box for (box, _), d in zip(rows, dense, strict=True) if d}
+    return "\n".join(words for box, words in rows if box in content)
+
+
+def test_ratio_smoothing_and_clusters_against_plain_sums():
+    r, differ = random.Random(3), 0
+    for _ in range(150):
+        rows, box = [], 0
+        for _ in range(r.randint(1, 30)):
+            box += r.random() < 0.4
+            rows.append((box, " ".join(["word"] * r.choice([1, 1, 2, 40]))))
+        page, last = "", None
+        for box, words in rows:
+            page += ("</div>" if last is not None and box != last else "") + ("<div>" if box != last else "") + f"<p>{words}</p>"
+            last = box
+        want = plain_main_text(rows)
+        assert html.main_text(page + "</div>") == want
+        differ += want != "\n".join(w for _, w in rows)
+    assert differ > 20  # the clusters decide
