@@ -17,6 +17,8 @@ BLOCK_CHARS = 4_000_000  # benchmark characters that one pass over the documents
 CHUNK_CHARS = 150_000  # document characters hashed at a time
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
+PAIRS = 2_000_000  # pairs of equal grams that are held at a time
+RUN_DIAGONALS = 1 << 16  # that one alignment takes
 
 
 def _table() -> np.ndarray:
@@ -111,6 +113,13 @@ def banded(item: str, text: str, low: int, high: int, most: int) -> tuple[int, i
     return (int(row[k]), int(d[k]) + len(item)) if row[k] <= most else None
 
 
+def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of some (key, count) rows, and the sums of their counts."""
+    rows = np.concatenate(parts)
+    key, which = np.unique(rows[:, 0], return_inverse=True)
+    return key, np.bincount(which, rows[:, 1], len(key)).astype(np.int64)
+
+
 class Index:
     """Grams of a block of benchmark items: a bitmap to pass over most text, and the postings behind it."""
 
@@ -132,26 +141,111 @@ class Index:
         self.seen[(flat >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def candidates(self, codes: np.ndarray) -> np.ndarray:
-        """Rows (item, low diagonal, high diagonal, least position, greatest position) of bands with enough common grams."""
+        """Rows (item, low diagonal, high diagonal) of runs of neighbouring bands with enough common grams.
+
+        A text is counted in windows that overlap by what a region of the longest item can take, so that what is held at a
+        time follows from the window and the items, not from the text.
+        """
+        reach = max((len(t) + int(e) for (_, t), e in zip(self.items, self.edits, strict=True)), default=0)
+        found = []
+        for at in range(0, max(1, len(codes)), CHUNK_CHARS):
+            bands = self._bands(codes[at : at + CHUNK_CHARS + reach])
+            bands[:, 1:] += at
+            found.append(bands)
+            if at + CHUNK_CHARS + reach >= len(codes):
+                break
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        if not len(rows):
+            return rows
+        high = np.maximum.accumulate(rows[:, 2] + rows[:, 0] * (4 * len(codes) + 4 * reach + 4)) - rows[:, 0] * (4 * len(codes) + 4 * reach + 4)
+        width = rows[:, 1] - np.r_[0, rows[:-1, 1]]
+        new = np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] > high[:-1] + 1)]
+        # very long runs are cut; the aligned diagonals overlap by the edits on both sides
+        run = np.cumsum(new)
+        along = np.cumsum(np.where(new, 0, width))
+        along = (along - np.maximum.accumulate(np.where(new, along, 0))) // RUN_DIAGONALS
+        head = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (along[1:] != along[:-1])])
+        return np.stack([rows[head, 0], rows[head, 1], np.maximum.reduceat(rows[:, 2], head)], 1)
+
+    def _bands(self, codes: np.ndarray) -> np.ndarray:
+        """Rows (item, low diagonal, high diagonal) of the bands of one window that reach their item's bound."""
         h = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         k = np.searchsorted(self.grams, h[at])
         k[k == len(self.grams)] = 0
         hit = self.grams[k] == h[at] if len(self.grams) else np.zeros(len(at), bool)
         at, k = at[hit], k[hit]
-        n = self.counts[k]
-        total = int(n.sum())
-        if not total:
+        if not len(k):
             return np.empty((0, 3), np.int64)
-        posting = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(total)
+        n = self.counts[k]
+        if int(n.sum()) <= PAIRS:
+            return self._counted(at, k, n)
+        # pairs of equal grams by item; an item with many for the window's length is counted along all diagonals at once
+        times = np.bincount(k, minlength=len(self.grams))
+        gram = np.repeat(np.arange(len(self.grams)), self.counts)
+        pairs = np.bincount(self.item, times[gram], len(self.items))
+        heavy = np.flatnonzero(pairs > 4 * len(codes))
+        found = []
+        order = np.argsort(k, kind="stable")
+        begin = np.searchsorted(k[order], np.arange(len(self.grams) + 1))
+        for item in heavy.tolist():
+            mine = np.flatnonzero(self.item == item)
+            size = len(self.items[item][1])
+            along = np.zeros(len(codes) + size + 1, np.int32)  # by diagonal, moved by the item's length
+            for g in np.unique(gram[mine]).tolist():
+                if times[g]:
+                    there = np.zeros(len(codes), np.int32)
+                    there[at[order[begin[g] : begin[g + 1]]]] = 1
+                    for place in self.place[mine[gram[mine] == g]].tolist():
+                        along[size - place : size - place + len(codes)] += there
+            found.append(self._enough(item, np.arange(-size, len(codes) + 1), along))
+        light = np.ones(len(self.items), bool)
+        light[heavy] = False
+        # the others have few pairs each; as many go at a time as PAIRS allows
+        for a, b in zip(*self._pieces(n), strict=True):
+            found.append(self._pairs(at[a:b], k[a:b], n[a:b], light))
+        keys = [x for x in found if x.shape[1] == 2]
+        bands = [x for x in found if x.shape[1] == 3]
+        if keys:
+            bands.append(self._reached(*_summed(keys)))
+        return np.concatenate(bands)
+
+    @staticmethod
+    def _pieces(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        group = np.cumsum(n) // PAIRS
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        return starts, np.r_[starts[1:], len(n)]
+
+    def _pairs(self, at: np.ndarray, k: np.ndarray, n: np.ndarray, light: np.ndarray | None = None) -> np.ndarray:
+        """Rows (key, number of pairs) of the bands of postings that meet; a key holds item and band."""
+        posting = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         item, diagonal = self.item[posting], np.repeat(at, n) - self.place[posting]
-        step = self.edits[item] + 1
-        band = diagonal // step
-        rows = np.concatenate([np.stack([item, band], 1), np.stack([item, band - 1], 1)])  # each band spans two steps
-        rows, count = np.unique(rows, axis=0, return_counts=True)
-        rows = rows[count >= self.need[rows[:, 0]]]
-        step = self.edits[rows[:, 0]] + 1
-        return np.stack([rows[:, 0], rows[:, 1] * step, (rows[:, 1] + 2) * step - 1], 1)
+        if light is not None:
+            item, diagonal = item[light[item]], diagonal[light[item]]
+        key = (item << np.int64(36)) + diagonal // (self.edits[item] + 1) + (1 << 35)
+        return np.stack(np.unique(key, return_counts=True), 1)
+
+    def _reached(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Bands of two neighbouring steps whose pairs reach the bound of their item."""
+        both, which = np.unique(np.concatenate([key, key - 1]), return_inverse=True)  # each band spans two steps
+        total = np.bincount(which, np.concatenate([count, count]), len(both))
+        item, band = both >> np.int64(36), (both & ((1 << 36) - 1)) - (1 << 35)
+        fits = total >= self.need[item]
+        item, band, step = item[fits], band[fits], self.edits[item[fits]] + 1
+        return np.stack([item, band * step, (band + 2) * step - 1], 1)
+
+    def _counted(self, at: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self._reached(*self._pairs(at, k, n).T)
+
+    def _enough(self, item: int, diagonals: np.ndarray, along: np.ndarray) -> np.ndarray:
+        """The same for the counts of one item along all diagonals."""
+        step = int(self.edits[item]) + 1
+        band = diagonals // step
+        count = np.bincount(band - band[0], along)
+        two = count + np.r_[count[1:], 0]
+        first = np.flatnonzero(np.r_[count[0], two] >= self.need[item]) - 1 + band[0]  # the first one spans nothing and a step
+        return np.stack([np.full(len(first), item), first * step, (first + 2) * step - 1], 1)
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Of each text the (item id, end, edits, item length) of its best region for every item it holds."""
@@ -165,13 +259,20 @@ class Index:
             codes = normal_codes(texts[k : k + n])
             ends = np.flatnonzero(codes == 0)
             starts = np.concatenate([[0], ends + 1])
-            for item, low, high in self.candidates(codes.astype(np.uint64) + np.uint64(1)) if self.items else ():
+            plain: dict[int, str] = {}
+            for item, low, high in self.candidates(codes.astype(np.uint64) + np.uint64(1)).tolist() if self.items else ():
                 name, t = self.items[item]
                 # a band may cross from one document into the next; every document that it meets is tried
                 a, b = np.searchsorted(starts, [max(low, 0), max(high, 0)], side="right") - 1
                 for doc in range(a, min(b, n - 1) + 1):
-                    got = self.best(t, _text(codes[starts[doc] : ends[doc]]), low - int(starts[doc]), high - int(starts[doc]), int(self.edits[item]))
+                    begin, end = int(starts[doc]), int(ends[doc])
                     old = out[k + doc].get(name)
+                    if old and not old[1] and low - begin + len(t) >= old[0]:
+                        continue  # nothing is better than no edit, further to the left
+                    if doc not in plain:
+                        plain[doc] = _text(codes[begin:end])
+                    # beyond the document's own diagonals there is nothing
+                    got = self.best(t, plain[doc], max(low, begin - len(t)) - begin, min(high, end) - begin, int(self.edits[item]))
                     if got and (old is None or (got[0], got[1]) < (old[1], old[0])):
                         out[k + doc][name] = (got[1], got[0], len(t))
             k += n
@@ -220,7 +321,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     fewest edits, then the first.
 
     The benchmark is the query set: it is gone through in blocks of bounded size, each a narrow pass over
-    all documents.  If there are several, what a block finds is written before the next one comes to the driver.  A null or empty text holds nothing; null or blank items are left out; of equal
+    all documents.  If there are several, what a block finds is written before the next one comes to the
+    driver.  A long or repetitive text is counted in windows, so memory follows from the window and the items.  A null or empty text holds nothing; null or blank items are left out; of equal
     item_ids the better match counts; repeated documents are reported each; other columns are not read;
     empty tables give no row.
     """

@@ -337,3 +337,26 @@ def test_ratio_smoothing_and_clusters_against_plain_sums():
         assert html.main_text(page + "</div>") == want
         differ += want != "\n".join(w for _, w in rows)
     assert differ > 20  # the clusters decide
+
+
+def test_repetitive_texts_are_counted_in_bounded_memory(monkeypatch):
+    index = decontaminate.Index([(1, "a " * 200), (2, "some other item of quite a few words")])
+    start = time.process_time()
+    assert index.search(["a " * 200_000]) == [[(1, 399, 0, 399)]]
+    assert time.process_time() - start < 20
+    r = random.Random(8)
+    items = [(i, " ".join(r.choices(["ab", "abc", "b"], k=r.randint(8, 40)))) for i in range(8)] + [(9, "a b " * 20)]
+    texts = [" ".join(r.choices(["ab", "abc", "b", "a b"], k=r.randint(0, 400))) for _ in range(12)]
+    texts += [edited(r, items[k][1], 2) + " zz " + " ".join(r.choices(["ab", "b"], k=300)) for k in range(9)] + ["a b " * 300]
+    want = decontaminate.Index(items).search(texts)
+    assert sum(map(len, want)) >= 9
+    for pairs, chunk, run in ((50, 150_000, 1 << 16), (1000, 300, 1 << 16), (50, 300, 16)):  # dense counts, windows, cut runs
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        monkeypatch.setattr(decontaminate, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(decontaminate, "RUN_DIAGONALS", run)
+        assert decontaminate.Index(items).search(texts) == want
+    for text, own in zip(texts, want, strict=True):
+        for name, item in items:
+            least = min(edit_rows(decontaminate.normalise(item), decontaminate.normalise(text), free=True))
+            got = [e for i, _, e, _ in own if i == name]
+            assert got == ([least] if least <= decontaminate.budget(len(decontaminate.normalise(item))) else [])
