@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,12 @@ CODE = np.full(128, -1, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 MIN_CHARS = 16  # of a stretch that the models judge
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z]{3,}")
 MAX_SAMPLES = 2000  # strings of each label, gathered from the corpus; those that hash lowest
 FALSE_ALARMS = 0.001  # of the ordinary training strings, that the evidence asked for may let through
-LEAST_EVIDENCE = 10.0  # nats
+LEAST_EVIDENCE = 12.5  # nats
+SHORT = 4  # characters without evidence that may stand within a key, between separators
 
 
 def gather(docs: DataFrame, max_samples: int = MAX_SAMPLES) -> tuple[list[str], list[str]]:
@@ -59,22 +63,44 @@ def gather(docs: DataFrame, max_samples: int = MAX_SAMPLES) -> tuple[list[str],
     return first(1), first(0)
 
 
+#: modules whose names are ordinary identifiers of programs
+MODULES = "argparse asyncio builtins calendar codecs collections concurrent.futures configparser csv ctypes datetime decimal email.message html.parser http.client http.server imaplib inspect io json logging logging.handlers multiprocessing os pathlib pickle re shutil smtplib socket socketserver sqlite3 ssl string subprocess tarfile tempfile threading typing unittest unittest.mock urllib.parse urllib.request uuid warnings xml.dom.minidom xml.etree.ElementTree xml.sax.handler zipfile".split()
+
+
+def identifiers() -> list[str]:
+    """Ordinary identifiers: the public names in MODULES and in their classes."""
+    names: set[str] = set()
+    for module in map(importlib.import_module, MODULES):
+        for name, value in vars(module).items():
+            names.add(name)
+            if isinstance(value, type):
+                names.update(vars(value))
+    return sorted(n for n in names if len(n) > 2 and not n.startswith("_"))
+
+
 def samples(secrets: list[str], words: list[str], n: int = 4000, seed: int = 7) -> tuple[list[str], list[str]]:
     """Labelled strings for the two models: random ones (n uniform draws beside ``secrets``), and n ordinary ones made of
-    ``words`` in the styles of identifiers, paths and headings, besides numbers, times, versions, ids and rules."""
+    ``words`` and of ``identifiers`` in the styles of programs, paths and headings, besides numbers, times, versions, ids,
+    alphabets and rules."""
     r = random.Random(seed)
     letters = ALPHABET[:62]
     sets = ["0123456789ABCDEF", letters, ALPHABET[:26] + "0123456789", ALPHABET[26:62], ALPHABET[:64], letters + "_-"]
     noise = secrets + ["".join(r.choices(r.choice(sets), k=r.randint(MIN_CHARS, 64))) for _ in range(n)]
     digits = lambda k: "".join(r.choices("0123456789", k=k))
+    names, row = identifiers(), string.ascii_lowercase + string.digits
     plain = []
     for i in range(n if words else 0):
         w = r.choices(words, k=r.randint(3, 7))
+        x = r.choices(names, k=r.randint(2, 5))
+        a = r.randrange(12)
         styles = (
             lambda: "_".join(w).lower(), lambda: w[0] + "".join(x.title() for x in w[1:]), lambda: "-".join(w), lambda: "_".join(w).upper(), lambda: "/".join(w) + digits(r.randint(0, 2)),
             lambda: "".join(w), lambda: "".join(x.title() for x in w), lambda: w[0] * 3, lambda: digits(r.randint(MIN_CHARS, 30)), lambda: r.choice("=-_/+") * r.randint(10, 40) + w[0],
             lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}-{digits(2)}-{digits(2)}_{w[0]}_{w[1]}", lambda: f"{w[0]}-{w[1]}-v{digits(1)}-{digits(2)}-{digits(1)}-{w[2]}",
             lambda: "-".join("".join(r.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
+            lambda: x[0] + "".join(y[:1].upper() + y[1:] for y in x[1:]), lambda: "/".join(x) + digits(r.randint(0, 3)), lambda: "_".join(x), lambda: "-".join(y + digits(1) for y in x),
+            lambda: f"{x[0]}/{digits(4)}/{digits(2)}/{digits(2)}/{x[1]}_{digits(8)}_{digits(6)}", lambda: "".join(y[:1].upper() + y[1:] for y in x),
+            lambda: "".join(c.upper() if i % 2 else c for c in row[a : a + r.randint(MIN_CHARS, 36)]), lambda: (string.ascii_letters + string.digits + "+/")[a:],
         )
         plain.append(styles[i % len(styles)]())
     return noise, plain
@@ -111,26 +137,42 @@ class Models:
         if most:
             self.evidence = max(self.evidence, float(np.quantile(most, 1 - FALSE_ALARMS)) + 1e-9)
 
+    def parts(self, string: str) -> list[tuple[int, int, float]]:
+        """The stretches of a string that may be secrets: (start, end, summed ratio).
+
+        The runs of letters and digits between separators are judged one by one.  Runs of positive ratio that only
+        separators part belong together, as do those that runs of up to SHORT characters in all part; any other run ends a
+        stretch, so that each of several keys in a path has its own.
+        """
+        table = self.table
+        out: list[tuple[int, int, float]] = []
+        gap = True  # whether the next run begins a stretch of its own
+        for m in RUN.finditer(string):
+            a, b = m.span()
+            sum_ = float(table[_pairs(m[0])].sum()) if b - a > 1 else 0.0
+            if sum_ <= 0:
+                gap |= b - a > SHORT
+            elif gap or a - out[-1][1] > SHORT + 2:
+                out.append((a, b, sum_))
+                gap = False
+            else:
+                start, end, before = out[-1]
+                out[-1] = (start, b, before + sum_ + float(table[_pairs(string[end - 1 : a + 1])].sum()))
+        return out
+
     def best(self, string: str) -> tuple[int, int, float]:
-        """The stretch (start, end) of greatest summed ratio, and that sum."""
-        upto = np.r_[0.0, np.cumsum(self.table[_pairs(string)])]
-        gain = upto - np.minimum.accumulate(upto)
-        end = int(np.argmax(gain))
-        return int(np.argmin(upto[: end + 1])), end + 1, float(gain[end])
+        """Of ``parts`` that are long enough the one of greatest sum; an empty one if there is none."""
+        return max((p for p in self.parts(string) if p[1] - p[0] >= MIN_CHARS), key=lambda p: p[2], default=(0, 0, 0.0))
 
     def spans(self, string: str, offset: int = 0) -> list[tuple[int, int]]:
-        """The random stretches of a string of ALPHABET, widened to whole runs of letters and digits; from left to right."""
-        if len(string) < MIN_CHARS:
-            return []
-        a, b, sum_ = self.best(string)
-        if sum_ < self.evidence:
-            return []
-        while a and string[a - 1].isalnum():
-            a -= 1
-        while b < len(string) and string[b].isalnum():
-            b += 1
-        own = [(offset + a, offset + b)] if b - a >= MIN_CHARS else []
-        return self.spans(string[:a], offset) + own + self.spans(string[b:], offset + b)
+        """The random stretches of a string of ALPHABET, from left to right; a key's closing = belongs to it."""
+        out = []
+        for a, b, sum_ in self.parts(string):
+            if b - a >= MIN_CHARS and sum_ >= self.evidence:
+                while b < len(string) and string[b] == "=":
+                    b += 1
+                out.append((offset + a, offset + b))
+        return out
 
 
 def rates(models: Models, noise: list[str], plain: list[str]) -> tuple[float, float]:

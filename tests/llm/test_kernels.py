@@ -360,3 +360,23 @@ def test_repetitive_texts_are_counted_in_bounded_memory(monkeypatch):
             least = min(edit_rows(decontaminate.normalise(item), decontaminate.normalise(text), free=True))
             got = [e for i, _, e, _ in own if i == name]
             assert got == ([least] if least <= decontaminate.budget(len(decontaminate.normalise(item))) else [])
+
+
+def test_keys_are_told_from_names_and_from_one_another():
+    r = random.Random(12)
+    words = sorted({"".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(500)})
+    models = secrets.Models(*secrets.samples([], words))
+    for plain in (
+        "com/wp-content/uploads/2023/05/18/IMG_20230504_112233", "getHttpURLConnectionXMLParserFactory", "docs/html5/css3/mp4v2/h264/x265", "abcdefghijklmnopqrstuvwxyz0123456789",
+        "org/apache/commons/lang3/StringUtils", "2023-05-18T10-22-33Z_backup_final", "x86_64-unknown-linux-gnu", "AbstractSingletonProxyFactoryBean",
+    ):
+        assert models.spans(plain) == [], plain
+    letters, path = secrets.ALPHABET[:62], "/services/gateway/payment/customer/accounts/"
+    exact = 0
+    for _ in range(100):
+        a, b = ("".join(r.choices(letters, k=32)) for _ in range(2))
+        exact += models.spans(a + path + b) == [(0, 32), (32 + len(path), 64 + len(path))]
+    assert exact >= 90
+    found = sum(bool(models.spans("api/v1/" + "".join(r.choices(secrets.ALPHABET[:64], k=44)) + "=")) for _ in range(100))
+    assert found >= 90
+    assert models.parts("") == models.parts("a-b_c") == [] and models.best("") == (0, 0, 0.0)
