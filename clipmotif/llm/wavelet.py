@@ -9,27 +9,31 @@ import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipmotif.llm.common import col, shared_folder, small_batches
+from clipmotif.llm.common import col, shared_folder
 
 MAGIC = b"WVMX0001"
 BLOCK_BYTES = 4096  # of a plane that are compressed together
 SHARD_TOKENS = 1 << 22  # a shard ends with the document that reaches this
 END_ID = 2
-CACHE = 400_000  # words whose ids a worker keeps
-PIECE_BYTES = 4_000_000  # texts of about so many bytes are encoded at a time
+CACHE = 800_000  # words whose ids a worker keeps in a generation, of two
+PIECE_BYTES = 16_000_000  # texts of about so many bytes are encoded at a time
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: ASCII marks around a word; none of them begins a contraction
 MARKS = string.punctuation.replace("'", "").encode()
 WORD = re.compile(rb"[A-Za-z]+")
+#: letters that no normal form changes, and that each have one lower-case letter
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
 def _bits(data: bytes) -> np.ndarray:
@@ -66,11 +70,12 @@ class Wavelet:
         tokens = np.asarray(tokens, np.uint32)
         n, width = len(tokens), max(1, int(tokens.max(initial=0)).bit_length())
         pack = zstandard.ZstdCompressor(level=1).compress
-        own, begins, ones, zeros, parts, at = tokens, [], [], [], [], 0
+        own, begins, ones, zeros, parts, at = tokens.astype(np.uint16 if width <= 16 else np.uint32), [], [], [], [], 0
         for level in range(width):
-            bit = (own >> np.uint32(width - 1 - level)) & np.uint32(1)
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little").tobytes()
-            counts = [int(x) for x in np.add.reduceat(bit, np.arange(0, n, 8 * block))] if n else []
+            bit = (own & own.dtype.type(1 << (width - 1 - level))) != 0
+            packed = np.packbits(bit, bitorder="little")
+            counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), block), dtype=np.int64).tolist() if n else []
+            packed = packed.tobytes()
             ones += [sum_ - c for sum_, c in zip(np.cumsum(counts).tolist(), counts, strict=True)] + [sum(counts)]
             for k in range(0, len(packed), block):
                 part = pack(packed[k : k + block])
@@ -79,7 +84,7 @@ class Wavelet:
                 at += len(part)
             begins.append(at)
             zeros.append(n - int(bit.sum()))
-            own = np.concatenate([own[bit == 0], own[bit == 1]])
+            own = np.concatenate([own[~bit], own[bit]])
         ids = np.array([d or 0 for d, _ in documents], np.int64)
         tables, offset = {}, 0
         listed = {
@@ -179,73 +184,110 @@ class Wavelet:
         return at
 
     def tokens(self) -> np.ndarray:
-        """All tokens in order, plane by plane at once."""
-        out, at = np.zeros(self.n, np.uint32), np.arange(self.n, dtype=np.int32)
-        for level in range(self.width):
+        """All tokens in order: from the last plane up the two halves of each plane are dealt to its zeros and ones."""
+        out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
+        for level in range(self.width - 1, -1, -1):
             plane = self._plane(level)
-            bit = plane[at]
-            out = (out << np.uint32(1)) | bit
-            ones = np.cumsum(plane, dtype=np.int32)
-            place = np.where(plane, self.zeros[level] + ones - 1, np.arange(self.n, dtype=np.int32) - ones)
-            at = place[at].astype(np.int32)
+            ones, below = plane.view(bool), out
+            out = np.empty_like(below)
+            out[~ones] = below[: self.zeros[level]]
+            out[ones] = below[self.zeros[level] :]
+            out |= plane.astype(out.dtype) << out.dtype.type(self.width - 1 - level)
             for k in range(self.blocks):
                 self._kept.pop((level, k), None)
-        return out
+        return out.astype(np.uint32)
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit integers.
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(rest)) for b in range(256)]
 
-    The tokenizer may not join what white space parts, as those that drop white space before they split; so texts are
-    encoded word by word, and the ids of words met before are kept, ``CACHE`` of them.  A word of ASCII letters between
-    ASCII marks goes to the model in its parts, as the file's splitting would give them; any other word goes through the
-    whole tokenizer.
-    """
 
-    def __init__(self, path: str) -> None:
+class Known(dict):
+    """The ids of words, as bytes; those of a new word are found when it is first asked for."""
+
+    def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        if "Lowercase" not in steps or splits[0].get("behavior") != "Removed" or not splits[0].get("invert"):
-            raise ValueError("only tokenizers that lower the case and drop white space are supported")
-        self.model = self.tokenizer.model
+        if "Lowercase" not in steps or splits[0].get("behavior") != "Removed" or not splits[0].get("invert") or splits[-1]["type"] != "ByteLevel":
+            raise ValueError("only byte-level tokenizers that lower the case and drop white space are supported")
+        self.model, self.kind = self.tokenizer.model, kind
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
-        self.known: dict[bytes, bytes] = {}
-
-    def _whole(self, words: list[bytes]) -> list[bytes]:
-        own = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in own]
-
-    def _part(self, part: bytes) -> bytes:
-        if part not in self.known:
-            self.known[part] = np.array([t.id for t in self.model.tokenize(part.decode())], "<u4").tobytes() if part.isalpha() else self._whole([part])[0]
-        return self.known[part]
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        rest = []
-        for w in words:
-            bare = w.strip(MARKS)
-            if not WORD.fullmatch(bare) or any(x in w for x in self.special):
-                rest.append(w)
-                continue
-            at = w.index(bare)
-            self.known[w] = b"".join(self._part(x) for x in (w[:at], bare.lower(), w[at + len(bare) :]) if x)
-        self.known.update(zip(rest, self._whole(rest), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = {w for own in words for w in own} - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {w for own in words for w in own}
-        self._learn(sorted(new))
-        known = self.known
-        return [b"".join([known[w] for w in own]) for own in words]
+        self.old: dict[bytes, bytes] = {}
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:  # words that are not asked for again are forgotten with the next generation
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        self[word] = ids
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        bare = word.rstrip(MARKS)
+        if bare.isalpha():  # ASCII letters
+            low = bare.lower()
+            if low != word:
+                return self[low] + (self[word[len(bare) :]] if len(bare) < len(word) else b"")
+            return array(self.kind, [t.id for t in self.model.tokenize(low.decode())]).tobytes()
+        bare = word.strip(MARKS)
+        if WORD.fullmatch(bare):
+            bare = bare.lower()
+            own = bare.decode()
+        elif LATIN.fullmatch(text := bare.decode("utf-8", "replace")):
+            own = text.lower().encode().decode("latin-1").translate(self.letters)
+        else:
+            own = None
+        if own is None or (b"<" in word and any(x in word for x in self.special)):
+            return array(self.kind, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if bare == word:
+            return array(self.kind, [t.id for t in self.model.tokenize(own)]).tobytes()
+        at = word.index(word.strip(MARKS))
+        return b"".join([self[x] for x in (word[:at], bare, word[at + len(bare) :]) if x])
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file.
+
+    The tokenizer may not join what white space parts, as those that drop white space before they split; so texts are
+    encoded word by word, and the ids of words met before are kept, up to ``CACHE`` of them.  A word of Latin letters
+    between ASCII marks goes to the model in its parts, as the file's splitting would give them; any other word goes
+    through the whole tokenizer.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.known = Known(path, "I")
+        if self.known.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16:
+            self.known.kind = "H"
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end_id`` after each, and where each text's ids end; a null text is empty.
+
+        Arrow splits the texts and names their different words, so Python sees each of those once.
+        """
+        known, kind = self.known, np.dtype(self.known.kind)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        named = split.flatten().dictionary_encode()
+        named = named.combine_chunks() if isinstance(named, pa.ChunkedArray) else named
+        each = [known[w] if w else b"" for w in named.dictionary.cast(pa.large_binary()).to_pylist()]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // kind.itemsize
+        flat, begins = np.frombuffer(b"".join(each), kind), np.cumsum(sizes) - sizes
+        word = named.indices.to_numpy()
+        n = sizes[word]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat(begins[word] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+        return np.insert(ids.astype(np.uint32), ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
 @functools.lru_cache(2)
@@ -253,21 +295,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of batches (doc_id, text), about ``most`` bytes at a time."""
-    ids: list = []
-    texts: list[bytes] = []
-    size = 0
-    for batch in small_batches(batches):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc)
-            texts.append(text or b"")
-            size += len(texts[-1])
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches (doc_id, text, …) whose texts have about ``most`` bytes."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        bounds = [0, *(np.flatnonzero(np.diff(sizes // most)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(bounds):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -281,35 +316,33 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     A null doc_id comes first; rows of one doc_id come in the order in which they are read; a null or empty text is the
     end id alone; an empty table writes no shard.
     """
-    own = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").cast("binary").alias("text"))
+    own = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
     own = own.withColumn("at", F.monotonically_increasing_id())  # a doc_id with very many rows can be cut
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = own.repartitionByRange(tasks, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size, documents = 0, 0, [], 0, []
-        last = np.array([end_id], "<u4").tobytes()
 
         def shard() -> pa.RecordBatch:
-            data = Wavelet.build(np.frombuffer(b"".join(held), "<u4"), documents)
+            data = Wavelet.build(np.concatenate(held), documents)
             arrays = [pa.array([data], pa.binary()), pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, names=["value", "part", "shard", "tokens"])
 
-        def seen() -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            for batch in batches:
-                if batch.num_rows:
-                    part = batch.column(2)[0].as_py()
-                yield batch
-
-        for ids, texts in pieces(seen()):
-            for doc, own in zip(ids, encoder(tokenizer).encode(texts), strict=True):
-                held += [own, last]
-                documents.append((doc, len(own) // 4 + 1))
-                size += len(own) // 4 + 1
-                if size >= shard_tokens:
+        for batch in pieces(batches):
+            part = batch.column(2)[0].as_py()
+            ids, ends = encoder(tokenizer).encode(batch.column(1), end_id)
+            names, begin = batch.column(0).to_pylist(), 0
+            own = np.diff(np.r_[0, ends]).tolist()
+            for k, end in enumerate(ends.tolist()):
+                documents.append((names[k], own[k]))
+                if size + end - begin >= shard_tokens:
+                    held.append(ids[begin:end])
+                    size += end - begin
                     yield shard()
-                    number, held, size, documents = number + 1, [], 0, []
+                    number, held, size, documents, begin = number + 1, [], 0, [], end
+            held.append(ids[begin:])
+            size += len(ids) - begin
         if documents:
             yield shard()
 
