@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipmotif.catalog.adapters import SEQS, counts, rounded, seqs, structure, windows_sql
-from clipmotif.operators import de, em, simulate
+from clipmotif.operators import blocks, de, em, simulate
 from clipmotif.plans import programs
 from clipmotif.sources import writers
 
@@ -88,11 +88,10 @@ def oops_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model after the whole fit."""
     own = _seqs(spark, sf_dir)
-    counted = em.base_counts(own).persist(StorageLevel.MEMORY_AND_DISK)
-    facts = em.site_facts(own, WIDTH).sortWithinPartitions("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-    (new,) = em.fit(facts, counted, [MODEL])
-    facts.unpersist()
-    return _parameters(spark, new, new.ll / em.totals(counted)["n"])
+    sites = blocks.site_blocks(own, WIDTH).persist(StorageLevel.MEMORY_AND_DISK)
+    (new,) = em.fit(sites, None, [MODEL])
+    sites.unpersist()
+    return _parameters(spark, new, new.ll / own.count())
 
 
 def event_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmotif.functions.seq import mer2i
+from clipmotif.operators import blocks as block_ops
 from clipmotif.operators import de as de_ops
 from clipmotif.operators.kmers import windows
 
@@ -123,6 +124,12 @@ def _terms(model: Model) -> tuple[list[float], list[float], list[float], float]:
     return w, on, off, sum(max(w[4 * k : 4 * k + 4]) for k in range(model.width)) + sum(map(max, on, off))
 
 
+def term(model: Model) -> block_ops.Term:
+    """How a model scores the sites of blocks."""
+    w, on, off, _ = _terms(model)
+    return block_ops.Term(model.start, tuple(w), tuple(on), tuple(off), model.delta, float(model.gamma), min(1 - model.gamma + TINY, 1.0))
+
+
 def _odds(columns: Sequence[str], width: int, w: Column, on: Column | None, off: Column | None, delta: Column) -> Column:
     """The log of a site's likelihood over the background's."""
     odds = F.lit(0.0)
@@ -166,18 +173,19 @@ def _chance(gamma: Column, s: Column, top: Column) -> Column:
 def e_step(facts: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Rows of ``facts`` for every start with z, the probability of a site there, and q, that of one in the sequence.
 
-    A site's likelihood relative to the background is a product over the window alone.  Maxima and sums go over
-    windows of the sequence's rows: facts dealt and sorted by seq_id are neither shuffled nor sorted again, and rows
-    are multiplied by the starts after that.
+    A site's likelihood relative to the background is a product over the window alone.  Sums by sequence, relative to the
+    models' bounds, are partly made where rows lie, so that a long sequence meets in one row and not in one task; rows
+    get them by a join, which splits a sequence of very many rows, and are multiplied by the starts after that.
     """
     own, n, keys = _with_odds(facts, models)
-    over = Window.partitionBy(*keys)
-    own = own.select("*", *[F.max(f"odds{i}").over(over).alias(f"top{i}") for i in range(n)])
-    own = own.select(*facts.columns, *[F.col(f"top{i}") for i in range(n)], *[F.exp(F.col(f"odds{i}") - F.col(f"top{i}")).alias(f"rel{i}") for i in range(n)])
-    own = own.select("*", *[F.sum(F.col("n") * F.col(f"rel{i}")).over(over).alias(f"s{i}") for i in range(n)])
+    bounds = [_terms(m)[3] for m in models]
+    bound = lambda i: F.get(F.array(*map(F.lit, bounds)), F.col("at")) if "at" in keys else F.lit(bounds[i])
+    own = own.select(*facts.columns, *[F.exp(F.col(f"odds{i}") - bound(i)).alias(f"rel{i}") for i in range(n)])
+    sums = own.groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(f"rel{i}")).alias(f"s{i}") for i in range(n)])
+    own = own.join(sums, keys)
 
-    def out(i: int, start: Column, gamma: Column, _: Column) -> Column:
-        total = _chance(gamma, F.col(f"s{i}"), F.col(f"top{i}"))
+    def out(i: int, start: Column, gamma: Column, bound: Column) -> Column:
+        total = _chance(gamma, F.col(f"s{i}"), bound)
         return F.struct(start.alias("start"), (gamma * F.col(f"rel{i}") / total).alias("z"), (gamma * F.col(f"s{i}") / total).alias("q"))
 
     return _spread(own, models, out).select(*facts.columns, "m.start", "m.z", "m.q")
@@ -315,27 +323,35 @@ def oops_likelihood(model: Model, row: dict, whole: dict[str, float]) -> float:
 
 
 def fit(
-    facts: DataFrame | None, counts: DataFrame, models: Sequence[Model], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, opt_delta: bool = True,
-    live: DataFrame | None = None, weight: float = de_ops.WEIGHT,
+    facts: DataFrame | None, counts: DataFrame | None, models: Sequence[Model], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, opt_delta: bool = True,
+    live: DataFrame | None = None, weight: float = de_ops.WEIGHT, block_size: int = block_ops.SIZE,
 ) -> list[Model]:
     """EM for all starts together; a start whose likelihood no longer moves keeps its parameters.
 
-    With ``live`` (seq_id, seq, d and, if wanted, ss) in place of ``facts`` the events' p is fitted as well: in every
+    ``facts`` may be those of ``site_facts``, or ``blocks.site_blocks``, which need no ``counts``: a round is then one pass
+    over the blocks from which every task sends a row a start.  With ``live`` (seq_id, seq, d and, if wanted, ss) in place of ``facts`` the events' p is fitted as well: in every
     round each start's events are weighed by its own p, and p and delta are then fitted to the sites of that round.
     """
-    whole = totals(counts)
+    blocks = facts is not None and "first" in facts.columns
+    several = blocks and facts.where("NOT whole").limit(1).count() > 0
+    whole = {} if blocks else totals(counts)
     going, done = list(models), []
-    codes = None if facts is None or {"ss", "de"} & set(facts.columns) else facts.select("code").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    codes = None if blocks or facts is None or {"ss", "de"} & set(facts.columns) else facts.select("code").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(rounds):
         if live is not None:
             facts = _rows(de_ops.with_logs_by_start(live, [m.p for m in going], weight), going[0].width)
-        if {"ss", "de"} & set(facts.columns):
+        if blocks:
+            found = block_ops.round_sums(facts, [term(m) for m in going], block_size, several)
+            rows = {r["start"]: r.asDict() for r in found.collect() if sum(r[f"fg_0_{b}"] for b in range(4)) > 0}
+            whole = {c: next(iter(rows.values()))[c] for c in ("n", *"ACGT", *[f"{b}_paired" for b in "ACGT" if "ss" in facts.columns])} if rows else {}
+        elif {"ss", "de"} & set(facts.columns):
             sites, occupied = e_step(facts, going), None if live is not None else sequence_occupancy(facts, going)
         else:
             sites, occupied = kmer_sums(facts, going, codes)
         if live is not None:
             sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
-        rows = {r["start"]: r.asDict() for r in expected_counts(sites, counts, going[0].width, occupied).collect()}
+        if not blocks:
+            rows = {r["start"]: r.asDict() for r in expected_counts(sites, counts, going[0].width, occupied).collect()}
         stepped = [m_step(m, rows[m.start], whole, opt_delta and live is None) if m.start in rows else None for m in going]
         if live is not None:
             stepped = _fit_events(sites, live, going, stepped, rows, opt_delta, weight)
@@ -359,7 +375,8 @@ def fit(
 
 def _fit_events(sites: DataFrame, live: DataFrame, models: Sequence[Model], stepped: list[Model | None], rows: dict, opt_delta: bool, weight: float) -> list[Model | None]:
     """The stepped models with p and delta fitted to the sites, and in ``rows`` the event term under them."""
-    own = sites.groupBy("seq_id", "at").agg(F.collect_list("pos").alias("pos"), F.collect_list("z").alias("z"))
+    parts = sites.groupBy("seq_id", "at", F.floor(F.col("pos") / block_ops.SIZE).alias("block"))  # sums over rows add up
+    own = parts.agg(F.collect_list("pos").alias("pos"), F.collect_list("z").alias("z"))
     own = own.join(live.select("seq_id", "d"), "seq_id").select("at", "d", "pos", "z").persist(StorageLevel.MEMORY_AND_DISK)
     found = de_ops.fit_geometry(own, [m.p for m in models], [list(de_ops.DELTAS) if opt_delta else [m.delta] for m in models])
     for r in de_ops.event_sums(own, [(at, delta, p) for at, (p, delta) in enumerate(found)], weight).collect():

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmotif.operators import checks, em, intervals, kmers, lineage, reads
+from clipmotif.operators import blocks as block_ops
 from clipmotif.operators import de as de_ops
 
 
@@ -30,14 +31,19 @@ class Motif:
 def discover_motifs(
     seqs: DataFrame, width: int = 6, motifs: int = 10, starts: int = 10, structure: DataFrame | None = None, counts: DataFrame | None = None,
     delta: int | None = None, fit_geometry: bool = False, weight: float = de_ops.WEIGHT, epsilon: float = 0.0, rounds: int = em.MAX_ROUNDS,
+    block_size: int = block_ops.SIZE,
 ) -> list[Motif]:
     """Motifs of ``seqs(seq_id, seq)``, the likeliest first; optionally with structure (seq_id, ss) and events (seq_id, counts).
 
     For each motif the most enriched k-mers of the masked sequences are fitted together; the one with the
     greatest likelihood on the unmasked sequences (first of equal ones) is the motif, and its occurrences are
     masked for the next.  Sequences shorter than the width are left out.  A given ``delta`` is held.  With
-    ``fit_geometry`` how events spread is fitted in every round.  Masked sequences and sites are checkpointed, so that
-    a lost executor costs one motif's work at most.
+    ``fit_geometry`` how events spread is fitted in every round.
+
+    Nothing is counted anew for a motif: the k-mers' counts lose those of windows that a masked site touches, base
+    counts lose the masked letters, and the histogram of lengths stays.  A round of all starts is one pass over the
+    blocks of the masked sequences.  Masked sequences, counts and sites are checkpointed, so that a lost executor costs
+    one motif's work at most.
     """
     checks.require_parameters(width, epsilon, delta)
     own = seqs.where(F.length("seq") >= width)
@@ -47,32 +53,41 @@ def discover_motifs(
         own = checks.require_shapes(own, counts.join(own.select("seq_id"), "seq_id", "left_semi"), "counts", "events")
         own = own.withColumn("d", de_ops.normalise(F.col("counts"), epsilon)).drop("counts")
     columns = ["seq_id", "seq", *[c for c in ("ss", "d") if c in own.columns]]
-    masked = lineage.cut(own.select(*columns).repartition("seq_id"))
-    original = em.totals(em.base_counts(masked))
-    found = []
     p = 0.5 if fit_geometry else de_ops.GEO_P
     live = fit_geometry and counts is not None
+    own = own.select(*columns).repartition("seq_id")
+    masked = lineage.cut(de_ops.with_logs(own, p, weight) if counts is not None and not live else own)
+    original = em.totals(em.base_counts(masked))
+    letters = masked.agg(F.sum(F.length("seq"))).first()[0] or 0
+    lengths = lineage.cut(kmers.lengths_of(masked))
+    counted = lineage.cut(kmers.observed(masked, width))
+    whole, found = original, []
     for number in range(motifs):
-        seeds = kmers.top_kmers(masked.select("seq_id", "seq"), width, starts).collect()
+        shares = {b: whole[b] / letters if letters else 0.0 for b in "ACGT"}
+        seeds = kmers.best(kmers.scored(counted, lengths, shares, width), starts).collect()
         if not seeds:
             break
         models = [em.seed_model(i, r["kmer"], int(original["n"]), r["observed"], structure is not None, p, delta or 0) for i, r in enumerate(seeds)]
-        dealt = masked.repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-        facts = None if live else em.site_facts(dealt, width, p, weight).sortWithinPartitions("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
-        counted = em.base_counts(dealt).persist(StorageLevel.MEMORY_AND_DISK)
-        fitted = em.fit(facts, counted, models, rounds, opt_delta=delta is None, live=dealt if live else None, weight=weight)
+        if live:
+            blocks, dealt = None, masked.repartition("seq_id").persist(StorageLevel.MEMORY_AND_DISK)
+            fitted = em.fit(None, em.base_counts(dealt), models, rounds, opt_delta=delta is None, live=dealt, weight=weight)
+        else:
+            blocks = dealt = block_ops.site_blocks(masked, width, block_size).persist(StorageLevel.MEMORY_AND_DISK)
+            fitted = em.fit(blocks, None, models, rounds, opt_delta=delta is None, block_size=block_size)
         # likelihoods on the unmasked sequences, by the sites of the last round; the first of equal ones counts
         scored = [(em.log_likelihood(m, m.sums, original), -m.start, m) for m in fitted if m.sums]
         if scored:
             ll, _, model = max(scored, key=lambda x: x[:2])
-            site_args = {"p": model.prior.p, "weight": weight} if counts is not None else {}
-            sites = lineage.cut(em.best_sites(dealt, model.prior, **site_args))
+            best = em.best_sites(dealt, model.prior, p=model.prior.p, weight=weight) if live else block_ops.best_sites(blocks, em.term(model.prior), block_size)
+            sites = lineage.cut(best)
             found.append(Motif(number, em.replace(model, ll=ll), sites))
             if number < motifs - 1:
-                masked = lineage.cut(em.mask_sites(masked, sites, width))
-        for own in (facts, counted, dealt):
-            if own is not None:
-                own.unpersist()
+                before, masked = masked, lineage.cut(em.mask_sites(masked, sites, width))
+                gone = kmers.lost(before, masked, sites.where(F.col("q") >= em.OCCURS), width)
+                left = F.col("observed") - F.coalesce("lost", F.lit(0))
+                counted = lineage.cut(counted.join(gone, "kmer", "left").select("kmer", left.alias("observed")).where("observed > 0"))
+                whole = em.totals(em.base_counts(masked))
+        dealt.unpersist()
         if not scored:
             break
     return sorted(found, key=lambda x: (-x.model.ll, x.number))

@@ -6,6 +6,8 @@ its number across files by one count per partition, so that no file has to be re
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,21 +27,41 @@ def text_lines(spark: SparkSession, path: str, separator: str | None = None) ->
     return reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias(SPLIT[0]), F.col("_metadata.file_block_start").alias(SPLIT[1]))
 
 
+MOST_SPLITS = 4_000_000  # whose offsets, two longs each, are broadcast; beyond, both sides are shuffled
+
+
+def running(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before, in the order of ``keys``.
+
+    Rows are dealt out by ranges of the keys; sums go over a range in Spark, and over the ranges, one a task, in the driver.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = cut(rows.repartitionByRange(tasks, *keys).withColumn("__range", F.spark_partition_id()))
+    sums = sorted((r["__range"], r["n"]) for r in own.groupBy("__range").agg(F.sum(value).alias("n")).collect())
+    base = dict(zip((k for k, _ in sums), accumulate((n for _, n in sums), initial=0), strict=False))
+    first = F.get(F.lit([base.get(k, 0) for k in range(max(base, default=0) + 1)]).cast("array<bigint>"), F.col("__range"))
+    here = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn(name, first + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("__range")
+
+
 def numbered(lines: DataFrame, name: str = "rank") -> DataFrame:
     """``lines`` with consecutive numbers from zero in input order: offsets of splits plus the place within.
 
     Spark deals splits to partitions by size, so with the columns SPLIT they are ordered by file name and place, without
-    them by partition.  The offsets are one narrow row for each split and are broadcast: 800 000 of them for 100 TB in
-    splits of 128 MB.  ``lines`` is evaluated twice and has to come alike both times, as scans and checkpoints do.
+    them by partition.  The offsets are two longs for each split, found by the hash of its file and place; up to
+    MOST_SPLITS of them are broadcast (100 TB in splits of 128 MB have 800 000).  ``lines`` is evaluated twice and has to
+    come alike both times, as scans and checkpoints do.
     """
     own = lines.withColumn("__id", F.monotonically_increasing_id())
     keys = [c for c in SPLIT if c in lines.columns] or ["__part"]
-    own = own.withColumn("__part", F.shiftright("__id", 33))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
-    offsets = offsets.select(*keys, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
-    own = own.join(F.broadcast(offsets), keys)
-    return own.withColumn(name, F.col("__start") + F.col("__id")).drop("__id", "__part", "__start", *SPLIT)
+    own = own.withColumn("__part", F.shiftright("__id", 33)).withColumn("__key", F.xxhash64(*keys))
+    splits = own.groupBy("__key", *keys).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    offsets = cut(running(splits, keys, "__n", "__start").select("__key", (F.col("__start") - F.col("__first")).alias("__start")))
+    n, different = offsets.agg(F.count("*"), F.count_distinct("__key")).first()
+    if n != different:
+        raise ValueError("two splits have one hash")
+    own = own.join(F.broadcast(offsets) if n <= MOST_SPLITS else offsets, "__key")
+    return own.withColumn(name, F.col("__start") + F.col("__id")).drop("__id", "__part", "__key", "__start", *SPLIT)
 
 
 def read_fasta(spark: SparkSession, path: str, padding: int = 0) -> DataFrame:
@@ -113,13 +135,13 @@ def read_chromosomes(spark: SparkSession, folder: str) -> DataFrame:
 def chromosome_lines(ranked: DataFrame) -> DataFrame:
     """Rows (chrom, line_no, seq) from lines (at, chrom, seq) whose numbers ``at`` count from each header on."""
     first = ranked.where(F.startswith(F.col("seq"), F.lit(">"))).groupBy("chrom").agg(F.min("at").alias("head"))
-    return ranked.join(F.broadcast(first), "chrom").where("at > head").select("chrom", (F.col("at") - F.col("head") - 1).alias("line_no"), "seq")
+    return ranked.join(first, "chrom").where("at > head").select("chrom", (F.col("at") - F.col("head") - 1).alias("line_no"), "seq")
 
 
 def short_lines(chromosomes: DataFrame) -> DataFrame:
     """Lines other than the last of their chromosome that do not have LINE bases: no row for a valid file."""
     last = chromosomes.groupBy("chrom").agg(F.max("line_no").alias("last"))
-    return chromosomes.join(F.broadcast(last), "chrom").where((F.length("seq") != LINE) & (F.col("line_no") < F.col("last"))).drop("last")
+    return chromosomes.join(last, "chrom").where((F.length("seq") != LINE) & (F.col("line_no") < F.col("last"))).drop("last")
 
 
 def extract_regions(regions: DataFrame, chromosomes: DataFrame, line: int = LINE, require: bool = True) -> DataFrame:

@@ -37,7 +37,7 @@ def test_overlap_join_in_bins_equals_the_plain_join(spark):
     r = random.Random(2)
     points = [(i, "c", s := r.randrange(5000), s + r.randrange(0, 40)) for i in range(300)]
     regions = [(i, "c", s := r.randrange(5000), s + r.randrange(0, 400)) for i in range(100)]
-    got = sorted((x.p, x.rank) for x in intervals.overlap_join(spark.createDataFrame(points, "p long, chrom string, st long, en long"), spark.createDataFrame(regions, "rank long, chrom string, rs long, re long"), 64).collect())
+    got = sorted((x.p, x.rank) for x in intervals.overlap_join(spark.createDataFrame(points, "p long, chrom string, st long, en long"), spark.createDataFrame(regions, "rank long, chrom string, rs long, re long")).collect())
     assert got == sorted((p, k) for p, _, s, e in points for k, _, a, b in regions if e > s and b > a and b > s and a < e)
 
 
