@@ -389,10 +389,12 @@ def _fit_events(sites: DataFrame, live: DataFrame, models: Sequence[Model], step
 
 def best_sites(seqs: DataFrame, model: Model, **terms: float) -> DataFrame:
     """Rows (seq_id, site, z, q): the first of the likeliest sites of each sequence, null without a window."""
-    facts = site_rows(seqs, model.width, **terms)
-    sites = e_step(facts, [model])
-    best = sites.groupBy("seq_id").agg(F.max(F.struct(F.col("z"), (-F.col("pos")).alias("back"))).alias("b"), F.max("q").alias("q"))
-    return seqs.select("seq_id").join(best.select("seq_id", (-F.col("b.back")).alias("site"), F.col("b.z").alias("z"), "q"), "seq_id", "left")
+    own, _, _ = _with_odds(site_rows(seqs, model.width, **terms), [model])
+    bound, gamma = F.lit(_terms(model)[3]), F.lit(float(model.gamma))
+    best = own.groupBy("seq_id").agg(F.max(F.struct(F.col("odds0").alias("odds"), (-F.col("pos")).alias("back"))).alias("b"), F.sum(F.exp(F.col("odds0") - bound)).alias("s"))
+    total = _chance(gamma, F.col("s"), bound)
+    z, q = gamma * F.exp(F.col("b.odds") - bound) / total, gamma * F.col("s") / total
+    return seqs.select("seq_id").join(best.select("seq_id", (-F.col("b.back")).alias("site"), z.alias("z"), q.alias("q")), "seq_id", "left")
 
 
 def mask_sites(seqs: DataFrame, best: DataFrame, width: int) -> DataFrame:
