@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clipmotif.llm import classifier, decontaminate, lines, queries, simhash
+from clipmotif.llm.common import shared_folder
 
 
 def corpus(r):
@@ -174,3 +176,18 @@ def test_a_broken_run_goes_on(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/between").collect())) == want
     assert seen == [n for n, _ in stages[:3]] + [n for n, _ in stages[2:]]
     assert sorted(x.name for x in (tmp_path / "between").iterdir()) == ["3-decontamination"]
+    # other inputs are not taken for the same
+    spark.createDataFrame(docs[: len(docs) // 2], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    seen.clear()
+    half = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/between").collect()))
+    assert seen == [n for n, _ in stages] and half != want
+
+
+def test_a_run_leaves_no_tables(spark, tmp_path):
+    docs, labels, bench = corpus(random.Random(9))
+    for name, rows, kind in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    folder = shared_folder(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("pipeline-")]
+    assert got.count()
