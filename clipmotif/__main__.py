@@ -68,29 +68,29 @@ def _motifs(spark: SparkSession, a: argparse.Namespace) -> None:
         q = m.sites.select(F.lit(rank).alias("motif_rank"), "seq_id", "q")
         records, indicators = (own, q) if records is None else (records.unionByName(own), indicators.unionByName(q))
     if records is not None:
-        writers.write_lines(records, a.output, ["rank", "part", "seq_id"])
+        writers.write_ordered(records, a.output, ["rank", "part", "seq_id"])
         if a.indicators:
-            writers.write_lines(writers.indicator_lines(indicators), a.indicators, ["motif_rank", "seq_id"])
+            writers.write_ordered(writers.indicator_lines(indicators), a.indicators, ["motif_rank", "seq_id"])
 
 
 def _structure(spark: SparkSession, a: argparse.Namespace) -> None:
     seqs = readers.load_sequences(spark, a.input, a.chromosomes, fold.PADDING)
-    writers.write_lines(writers.structure_lines(fold.structure_of(seqs.select("seq_id", "seq"))), a.output, ["seq_id"])
+    writers.write_ordered(writers.structure_lines(fold.structure_of(seqs.select("seq_id", "seq"))), a.output, ["seq_id"])
 
 
 def _events(spark: SparkSession, a: argparse.Namespace) -> None:
     found = programs.extract_events(readers.text_lines(spark, a.input), readers.read_bed(spark, a.regions), a.mapper, a.protocol)
-    writers.write_lines(writers.count_lines(found), a.output, ["rank"])
+    writers.write_ordered(writers.count_lines(found), a.output, ["rank"])
 
 
 def _simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     seqs = readers.read_fasta(spark, a.input).drop("len")
     plants = [simulate.Plant(simulate.draw_pwm(spark, a.width, a.information, a.seed + k), a.share, a.type, a.structured, a.events, a.noise, a.geometric, a.delta) for k in range(a.motifs)]
     made, counts, truth = simulate.simulate(seqs, plants, a.seed)
-    writers.write_lines(writers.fasta_lines(made), f"{a.output}.fa", ["seq_id"])
-    writers.write_lines(writers.count_lines(counts.withColumnRenamed("seq_id", "rank")), f"{a.output}_de.dat", ["rank"])
+    writers.write_ordered(writers.fasta_lines(made), f"{a.output}.fa", ["seq_id"])
+    writers.write_ordered(writers.count_lines(counts.withColumnRenamed("seq_id", "rank")), f"{a.output}_de.dat", ["rank"])
     for k, (own, plant) in enumerate(zip(truth, plants, strict=True)):
-        writers.write_lines(simulate.truth_lines(own, plant, f"MOTIF{k}"), f"{a.output}_{k}.mat", ["part", "seq_id"])
+        writers.write_ordered(simulate.truth_lines(own, plant, f"MOTIF{k}"), f"{a.output}_{k}.mat", ["part", "seq_id"])
 
 
 def main(args: list[str] | None = None) -> None:

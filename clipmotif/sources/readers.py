@@ -6,8 +6,12 @@ its number across files by one count per partition, so that no file has to be re
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +136,63 @@ def read_chromosomes(spark: SparkSession, folder: str) -> DataFrame:
     return chromosome_lines(numbered(own, "at"))
 
 
+BLOCK_LINES = 1 << 14  # lines of a chromosome file that are read together
+
+
+def _ranged(path: str) -> tuple[pafs.FileSystem, str] | None:
+    """The file system of a path, if ranges of its files can be read; else None."""
+    try:
+        return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def _block_lines(files: pafs.FileSystem, path: str, chrom: str, block: int, lines: int) -> list[tuple[str, int, str]]:
+    """Rows (chrom, line_no, seq) of one block of a chromosome file, of which only the header and these bytes are read."""
+    if files.get_file_info(path).type != pafs.FileType.File:
+        return []
+    with files.open_input_file(path) as f:
+        head = f.read(4096)
+        while b"\n" not in head and len(head) < f.size():
+            head += f.read(1 << 16)
+        if not head.startswith(b">"):
+            raise ValueError(f"{path} has no header")
+        begin = head.find(b"\n") + 1 or len(head)
+        step = LINE + (2 if head[:begin].endswith(b"\r\n") else 1)
+        f.seek(min(begin + block * lines * step, f.size()))
+        data = f.read(lines * step)
+        last = f.tell() >= f.size()
+    rows = [(chrom, block * lines + i, data[at : at + step].decode("ascii").strip()) for i, at in enumerate(range(0, len(data), step))]
+    while last and rows and not rows[-1][2]:
+        rows.pop()
+    if any("\n" in seq or "\r" in seq or len(seq) > LINE or (len(seq) < LINE and not (last and n == len(rows) - 1)) for n, (_, _, seq) in enumerate(rows)):
+        raise ValueError(f"{path} has lines of other than {LINE} bases")
+    return rows
+
+
+def chromosome_blocks(spark: SparkSession, folder: str, regions: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
+    """Rows (chrom, line_no, seq) of the blocks of ``<chrom>.fa`` that ``regions(chrom, rs, re)`` touch, and of no others.
+
+    A file has LINE bases in every line, so a block is a range of bytes.  Blocks are dealt out to tasks, which read these
+    bytes alone: what is read goes with the regions and not with the files.  Chromosomes without a file give no row.  The
+    folder has to be in a store that Arrow reads (``_ranged``); ``read_chromosomes`` reads whole files of any other.
+    """
+    where, width = folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder), LINE * lines
+    touched = F.explode(F.sequence(F.floor(F.greatest("rs", F.lit(0)) / width), F.floor((F.col("re") - 1) / width)))
+    wanted = regions.where("re > rs AND re > 0").select("chrom", touched.alias("block")).distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, place = _ranged(where)
+        for batch in batches:
+            for chrom, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = _block_lines(files, f"{place}/{chrom}.fa", chrom, block, lines)
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["chrom", "line_no", "seq"])
+
+    return wanted.repartition(tasks, "chrom", "block").mapInArrow(run, "chrom string, line_no long, seq string")
+
+
 def chromosome_lines(ranked: DataFrame) -> DataFrame:
     """Rows (chrom, line_no, seq) from lines (at, chrom, seq) whose numbers ``at`` count from each header on."""
     first = ranked.where(F.startswith(F.col("seq"), F.lit(">"))).groupBy("chrom").agg(F.min("at").alias("head"))
@@ -187,4 +248,9 @@ def load_sequences(spark: SparkSession, path: str, chrom_folder: str | None = No
         return read_fasta(spark, path, padding)
     if not chrom_folder:
         raise ValueError("regions need the folder of the chromosomes")
-    return region_sequences(read_bed(spark, path), read_chromosomes(spark, chrom_folder), padding)
+    regions = read_bed(spark, path)
+    if _ranged(chrom_folder):
+        own = chromosome_blocks(spark, chrom_folder, regions.withColumns({"rs": F.col("rs") - padding, "re": F.col("re") + padding}))
+    else:
+        own = read_chromosomes(spark, chrom_folder)
+    return region_sequences(regions, own, padding)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipmotif.sources.readers import running
+
 OCCURS = 0.8
 
 
@@ -73,3 +75,26 @@ def motif_record(sites: DataFrame, model, name: str, events: bool = False) -> Da
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     """Write the column ``line`` in the order given, as text files whose names sort in that order."""
     lines.orderBy(*order).select("line").write.text(path)
+
+
+def write_ordered(lines: DataFrame, path: str, order: list[str]) -> None:
+    """``write_lines``, and beside it in ``path``.parts the list of its files in order: name, bytes, lines, lines before it.
+
+    Files are dealt out by ranges of the order and committed by Spark's writer, so a task that fails leaves none; the list
+    is made of what was committed, and is there only if all of it was.  Joined in the listed order the files are the one
+    file that a single writer would have made.
+    """
+    write_lines(lines, path, order)
+    found = lines.sparkSession.read.text(path).groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("lines"))
+    listed = running(found, ["file"], "lines", "first")
+    write_lines(listed.select("file", F.concat_ws("\t", "file", F.col("bytes").cast("string"), F.col("lines").cast("string"), F.col("first").cast("string")).alias("line")), f"{path}.parts", ["file"])
+
+
+def listed_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, bytes, lines, first) of what ``write_ordered`` wrote, in order; raises where a listed file is not there as it was."""
+    t = F.split("value", "\t")
+    own = spark.read.text(f"{path}.parts").select(F.get(t, 0).alias("file"), *[F.get(t, i).cast("long").alias(c) for i, c in ((1, "bytes"), (2, "lines"), (3, "first"))])
+    there = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("is"))
+    lost = F.raise_error(F.concat(F.lit("not as it was written: "), F.col("file")))
+    own = own.join(there, "file", "left").withColumn("bytes", F.when(F.col("bytes").eqNullSafe(F.col("is")), F.col("bytes")).otherwise(lost))
+    return own.drop("is").orderBy("first")

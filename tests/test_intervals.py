@@ -85,3 +85,32 @@ def test_numbers_need_no_window_over_all(spark, tmp_path):
     assert "Window" not in plan or "SinglePartition" not in plan
     want = [f"{k}:{i}" for k in range(5) for i in range(50 + k)]
     assert [x["line"] for x in own.orderBy("rank").collect()] == want
+
+
+def plain_suppress(peaks, gap):
+    want, last = {}, {}
+    for c, s, k in sorted((c, s, k) for k, c, s in peaks):
+        if c not in last or s - last[c] > gap:
+            want[c, s] = k
+            last[c] = s
+    return want
+
+
+@pytest.mark.parametrize(("gap", "span", "step"), [(120, 4096, 100), (120, 300, 60), (50, 16, 7), (0, 64, 3), (3, 5, 2000)])
+def test_suppression_of_one_long_chain(spark, gap, span, step):
+    r = random.Random(gap + span)
+    at, peaks = -3000, []
+    for i in range(3000):
+        at += r.randrange(step)
+        peaks.append((i, r.choice("xxxy"), at))
+    found = intervals.suppress_neighbours(spark.createDataFrame(peaks, "rank long, chrom string, rs long").repartition(5), gap, span)
+    assert {(x["chrom"], x["rs"]): x["rank"] for x in found.collect()} == plain_suppress(peaks, gap)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_suppression_of_odd_tables(spark):
+    kinds = "rank long, chrom string, rs int"
+    assert intervals.suppress_neighbours(spark.createDataFrame([], kinds)).count() == 0
+    got = intervals.suppress_neighbours(spark.createDataFrame([(2, "x", 5), (1, "x", 5), (3, None, 5), (4, "x", None)], kinds))
+    assert got.dtypes == [("chrom", "string"), ("rs", "int"), ("rank", "bigint")] and [tuple(x) for x in got.collect()] == [("x", 5, 1)]
