@@ -44,6 +44,21 @@ def pclip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.events(novoalign_parse(spark, sf_dir), "pCLIP")
 
 
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the reads among lines of which some are comments, headers, tracks or blank."""
+    lines = read_lines(spark, sf_dir, "rmap")
+    return lines.where(reads.is_record(F.col("line"))).select(F.get(reads.tokens(F.col("line")), 3).alias("name"))
+
+
+def protocol_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the same reads by the rules of every protocol."""
+    found = None
+    for protocol in ("iCLIP", "hCLIP", "pCLIP"):
+        own = reads.events(novoalign_parse(spark, sf_dir), protocol).select(F.lit(protocol).alias("protocol"), "chrom", "st", "en", "name", "strand")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlap_join(events(spark, sf_dir), regions(spark, sf_dir)).select("event_id", "rank", "chrom", "st", "rs", "re")
 
@@ -160,7 +175,7 @@ def region_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        novoalign_parse, bowtie_parse, rmap_parse, read_edits, iclip_events, hclip_events, pclip_events, interval_join, interval_stab, event_pile_up, event_counts,
+        novoalign_parse, bowtie_parse, rmap_parse, read_edits, record_lines, protocol_events, iclip_events, hclip_events, pclip_events, interval_join, interval_stab, event_pile_up, event_counts,
         bucket_counts, extract_events, region_order, region_expand, peak_regions, peak_cutoff, peak_suppress, region_sequences, region_load, chromosome_check, stream_pile_up, bed_lines, region_widths,
     )
 }
@@ -229,3 +244,5 @@ SQL = {
     "bed_lines": f"WITH {REGIONS} SELECT rank, chrom, rs, re, 'sequence_' || (rank + 1)::VARCHAR AS name, 5.0::DOUBLE AS score, strand FROM rg",
     "region_widths": f"WITH {REGIONS} SELECT rank::VARCHAR AS name, (re - rs - 1)::INTEGER AS len, re - rs AS width FROM rg WHERE rank % 10 = 0",
 }
+SQL["record_lines"] = "SELECT 'r' || event_id::VARCHAR AS name FROM events"
+SQL["protocol_events"] = " UNION ALL ".join(f"SELECT '{p}' AS protocol, chrom, st, en, name, strand FROM ({SQL[p.lower() + '_events']})" for p in ("iCLIP", "hCLIP", "pCLIP"))

@@ -68,6 +68,13 @@ def shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.shape_faults(own, own.select("seq_id", structure(n - F.when((n > 0) & (n % 2 == 1), 1).otherwise(0)).alias("ss")), "ss")
 
 
+def matched_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences with their structure, after the check that raises where the two differ."""
+    own = seqs(spark, sf_dir)
+    found = checks.require_shapes(own, own.select("seq_id", structure(F.length("seq")).alias("ss")), "ss", "structure")
+    return found.select("seq_id", F.length("seq").alias("len"), F.size("ss").alias("size"))
+
+
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total and greatest share of the normalised event profile of every sequence."""
     own = seqs(spark, sf_dir).where(F.length("seq") > 0).select("seq_id", counts(F.length("seq")).alias("c"))
@@ -159,7 +166,7 @@ def geometric_variates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        base_composition, kmer_observed, kmer_enrichment, kmer_top, sequence_functions, base_codes, kmer_numbers, structure_text, shape_faults,
+        base_composition, kmer_observed, kmer_enrichment, kmer_top, sequence_functions, base_codes, kmer_numbers, structure_text, shape_faults, matched_shapes,
         event_profiles, event_text, fasta_text, fasta_load, random_bases, fold_structure, fold_brackets, fold_energy, length_histogram, pwm_information, log_sums, geometric_variates,
     )
 }
@@ -195,6 +202,7 @@ SQL = {
   f AS (SELECT seq_id, sum(length(x::VARCHAR) + 1)::INTEGER AS n, count(*)::INTEGER AS size, round(sum(x), 6) AS total FROM v GROUP BY seq_id)
   SELECT seq_id, coalesce(n, 0) AS n, coalesce(size, 0) AS size, coalesce(total, 0.0) AS total FROM (SELECT seq_id FROM seqs WHERE length(seq) >= 40) LEFT JOIN f USING (seq_id)""",
     "shape_faults": f"WITH {SEQS} SELECT seq_id, length(seq)::INTEGER AS len, (length(seq) - 1)::INTEGER AS size FROM seqs WHERE length(seq) % 2 = 1",
+    "matched_shapes": f"WITH {SEQS} SELECT seq_id, length(seq)::INTEGER AS len, length(seq)::INTEGER AS size FROM seqs",
     "event_profiles": f"""WITH {SEQS}, c AS (SELECT seq_id, ((seq_id * 31 + i * 17) % 5) AS c FROM (SELECT seq_id, seq, {_POS} FROM seqs)),
   m AS (SELECT seq_id, c, greatest((c + 1)::DOUBLE, 0.5 * max(c + 1) OVER (PARTITION BY seq_id)) AS x FROM c)
   SELECT seq_id, sum(c)::BIGINT AS events, round(max(x) / sum(x), 6) AS most, round(min(x) / sum(x), 6) AS least FROM m GROUP BY seq_id""",
