@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipmotif.operators.lineage import cut, shared_folder
+
+__all__ = ["col", "cut", "keep_rows", "shared_folder", "small", "small_batches", "table", "texts_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the synthetic tables, by a path that only Spark needs to understand."""
@@ -21,27 +23,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where it is unset a session with a local master, as in tests, gets a temporary one; on a cluster that raises, as
-    executors would not share it.
-    """
-    scala = spark.sparkContext._jsc.sc()
-    if not scala.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clipmotif-"))
-    return scala.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of an Arrow batch; null reads as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

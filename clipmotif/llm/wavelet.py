@@ -191,8 +191,7 @@ class Wavelet:
             ones, below = plane.view(bool), out
             out = np.empty_like(below)
             out[~ones] = below[: self.zeros[level]]
-            out[ones] = below[self.zeros[level] :]
-            out |= plane.astype(out.dtype) << out.dtype.type(self.width - 1 - level)
+            out[ones] = below[self.zeros[level] :] | out.dtype.type(1 << (self.width - 1 - level))
             for k in range(self.blocks):
                 self._kept.pop((level, k), None)
         return out.astype(np.uint32)

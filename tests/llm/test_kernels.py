@@ -380,3 +380,69 @@ def test_keys_are_told_from_names_and_from_one_another():
     found = sum(bool(models.spans("api/v1/" + "".join(r.choices(secrets.ALPHABET[:64], k=44)) + "=")) for _ in range(100))
     assert found >= 90
     assert models.parts("") == models.parts("a-b_c") == [] and models.best("") == (0, 0, 0.0)
+
+
+def plain_boost(x, y, bins, cells, rounds, rate, pairs, pair_rounds):
+    """The same model by sums over rows: every cut of every feature and pair is tried, nothing is kept in tables."""
+    n, share = len(y), (sum(y) + 0.5) / (len(y) + 1)
+    least = max(1e-3, 0.002 * n * share * (1 - share))
+    f = [math.log(share / (1 - share))] * n
+    quantiles = lambda k, parts: sorted({float(np.quantile([r[k] for r in x], q)) for q in np.linspace(0, 1, parts + 1)[1:-1]})
+    place = lambda cuts, v: sum(c < v for c in cuts)
+
+    def sums(rows):
+        p = [1 / (1 + math.exp(-f[i])) for i in rows]
+        return sum(y[i] - q for i, q in zip(rows, p, strict=True)), sum(q * (1 - q) for q in p)
+
+    def tree(rows, at, low, high, depth, out):
+        """Steps of the rows whose bins are low..high - 1."""
+        g, h = sums(rows)
+        best, cut = g * g / (h + 1) + 1e-12, None
+        for c in range(low, high - 1) if depth else ():
+            (gl, hl), (gr, hr) = sums([i for i in rows if at[i] <= c]), sums([i for i in rows if at[i] > c])
+            gain = gl * gl / (hl + 1) + gr * gr / (hr + 1)
+            if min(hl, hr) >= least and gain > best + 1e-15:
+                best, cut = gain, c
+        if cut is None:
+            out.update(dict.fromkeys(rows, g / (h + 1)))
+        else:
+            tree([i for i in rows if at[i] <= cut], at, low, cut + 1, depth - 1, out)
+            tree([i for i in rows if at[i] > cut], at, cut + 1, high, depth - 1, out)
+
+    for _ in range(rounds):
+        for k in range(len(x[0])):
+            cuts, out = quantiles(k, bins), {}
+            at = [place(cuts, r[k]) for r in x]
+            tree(list(range(n)), at, 0, len(cuts) + 1, 2, out)
+            f = [v + rate * out[i] for i, v in enumerate(f)]
+
+    near = [[place(quantiles(k, cells), r[k]) for r in x] for k in range(len(x[0]))]
+
+    def quadrants(a, b):
+        best, steps = -1.0, [0.0] * n
+        for c in range(len(quantiles(a, cells))):
+            for d in range(len(quantiles(b, cells))):
+                quarter = [(near[a][i] <= c, near[b][i] <= d) for i in range(n)]
+                found = {q: sums([i for i in range(n) if quarter[i] == q]) for q in ((True, True), (True, False), (False, True), (False, False))}
+                gain = sum(g * g / (h + 1) for g, h in found.values())
+                if min(h for _, h in found.values()) >= min(least, 1.0) and gain > best + 1e-15:
+                    best, steps = gain, [found[q][0] / (found[q][1] + 1) for q in quarter]
+        return best, steps
+
+    gains = sorted((-quadrants(a, b)[0], a, b) for a in range(len(x[0])) for b in range(a + 1, len(x[0])))
+    chosen = [(a, b) for g, a, b in gains[:pairs] if g < 0]
+    for _ in range(pair_rounds):
+        for a, b in chosen:
+            f = [v + rate * s for v, s in zip(f, quadrants(a, b)[1], strict=True)]
+    return chosen, [1 / (1 + math.exp(-v)) for v in f]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_boosting_equals_plain_sums(seed):
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(40, 3)), 2)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * r.normal(size=40)) > 0).astype(float)
+    chosen, want = plain_boost(x.tolist(), y.tolist(), 6, 4, 3, 0.3, 2, 2)
+    model = classifier.AdditiveModel.fit(x, y, 6, 4, 3, 0.3, 2, 2)
+    assert model.pairs == chosen
+    assert np.allclose(model.score(x), want, atol=1e-9)
