@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipmotif.catalog.adapters import SEQS, counts, rounded, seqs, structure, windows_sql
-from clipmotif.operators import blocks, de, em, simulate
+from clipmotif.catalog.sequences import SQL as SEQUENCES_SQL
+from clipmotif.operators import blocks, de, em, kmers, simulate
 from clipmotif.plans import programs
 from clipmotif.sources import writers
 
@@ -31,8 +32,13 @@ def _seqs(spark: SparkSession, sf_dir: str, ss: bool = False, d: bool = False) -
 
 
 def pwm_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model from which a k-mer starts; its prior in row 0."""
-    rows = [(k + 1, b, float(p)) for k, row in enumerate(MODEL.matrix) for b, p in zip("ACGT", row, strict=True)] + [(0, "", float(MODEL.gamma))]
+    """The model from which the most enriched k-mer starts; its prior in row 0."""
+    own = seqs(spark, sf_dir)
+    top = kmers.top_kmers(own, WIDTH, 1).first()
+    rows = []
+    if top:
+        model = em.seed_model(0, top["kmer"], own.count(), top["observed"])
+        rows = [(k + 1, b, float(p)) for k, row in enumerate(model.matrix) for b, p in zip("ACGT", row, strict=True)] + [(0, "", float(model.gamma))]
     return rounded(spark.createDataFrame(rows, "k int, base string, p double"), "p")
 
 
@@ -332,7 +338,10 @@ def _events_at(rest: float, weight: float, c: str) -> str:
 
 
 SQL = {
-    "pwm_seed": f"SELECT k::INTEGER AS k, base, round(({em.PSEUDO} + CASE WHEN substr('{MODEL.kmer}', k::INTEGER, 1) = base THEN 1 ELSE 0 END) / (1 + 4 * {em.PSEUDO}), 6) AS p FROM range(1, {WIDTH + 1}) t(k), unnest(['A', 'C', 'G', 'T']) u(base) UNION ALL SELECT 0, '', round((1000 - 0.75 * (1000 - 500)) / 1000, 6)",
+    "pwm_seed": f"""WITH top AS (FROM ({SEQUENCES_SQL["kmer_top"].replace("LIMIT 10", "LIMIT 1")})), n AS (SELECT count(*) AS n FROM documents)
+  SELECT k::INTEGER AS k, base, round(({em.PSEUDO} + CASE WHEN substr(kmer, k::INTEGER, 1) = base THEN 1 ELSE 0 END) / (1 + 4 * {em.PSEUDO}), 6) AS p
+  FROM top, range(1, {WIDTH + 1}) t(k), unnest(['A', 'C', 'G', 'T']) u(base)
+  UNION ALL SELECT 0, '', round((n - {em.EXPANSION} * (n - observed)) / n, 6) FROM top, n""",
     "estep_events": f"WITH {_sites(MODEL_DE, events=True)} SELECT seq_id, round(max(q), 6) AS q FROM site GROUP BY seq_id",
     "event_delta": f"""WITH {_sites(MODEL_DE, events=True)}, dl AS (SELECT unnest(range(-8, 9)) AS delta),
   term AS (SELECT delta, z, len, pos + delta AS c, seq_id FROM site JOIN (SELECT seq_id, length(seq) AS len FROM seqs) USING (seq_id), dl)

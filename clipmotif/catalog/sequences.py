@@ -47,9 +47,10 @@ def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 4-mers with their numbers, there and back."""
-    own = spark.range(256).select(F.col("id").alias("number"), seq.i2mer(4, F.col("id")).alias("kmer"))
-    return own.withColumn("back", seq.mer2i(F.col("kmer"), 4))
+    """The first 4-mer of every sequence with its number, there and back."""
+    own = seqs(spark, sf_dir).where(F.length("seq") >= 4).select("seq_id", F.substring("seq", 1, 4).alias("kmer"))
+    own = own.withColumn("number", seq.mer2i(F.col("kmer"), 4))
+    return own.withColumn("back", seq.i2mer(4, F.col("number")))
 
 
 def structure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +197,8 @@ SQL = {
   md5(substr(seq, 1, seq_id % (length(seq) - 5)) || 'NNNNNN' || substr(seq, seq_id % (length(seq) - 5) + 7)) AS masked,
   (instr('ACGT', substr(seq, 1, 1)) - 1)::INTEGER AS first_code, substr(seq, 1, 1) = 'A' AS starts_with_a FROM seqs WHERE length(seq) >= 10""",
     "base_codes": f"WITH {SEQS} SELECT (instr('ACGT', c) - 1)::INTEGER AS code, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS c FROM seqs) WHERE c <> '' GROUP BY 1",
-    "kmer_numbers": """SELECT i AS number, array_to_string([substr('ACGT', (i // 64) % 4 + 1, 1), substr('ACGT', (i // 16) % 4 + 1, 1), substr('ACGT', (i // 4) % 4 + 1, 1), substr('ACGT', i % 4 + 1, 1)], '') AS kmer,
-  i AS back FROM range(256) t(i)""",
+    "kmer_numbers": f"""WITH {SEQS} SELECT seq_id, substr(seq, 1, 4) AS kmer, ({" + ".join(f"(instr('ACGT', substr(seq, {i + 1}, 1)) - 1) * {4 ** (3 - i)}" for i in range(4))})::BIGINT AS number,
+  substr(seq, 1, 4) AS back FROM seqs WHERE length(seq) >= 4""",
     "structure_text": f"""WITH {SEQS}, v AS (SELECT seq_id, i, ({_SS})::DOUBLE AS x FROM (SELECT seq_id, seq, {_POS} FROM seqs WHERE length(seq) >= 40) WHERE i >= 20 AND i < length(seq) - 20),
   f AS (SELECT seq_id, sum(length(x::VARCHAR) + 1)::INTEGER AS n, count(*)::INTEGER AS size, round(sum(x), 6) AS total FROM v GROUP BY seq_id)
   SELECT seq_id, coalesce(n, 0) AS n, coalesce(size, 0) AS size, coalesce(total, 0.0) AS total FROM (SELECT seq_id FROM seqs WHERE length(seq) >= 40) LEFT JOIN f USING (seq_id)""",
