@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +140,8 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary files are
+
     return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
