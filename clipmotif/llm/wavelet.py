@@ -26,8 +26,8 @@ MAGIC = b"WVMX0001"
 BLOCK_BYTES = 4096  # of a plane that are compressed together
 SHARD_TOKENS = 1 << 22  # a shard ends with the document that reaches this
 END_ID = 2
-CACHE = 800_000  # words whose ids a worker keeps in a generation, of two
-PIECE_BYTES = 16_000_000  # texts of about so many bytes are encoded at a time
+CACHE = 400_000  # words whose ids a worker keeps in a generation, of two
+PIECE_BYTES = 8_000_000  # texts of about so many bytes are encoded at a time
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: ASCII marks around a word; none of them begins a contraction
 MARKS = string.punctuation.replace("'", "").encode()
@@ -223,6 +223,11 @@ class Known(dict):
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
 
     def __missing__(self, word: bytes) -> bytes:
+        bare = word.rstrip(MARKS)
+        if bare.isalpha():  # ASCII letters; only their lower-case form is kept
+            low = bare.lower()
+            if low != word:
+                return self[low] + (self[word[len(bare) :]] if len(bare) < len(word) else b"")
         if len(self) >= CACHE:  # words that are not asked for again are forgotten with the next generation
             self.old = dict(self)
             self.clear()
@@ -233,12 +238,6 @@ class Known(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
-        bare = word.rstrip(MARKS)
-        if bare.isalpha():  # ASCII letters
-            low = bare.lower()
-            if low != word:
-                return self[low] + (self[word[len(bare) :]] if len(bare) < len(word) else b"")
-            return array(self.kind, [t.id for t in self.model.tokenize(low.decode())]).tobytes()
         bare = word.strip(MARKS)
         if WORD.fullmatch(bare):
             bare = bare.lower()
