@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clipmotif.functions.prob import filled, geometric, let, uniform
 from clipmotif.functions.seq import reverse_complement
+from clipmotif.operators import lineage
 
 #: fixed values: background of A, C, G, T; stem, loop and where in the stem a motif begins
 BACKGROUND = (0.3, 0.2, 0.2, 0.3)
@@ -143,10 +144,14 @@ def place_events(seqs: DataFrame, plant: Plant, seed: int) -> DataFrame:
 
 
 def simulate(seqs: DataFrame, plants: list[Plant], seed: int = 1) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Sequences with all motifs planted one after the other, (seq_id, counts) of all events, and each motif's sites."""
+    """Sequences with all motifs planted one after the other, (seq_id, counts) of all events, and each motif's sites.
+
+    What a motif makes of the sequences is checkpointed: a filter on it would else be pushed down to where every draw
+    stands in it many times over, the more so with each motif.
+    """
     events, truth = None, []
     for k, plant in enumerate(plants):
-        placed = place(seqs, plant, seed + k)
+        placed = lineage.cut(place(seqs, plant, seed + k))
         found = place_events(placed, plant, seed + k)
         events = found if events is None else events.unionByName(found)
         truth.append(placed.select("seq_id", "name", "seq", "site", "structured"))
@@ -158,13 +163,13 @@ def simulate(seqs: DataFrame, plants: list[Plant], seed: int = 1) -> tuple[DataF
 
 def truth_lines(truth: DataFrame, plant: Plant, name: str) -> DataFrame:
     """Rows (part, seq_id, line): the planted motif as a tagged record with a BS line for every occurrence."""
-    n = truth.where("site IS NOT NULL").count()
     w = len(plant.matrix)
+    place_of = F.concat_ws("; ", F.substring("seq", F.col("site") + 1, F.lit(w)), "name", F.col("site").cast("string"), F.lit(str(w)))
+    lines = lineage.cut(truth.where("site IS NOT NULL").select(F.lit(1).alias("part"), "seq_id", F.concat(F.lit("BS\t"), place_of, F.lit(";  ;+")).alias("line")))
+    n = lines.count()
     head = [f"AC\t{name}", "XX", "TY\tMotif", "XX", "P0\tA\tC\tG\tT", *("\t".join([f"{k + 1:02d}", *(str(int(n * x)) for x in row)]) for k, row in enumerate(plant.matrix)), "XX"]
     head += [f"AT\tGEO_P={plant.p:g}", f"AT\tGEO_delta={plant.delta}", "XX"]
     ends = [(0, i, x) for i, x in enumerate(head)] + [(2, 0, "XX"), (2, 1, "//")]
-    place_of = F.concat_ws("; ", F.substring("seq", F.col("site") + 1, F.lit(w)), "name", F.col("site").cast("string"), F.lit(str(w)))
-    lines = truth.where("site IS NOT NULL").select(F.lit(1).alias("part"), "seq_id", F.concat(F.lit("BS\t"), place_of, F.lit(";  ;+")).alias("line"))
     return truth.sparkSession.createDataFrame(ends, "part int, seq_id long, line string").unionByName(lines)
 
 
