@@ -333,7 +333,10 @@ def fit(
     round each start's events are weighed by its own p, and p and delta are then fitted to the sites of that round.
     """
     blocks = facts is not None and "first" in facts.columns
-    several = blocks and facts.where("NOT whole").limit(1).count() > 0
+    several = blocks and block_ops.has_long(facts)
+    coded = None
+    if blocks and not {"ss", "d"} & set(facts.columns) and models[0].width <= block_ops.CODED:
+        coded = block_ops.coded(facts, models[0].width).persist(StorageLevel.MEMORY_AND_DISK)
     whole = {} if blocks else totals(counts)
     going, done = list(models), []
     codes = None if blocks or facts is None or {"ss", "de"} & set(facts.columns) else facts.select("code").distinct().persist(StorageLevel.MEMORY_AND_DISK)
@@ -341,7 +344,11 @@ def fit(
         if live is not None:
             facts = _rows(de_ops.with_logs_by_start(live, [m.p for m in going], weight), going[0].width)
         if blocks:
-            found = block_ops.round_sums(facts, [term(m) for m in going], block_size, several)
+            terms = [term(m) for m in going]
+            if coded is not None and block_ops.spread(terms) < block_ops.SPREAD:
+                found = block_ops.coded_sums(coded, facts.where("NOT whole") if several else None, terms, block_size)
+            else:
+                found = block_ops.round_sums(facts, terms, block_size, several)
             rows = {r["start"]: r.asDict() for r in found.collect() if sum(r[f"fg_0_{b}"] for b in range(4)) > 0}
             whole = {c: next(iter(rows.values()))[c] for c in ("n", *"ACGT", *[f"{b}_paired" for b in "ACGT" if "ss" in facts.columns])} if rows else {}
         elif {"ss", "de"} & set(facts.columns):
@@ -368,8 +375,9 @@ def fit(
         going = nxt
         if not going:
             break
-    if codes is not None:
-        codes.unpersist()
+    for kept in (codes, coded):
+        if kept is not None:
+            kept.unpersist()
     return sorted(done + going, key=lambda m: m.start)
 
 
