@@ -19,6 +19,7 @@ DELTAS = range(-8, 9)
 P_BOUNDS = (0.01, 0.99)
 NEWTON_STEPS = 10
 NEWTON_TOLERANCE = 1e-3
+VALUES = 1 << 18  # of profiles that a task turns into logs at once
 
 
 def normalise(counts: Column, epsilon: float = 0.0) -> Column:
@@ -55,14 +56,39 @@ def _logs(d: Sequence[float], p: float, weight: float) -> np.ndarray:
     return weight * np.log(p) + np.log(np.maximum(smoothed(np.asarray(d, float), (1 - p) ** weight), 1e-300))
 
 
+def _profiles(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """A batch's profiles, as parts of its values; null for null."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False):
+        yield values[a:b] if there else None
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about VALUES values of a list column, so that what is made of a part stays small."""
+    ends = batch.column(column).offsets.to_numpy().astype(np.int64)
+    group = (ends[1:] - ends[0]) // VALUES
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _listed(column: pa.ListArray, p: float, weight: float) -> pa.ListArray:
+    """The profiles' logs."""
+    none = np.zeros(0)
+    logs = [none if d is None or not len(d) else _logs(d, p, weight) for d in _profiles(column)]
+    ends = np.cumsum([0, *map(len, logs)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *logs])), mask=column.is_null())
+
+
 def with_logs(frame: DataFrame, p: float = GEO_P, weight: float = WEIGHT) -> DataFrame:
     """``frame`` with its profiles ``d`` replaced by arrays of ln P for c = -8 … len + 7, c being site plus delta."""
     at = frame.columns.index("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logs = pa.array([None if d is None else _logs(d, p, weight) if d else [] for d in batch.column(at).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([logs if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            for own in _parts(batch, at):
+                yield pa.RecordBatch.from_arrays([_listed(c, p, weight) if i == at else c for i, c in enumerate(own.columns)], names=batch.schema.names)
 
     return frame.mapInArrow(run, frame.schema)
 
@@ -104,17 +130,17 @@ def best_delta(sites: DataFrame) -> int:
     return delta_likelihood(sites).orderBy(F.desc("ll"), "delta").first()["delta"]
 
 
-def event_sums(sites: DataFrame, asked: Sequence[tuple[int, int, float]], weight: float = 1.0) -> DataFrame:
+def event_sums(sites: DataFrame, asked: Sequence[tuple[int, int, float]], weight: float = 1.0, slopes: bool = True) -> DataFrame:
     """Rows (at, delta, v, g, h) for every (at, delta, p) of ``asked``: over the rows (at, d, pos, z) of ``sites``, a
     profile and the weights z of the sites pos, sums of z times ln P, and its slope and curvature by p (of weight one).
 
-    The rows of all starts go by in one job, and each sends its sums alone.
+    The rows of all starts go by in one job, and each sends its sums alone.  Without ``slopes`` g and h are zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(asked), 3))
-        for batch in batches:
-            for start, d, pos, z in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for batch in (part for whole in batches for part in _parts(whole, 1)):
+            for start, d, pos, z in zip(batch.column(0).to_pylist(), *(_profiles(batch.column(k)) for k in (1, 2, 3)), strict=True):
                 own, weights = np.asarray(d, float), np.zeros(len(d) + 16)
                 np.add.at(weights, np.asarray(pos, np.int64) + 8, np.asarray(z, float))
                 done: dict[float, tuple] = {}
@@ -123,8 +149,8 @@ def event_sums(sites: DataFrame, asked: Sequence[tuple[int, int, float]], weight
                         continue
                     if p not in done:
                         b = np.maximum(smoothed(own, (1 - p) ** weight), 1e-300)
-                        slopes = (1 / p - (c := smoothed(own, 1 - p, 1)) / b, -1 / p**2 + smoothed(own, 1 - p, 2) / b - (c / b) ** 2) if weight == 1 else (np.zeros_like(b),) * 2
-                        done[p] = (weight * np.log(p) + np.log(b), *slopes)
+                        more = (1 / p - (c := smoothed(own, 1 - p, 1)) / b, -1 / p**2 + smoothed(own, 1 - p, 2) / b - (c / b) ** 2) if slopes and weight == 1 else ()
+                        done[p] = (weight * np.log(p) + np.log(b), *more)
                     # z of a site is met by what stands delta further on
                     w = weights[max(0, -delta) : len(weights) - max(0, delta)]
                     for k, x in enumerate(done[p]):
