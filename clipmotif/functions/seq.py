@@ -12,7 +12,7 @@ BASES = "ACGT"
 
 def normalise(text: Column) -> Column:
     """The nucleotides of a text: only A, C, G, T, U in either case, in upper case and with T for U."""
-    return F.replace(F.upper(F.regexp_replace(text, "[^ACGTUacgtu]", "")), F.lit("U"), F.lit("T"))
+    return F.replace(F.upper(F.regexp_replace(text, "[^ACGTUacgtu]+", "")), F.lit("U"), F.lit("T"))
 
 
 def base2int(base: Column) -> Column:
