@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,29 +41,44 @@ def pwm_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "k int, base string, p double"), "p")
 
 
+def _blocks(own: DataFrame) -> tuple[DataFrame, bool]:
+    """The blocks of sequences, and whether some sequence has several."""
+    long = own.where(F.length("seq") > blocks.SIZE + WIDTH - 1).limit(1).count() > 0
+    return blocks.site_blocks(de.with_logs(own) if "d" in own.columns else own, WIDTH), long
+
+
+def _occupancy(own: DataFrame, *models: em.Model) -> DataFrame:
+    found, several = _blocks(own)
+    return blocks.occupancy(found, [em.term(m) for m in models], several=several)
+
+
 def estep_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(em.sequence_occupancy(em.site_facts(_seqs(spark, sf_dir), WIDTH), [MODEL]).select("seq_id", "q"), "q")
+    return rounded(_occupancy(_seqs(spark, sf_dir), MODEL).select("seq_id", "q"), "q")
 
 
 def estep_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites of probability 0.05 or more."""
-    sites = em.e_step(em.site_rows(_seqs(spark, sf_dir), WIDTH), [MODEL])
-    return rounded(sites.where("z >= 0.05").select("seq_id", "pos", "z"), "z")
+    found, several = _blocks(_seqs(spark, sf_dir))
+    return rounded(blocks.sites(found, em.term(MODEL), 0.05, several=several), "z")
 
 
 def estep_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(em.sequence_occupancy(em.site_facts(_seqs(spark, sf_dir, ss=True), WIDTH), [MODEL_STR]).select("seq_id", "q"), "q")
+    return rounded(_occupancy(_seqs(spark, sf_dir, ss=True), MODEL_STR).select("seq_id", "q"), "q")
 
 
 def estep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(em.sequence_occupancy(em.site_facts(_seqs(spark, sf_dir, d=True), WIDTH), [MODEL_DE]).select("seq_id", "q"), "q")
+    return rounded(_occupancy(_seqs(spark, sf_dir, d=True), MODEL_DE).select("seq_id", "q"), "q")
+
+
+def _sums(own: DataFrame, model: em.Model) -> dict:
+    """All sums of one round, by one pass over the blocks."""
+    found, several = _blocks(own)
+    return blocks.round_sums(found, [em.term(model)], several=several).first().asDict()
 
 
 def _stepped(own: DataFrame, model: em.Model) -> tuple[em.Model, dict, dict]:
-    counted = em.base_counts(own)
-    row = em.expected_counts(em.e_step(em.site_facts(own, WIDTH), [model]), counted, WIDTH).first().asDict()
-    whole = em.totals(counted)
-    return em.m_step(model, row, whole), row, whole
+    row = _sums(own, model)
+    return em.m_step(model, row, row), row, row
 
 
 def _parameters(spark: SparkSession, model: em.Model, ll: float) -> DataFrame:
@@ -94,18 +108,14 @@ def oops_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model after the whole fit."""
     own = _seqs(spark, sf_dir)
-    sites = blocks.site_blocks(own, WIDTH).persist(StorageLevel.MEMORY_AND_DISK)
-    (new,) = em.fit(sites, None, [MODEL])
-    sites.unpersist()
-    return _parameters(spark, new, new.ll / own.count())
+    (new,) = em.fit(blocks.site_blocks(own, WIDTH), None, [MODEL])
+    return _parameters(spark, new, new.ll / new.sums["n"])
 
 
 def event_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood of every delta under the model's sites, per sequence."""
-    own = _seqs(spark, sf_dir, d=True)
-    sites = em.e_step(em.site_facts(own, WIDTH), [MODEL_DE])
-    n = own.count()
-    return rounded(de.delta_likelihood(sites).withColumn("ll", F.col("ll") / n), "ll")
+    row = _sums(_seqs(spark, sf_dir, d=True), MODEL_DE)
+    return rounded(spark.createDataFrame([(d, row[f"de_{d + 8}"] / row["n"]) for d in de.DELTAS], "delta int, ll double"), "ll")
 
 
 def event_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +133,7 @@ def event_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("seq") - (WIDTH - 1)
     sites = own.select(F.lit(0).alias("at"), "d", F.sequence(F.lit(0), n - 1).alias("pos"), F.array_repeat(1 / n, n).alias("z"))
     count = own.count()
-    return rounded(de.event_sums(sites, [(0, d, 0.3) for d in (-8, -3, 0, 4, 8)]).select("delta", (F.col("v") / count).alias("ll")), "ll")
+    return rounded(de.event_sums(sites, [(0, d, 0.3) for d in (-8, -3, 0, 4, 8)], slopes=False).select("delta", (F.col("v") / count).alias("ll")), "ll")
 
 
 def event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +143,14 @@ def event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.groupBy("seq_id").agg(*sums), "least", "middle", "greatest")
 
 
+def _best(own: DataFrame) -> DataFrame:
+    found, several = _blocks(own)
+    return blocks.best_sites(found, em.term(MODEL), several=several, digits=None)
+
+
 def _sited(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _seqs(spark, sf_dir)
-    return own.join(em.best_sites(own, MODEL), "seq_id").withColumn("name", F.concat(F.lit("sequence_"), F.col("seq_id").cast("string")))
+    return own.join(_best(own), "seq_id").withColumn("name", F.concat(F.lit("sequence_"), F.col("seq_id").cast("string")))
 
 
 def best_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +173,7 @@ def motif_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indicator_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every sequence to have each of two motifs, written as lines and read again."""
-    facts = em.site_facts(_seqs(spark, sf_dir), WIDTH)
-    found = em.sequence_occupancy(facts, [MODEL, em.replace(MODEL_OTHER, start=1)]).withColumnRenamed("start", "motif_rank")
+    found = _occupancy(_seqs(spark, sf_dir), MODEL, em.replace(MODEL_OTHER, start=1)).withColumnRenamed("start", "motif_rank")
     lines = writers.indicator_lines(found)
     return rounded(lines.select("motif_rank", "seq_id", F.col("line").cast("double").alias("q")), "q")
 
@@ -174,7 +188,7 @@ def mean_pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _seqs(spark, sf_dir)
-    masked = em.mask_sites(own, em.best_sites(own, MODEL), WIDTH)
+    masked = em.mask_sites(own, _best(own), WIDTH)
     return masked.select("seq_id", F.md5(F.col("seq").cast("binary")).alias("seq"))
 
 
