@@ -16,7 +16,7 @@ from clipmotif.operators import de as de_ops
 def extract_events(lines: DataFrame, regions: DataFrame, mapper: str = "rmap", protocol: str = "iCLIP") -> DataFrame:
     """Rows (rank, counts): cross-link events of mapped reads by region and position, regions without events included."""
     found = reads.events(reads.parse_reads(lines, mapper), protocol, mapper)
-    return intervals.dense(intervals.pile_up(found, regions, mirror=protocol != "iCLIP"), regions)
+    return intervals.dense_pile_up(found, regions, mirror=protocol != "iCLIP")
 
 
 @dataclass
