@@ -194,7 +194,7 @@ def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def discover_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The motifs of the texts' nucleotides, by the program's own numbers of motifs, starts and rounds."""
-    found = programs.discover_motifs(_seqs(spark, sf_dir), WIDTH)
+    found = programs.discover_motifs(seqs(spark, sf_dir), WIDTH)
     rows = [(r, m.number, m.model.kmer, k + 1, *map(float, p), float(m.model.gamma)) for r, m in enumerate(found) for k, p in enumerate(m.model.matrix)]
     return rounded(spark.createDataFrame(rows, "motif_rank int, motif int, kmer string, k int, a double, c double, g double, t double, gamma double"), "a", "c", "g", "t", "gamma")
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipmotif.functions.seq import i2mer, mer2i
+from clipmotif.functions.seq import kmers as kmers_of
 from clipmotif.operators import checks, em, intervals, kmers, lineage, reads
 from clipmotif.operators import blocks as block_ops
 from clipmotif.operators import de as de_ops
@@ -28,6 +30,25 @@ class Motif:
     sites: DataFrame
 
 
+def _observed(seqs: DataFrame, width: int, block_size: int, is_long: Column | None) -> DataFrame:
+    """``kmers.observed`` by blocks; sequences that have several, if any, are told by ``is_long``."""
+    found = block_ops.observed(block_ops.site_blocks(seqs, width, block_size), width)
+    found = found.select(i2mer(width, F.col("number")).alias("kmer"), "observed")
+    if is_long is None:
+        return found
+    return found.unionByName(kmers.observed(seqs.where(is_long), width)).groupBy("kmer").agg(F.sum("observed").alias("observed"))
+
+
+def _masked_long(seqs: DataFrame, blocks: DataFrame, model: em.Model, block_size: int) -> DataFrame:
+    """``blocks.masked`` of sequences of several blocks."""
+    best = block_ops.best_sites(blocks.where("NOT whole"), em.term(model), block_size)
+    own = seqs.withColumn("was", F.col("seq"))
+    own = em.mask_sites(own, best, model.width).join(best, "seq_id", "left")
+    names = lambda c: F.array_distinct(F.transform(kmers_of(F.col(c), model.width), lambda w: w["kmer"]))
+    gone = F.filter(F.array_except(names("was"), names("seq")), lambda w: ~w.rlike("[^ACGT]"))
+    return own.select("seq_id", "seq", "site", "z", "q", F.transform(gone, lambda w: mer2i(w, model.width).cast("int")).alias("lost"))
+
+
 def discover_motifs(
     seqs: DataFrame, width: int = 6, motifs: int = 10, starts: int = 10, structure: DataFrame | None = None, counts: DataFrame | None = None,
     delta: int | None = None, fit_geometry: bool = False, weight: float = de_ops.WEIGHT, epsilon: float = 0.0, rounds: int = em.MAX_ROUNDS,
@@ -55,12 +76,18 @@ def discover_motifs(
     columns = ["seq_id", "seq", *[c for c in ("ss", "d") if c in own.columns]]
     p = 0.5 if fit_geometry else de_ops.GEO_P
     live = fit_geometry and counts is not None
+    tabled = len(columns) == 2 and width <= block_ops.CODED
     own = own.select(*columns).repartition("seq_id")
-    masked = lineage.cut(de_ops.with_logs(own, p, weight) if counts is not None and not live else own)
+    if len(columns) == 2:  # filters go down to where sequences are made, which would be made twice then
+        masked = lineage.cut(seqs.select(*columns).repartition("seq_id")).where(F.length("seq") >= width)
+    else:
+        masked = lineage.cut(de_ops.with_logs(own, p, weight) if counts is not None and not live else own)
     original = em.totals(em.base_counts(masked))
     letters = masked.agg(F.sum(F.length("seq"))).first()[0] or 0
     lengths = lineage.cut(kmers.lengths_of(masked))
-    counted = lineage.cut(kmers.observed(masked, width))
+    is_long = F.length("seq") > block_size + width - 1
+    several = tabled and masked.where(is_long).limit(1).count() > 0
+    counted = lineage.cut(_observed(masked, width, block_size, is_long if several else None) if tabled else kmers.observed(masked, width))
     whole, found = original, []
     for number in range(motifs):
         shares = {b: whole[b] / letters if letters else 0.0 for b in "ACGT"}
@@ -78,12 +105,24 @@ def discover_motifs(
         scored = [(em.log_likelihood(m, m.sums, original), -m.start, m) for m in fitted if m.sums]
         if scored:
             ll, _, model = max(scored, key=lambda x: x[:2])
-            best = em.best_sites(dealt, model.prior, p=model.prior.p, weight=weight) if live else block_ops.best_sites(blocks, em.term(model.prior), block_size)
-            sites = lineage.cut(best)
+            if tabled:
+                rows = block_ops.masked(blocks, em.term(model.prior), em.OCCURS)
+                if several:
+                    rows = rows.unionByName(_masked_long(masked.where(is_long), blocks, model.prior, block_size))
+                rows = lineage.cut(rows)
+                sites = rows.select("seq_id", "site", "z", "q")
+            else:
+                best = em.best_sites(dealt, model.prior, p=model.prior.p, weight=weight) if live else block_ops.best_sites(blocks, em.term(model.prior), block_size)
+                sites = lineage.cut(best)
             found.append(Motif(number, em.replace(model, ll=ll), sites))
             if number < motifs - 1:
-                before, masked = masked, lineage.cut(em.mask_sites(masked, sites, width))
-                gone = kmers.lost(before, masked, sites.where(F.col("q") >= em.OCCURS), width)
+                if tabled:
+                    masked = rows.select("seq_id", "seq")
+                    gone = rows.select(F.explode("lost").alias("number")).groupBy("number").agg(F.count("*").alias("lost"))
+                    gone = gone.select(i2mer(width, F.col("number")).alias("kmer"), "lost")
+                else:
+                    before, masked = masked, lineage.cut(em.mask_sites(masked, sites, width))
+                    gone = kmers.lost(before, masked, sites.where(F.col("q") >= em.OCCURS), width)
                 left = F.col("observed") - F.coalesce("lost", F.lit(0))
                 counted = lineage.cut(counted.join(gone, "kmer", "left").select("kmer", left.alias("observed")).where("observed > 0"))
                 whole = em.totals(em.base_counts(masked))
