@@ -46,7 +46,15 @@ def _masked_long(seqs: DataFrame, blocks: DataFrame, model: em.Model, block_size
     own = em.mask_sites(own, best, model.width).join(best, "seq_id", "left")
     names = lambda c: F.array_distinct(F.transform(kmers_of(F.col(c), model.width), lambda w: w["kmer"]))
     gone = F.filter(F.array_except(names("was"), names("seq")), lambda w: ~w.rlike("[^ACGT]"))
-    return own.select("seq_id", "seq", "site", "z", "q", F.transform(gone, lambda w: mer2i(w, model.width).cast("int")).alias("lost"))
+    under = F.when(F.col("q") >= em.OCCURS, mer2i(F.upper(F.substring("was", F.col("site") + 1, F.lit(model.width))), model.width))
+    return own.select("seq_id", "seq", "site", "z", "q", under.cast("int").alias("under"), F.transform(gone, lambda w: mer2i(w, model.width).cast("int")).alias("lost"))
+
+
+def _without(whole: dict[str, float], rows: DataFrame, width: int) -> dict[str, float]:
+    """Base counts less the letters of the k-mers ``under`` the masked sites."""
+    own = rows.groupBy("under").agg(F.count("*").alias("n")).select("n", i2mer(width, F.col("under")).alias("kmer"))
+    gone = own.agg(*[F.sum(F.col("n") * (width - F.length(F.replace("kmer", F.lit(b), F.lit(""))))).alias(b) for b in "ACGT"]).first()
+    return whole | {b: whole[b] - float(gone[b] or 0) for b in "ACGT"}
 
 
 def discover_motifs(
@@ -120,12 +128,14 @@ def discover_motifs(
                     masked = rows.select("seq_id", "seq")
                     gone = rows.select(F.explode("lost").alias("number")).groupBy("number").agg(F.count("*").alias("lost"))
                     gone = gone.select(i2mer(width, F.col("number")).alias("kmer"), "lost")
+                    whole = _without(whole, rows.where("under IS NOT NULL"), width)
                 else:
                     before, masked = masked, lineage.cut(em.mask_sites(masked, sites, width))
                     gone = kmers.lost(before, masked, sites.where(F.col("q") >= em.OCCURS), width)
                 left = F.col("observed") - F.coalesce("lost", F.lit(0))
                 counted = lineage.cut(counted.join(gone, "kmer", "left").select("kmer", left.alias("observed")).where("observed > 0"))
-                whole = em.totals(em.base_counts(masked))
+                if not tabled:
+                    whole = em.totals(em.base_counts(masked))
         dealt.unpersist()
         if not scored:
             break
